@@ -6,8 +6,8 @@ first ``DEPTH`` values form a region.  In a region of up to ``REGION`` members e
 a candidate; in a larger one the depth grows, value by value, until a region is that small,
 and each level that is split keeps, as candidates, the links of each member to its
 neighbours in the order (those with the longest common prefix) and to the region's first
-member.  Regions too large for one task are first split across tasks by their deeper values.
-Candidates are confirmed on the full sets; links make components.
+member.  Orders are range partitions of all trees' rows, so the rows of a large region lie in
+several tasks, each of which links its ends to its neighbours.  Candidates are confirmed on the full sets; links make components.
 
 At a similarity of 0.75 two documents meet in some tree with probability
 1 - (1 - 0.75**4)**32 > 0.99999.
@@ -17,13 +17,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import components, shared, shingles
 
-TREES, DEPTH, DEEPER = 32, 4, 8
-REGION, NEIGHBOURS, HOT = 48, 6, 4096
+TREES, DEPTH, DEEPER = 32, 4, 4
+REGION, NEIGHBOURS = 48, 6
+#: Rounds in which each document tries its likeliest remaining candidate, before all that are left.
+ROUNDS = 3
+#: Rows of one region that a task holds at once.
+REGION_ROWS = 100_000
+#: Bits of the filter of documents that have candidates: a fixed size, it only saves shuffling.
+FILTER_BITS = 1 << 23
 #: Of 128 one-bit minhashes, so many agree in all but about 1 of 10 million pairs of similarity 0.75.
 SKETCH_AGREE = 92
 
@@ -121,35 +128,35 @@ def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndar
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b, agree) with a < b from all regions."""
+    """Distinct (a, b, agree) with a < b from all regions; agree is -1 where no sketches were compared."""
     spark = rows.sparkSession
-    # hot regions start deeper; each of their members is also tried against the first of the whole region
-    hot = rows.groupBy("key").agg(F.count("*").alias("_m"), F.min("doc_id").alias("_first")).where(F.col("_m") > HOT)
-    split = rows.join(hot, "key", "left").withColumn("key", F.when(F.col("_m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.substring("deep", 1, 8))))
 
     def run(batches):
-        held = None
+        held = ends = None
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
+            ends = (pdf.iloc[0] if ends is None else ends[0], pdf.iloc[-1])
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             key = pdf["key"].to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last region may go on in the next batch
+            if not last and len(pdf) > REGION_ROWS:
+                last = len(pdf) - NEIGHBOURS  # a huge region goes on with its last members
             held = pdf.iloc[last:]
             if last:
-                yield from pairs(pdf.iloc[:last])
-        if held is not None and len(held):
+                yield from pairs(pdf.iloc[:last] if key[last - 1] != key[last] else pdf)
+        if held is not None:
             yield from pairs(held)
+            part = TaskContext.get().partitionId()
+            edge = [(int(x["doc_id"]), int(x["key"]), i, part) for i, x in enumerate(ends)]
+            yield pd.DataFrame(edge, columns=["a", "b", "agree", "part"])
 
     def pairs(pdf):
         key, ids, n = (pdf[c].to_numpy() for c in ("key", "doc_id", "n"))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        alone = pdf["_first"].notna().to_numpy() & (pdf["_first"].to_numpy() != ids)
+        sizes = np.diff(cut)
         a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if alone.any():
-            first = pdf["_first"].to_numpy()[alone].astype(np.int64)
-            a, b, w = [*a, first], [*b, ids[alone]], [*w, np.full(len(first), -1)]
-        if len(sizes := np.diff(cut)) and sizes.max() > 1:
+        if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
             deep = np.frombuffer(b"".join(pdf["deep"]), ">u4").reshape(len(ids), -1)
             for x, y in zip(cut[:-1][sizes > 1], cut[1:][sizes > 1], strict=True):
@@ -159,11 +166,32 @@ def _candidates(rows: DataFrame) -> DataFrame:
                     w.append(_agree(bits[x:y], i, j))
         out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "agree": np.concatenate(w)})
         if len(out):
-            yield out.drop_duplicates(["a", "b"])
+            yield out.drop_duplicates(["a", "b"]).assign(part=-1)
+
+    placed = rows.repartitionByRange(shared.parts(spark), "key", "deep", "doc_id").sortWithinPartitions("key", "deep", "doc_id")
+    found = shared.stage(placed.mapInPandas(run, "a long, b long, agree long, part int"), "found")
+    # two rows for each task: where a region goes on in the next task, its neighbours there are linked
+    edges = sorted((r["part"], r["agree"], r["a"], r["b"]) for r in found.where("part >= 0").collect())
+    joined = [(min(x[2], y[2]), max(x[2], y[2]), -1) for x, y in zip(edges, edges[1:], strict=False) if x[0] != y[0] and x[3] == y[3] and x[2] != y[2]]
+    more = spark.createDataFrame(joined, "a long, b long, agree long")
+    return found.where("part < 0").select("a", "b", "agree").union(more).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
 
-    placed = split.repartition(shared.parts(spark), "key").sortWithinPartitions("key", "deep", "doc_id")
-    found = placed.select("key", "deep", "doc_id", "n", "bits", "_first").mapInPandas(run, "a long, b long, agree long")
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+def _filter(wanted: DataFrame):
+    """Column test over doc_id that holds for all of ``wanted`` and for few others; of fixed size."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = wanted.select(slot.alias("s")).select(F.floor(F.col("s") / 64).alias("k"), F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))").alias("v"))
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for k, v in words.groupBy("k").agg(F.bit_or("v")).collect():  # at most FILTER_BITS / 64 rows
+        table[k] = v
+    shared_table = wanted.sparkSession.sparkContext.broadcast(table)
+
+    def test(slot: pd.Series) -> pd.Series:
+        s = slot.to_numpy()
+        return pd.Series((shared_table.value[s >> 6] >> (s & 63)) & 1 == 1)
+
+    test.__annotations__ = {"slot": pd.Series, "return": pd.Series}
+    return F.pandas_udf(test, "boolean")(slot)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -192,6 +220,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each document its candidate of the best sketch agreement, ties to small ids."""
+    ends = pairs.select(F.col("a").alias("doc_id"), "a", "b", "agree").union(pairs.select(F.col("b"), "a", "b", "agree"))
+    best = ends.groupBy("doc_id").agg(F.max(F.struct("agree", F.negative("a").alias("na"), F.negative("b").alias("nb"))).alias("m"))
+    return best.select(F.negative("m.na").alias("a"), F.negative("m.nb").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns go).
 
@@ -207,23 +242,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     named = signed.where("doc_id is not null and digest is not null")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("_copies"))
     reps = shared.stage(reps, "representatives")
-    rows = shared.stage(_forest_rows(reps), "forest")
-    pairs = shared.stage(_candidates(rows), "candidates")
+    pairs = shared.stage(_candidates(_forest_rows(reps)), "candidates")
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shared.stage(_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id", "set"]), "sets")
-
-    # each document's likeliest candidate first, then all candidates that still lie in two components
-    ends = pairs.select(F.col("a").alias("doc_id"), "a", "b", "agree").union(pairs.select(F.col("b"), "a", "b", "agree"))
-    best = ends.groupBy("doc_id").agg(F.max(F.struct("agree", F.negative("a").alias("na"), F.negative("b").alias("nb"))).alias("m"))
-    best = best.select(F.negative("m.na").alias("a"), F.negative("m.nb").alias("b")).distinct()
-    links = shared.stage(_confirm(best, sets, percent), "links")
-    comp = shared.stage(components.connected_components(links), "components")
-    of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = rest.join(best, ["a", "b"], "left_anti")
-    links = links.union(_confirm(rest, sets, percent))
+    some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi")
+    sets = shared.stage(_sets(some, size).dropDuplicates(["doc_id", "set"]), "sets")
+
+    # each document's likeliest candidate first; then the same among those that still lie in two
+    # components; then all that still do
+    links, rest = None, pairs
+    for k in range(ROUNDS + 1):
+        tried = rest.select("a", "b") if k == ROUNDS else _likeliest(rest)
+        got = shared.stage(_confirm(tried, sets, percent), "links")
+        links = got if links is None else links.union(got)
+        if k == ROUNDS:
+            break
+        comp = components.connected_components(links)
+        of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
+        rest = rest.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
+        rest = shared.stage(rest, "rest")
+        if not rest.limit(1).count():
+            break
     copies = named.select("digest", "doc_id").join(reps.where("_copies > 1").select("digest", F.col("doc_id").alias("a")), "digest")
     links = links.union(copies.where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
     comp = shared.stage(components.connected_components(links), "components")
