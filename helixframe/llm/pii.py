@@ -377,8 +377,11 @@ def find_spans(net: Tagger, texts: list[str | None]) -> list[tuple[list[Span], l
 
 def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Tagger:
     """Learn from at most ``rows`` documents that hold an anchor, chosen by a hash of the id."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    found = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(rows).collect()
+    some = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
+    # ids first, so that no task sends texts that aren't taken
+    ids = [r[0] for r in some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    found = some.where(F.col("doc_id").isin(ids)).select("doc_id", "text").limit(2 * rows).collect() if ids else []
+    found.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in found])
 
 
