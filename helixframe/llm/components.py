@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, partial: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has an edge (a, b).
 
+    ``partial``: stop after so many rounds.  Nodes of one label are then connected, but
+    connected nodes may still have several labels: enough to skip links that are known.
+
     Each round is two aggregations over the edges, whose number never grows beyond that of
     nodes and edges; nothing but one number a round reaches the driver.  Null ends, loops
     and repeated edges are ignored.
@@ -18,7 +21,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = shared.stage(e, "edges")
     last = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
+        if k == partial:
+            break
         # large star: each node links its larger neighbours to the smallest of its neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -28,6 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = shared.stage(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        if partial is not None:
+            continue
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break

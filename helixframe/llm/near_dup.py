@@ -26,7 +26,7 @@ from . import components, shared, shingles
 TREES, DEPTH, DEEPER = 32, 4, 4
 REGION, NEIGHBOURS = 48, 6
 #: Rounds in which each document tries its likeliest remaining candidate, before all that are left.
-ROUNDS = 3
+ROUNDS = 2
 #: Rows of one region that a task holds at once.
 REGION_ROWS = 100_000
 #: Bits of the filter of documents that have candidates: a fixed size, it only saves shuffling.
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         links = got if links is None else links.union(got)
         if k == ROUNDS:
             break
-        comp = components.connected_components(links)
+        comp = shared.stage(components.connected_components(links, partial=2), "labels")
         of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
         rest = rest.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
