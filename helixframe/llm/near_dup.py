@@ -7,7 +7,14 @@ a candidate; in a larger one the depth grows, value by value, until a region is
 and each level that is split keeps, as candidates, the links of each member to its
 neighbours in the order (those with the longest common prefix) and to the region's first
 member.  Orders are range partitions of all trees' rows, so the rows of a large region lie in
-several tasks, each of which links its ends to its neighbours.  Candidates are confirmed on the full sets; links make components.
+several tasks, each of which links its ends to its neighbours.  Candidates are confirmed on
+the full sets; links make components.
+
+Regions that are large, or may lie in several tasks, then have their remaining pairs tried:
+all pairs of members of different components, each in the first tree that brings it together.
+Members are dealt into cells by set size and a hash; cells that may hold similar sets are
+compared in blocks, first by signatures, then the members that are left by their full sets.
+Only links leave a task.
 
 At a similarity of 0.75 two documents meet in some tree with probability
 1 - (1 - 0.75**4)**32 > 0.99999.
@@ -31,6 +38,12 @@ ROUNDS = 2
 REGION_ROWS = 100_000
 #: Bits of the filter of documents that have candidates: a fixed size, it only saves shuffling.
 FILTER_BITS = 1 << 23
+#: Members of a cell, about, of a region whose remaining pairs are tried.
+CELL = 1024
+#: Set sizes of one class differ by less than this factor: similar sets lie in the same or the next class.
+SIZE_STEP = 1.34
+#: Of 128 minhashes, cut to a byte each, so many agree in all but about 1 of 10 million pairs of similarity 0.75.
+FINE_AGREE = 70
 #: Of 128 one-bit minhashes, so many agree in all but about 1 of 10 million pairs of similarity 0.75.
 SKETCH_AGREE = 92
 
@@ -69,7 +82,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _forest_rows(reps: DataFrame) -> DataFrame:
-    """(key, deep, doc_id, n, bits) for each tree: key hashes tree and first values, deep has the next ones."""
+    """(key, tree, deep, doc_id, n, bits) for each tree: key hashes tree and first values, deep has the next ones."""
 
     def run(batches):
         mult = shingles.mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -77,17 +90,21 @@ def _forest_rows(reps: DataFrame) -> DataFrame:
             if not len(pdf):
                 continue
             sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-            bits = np.packbits((sig * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1)
-            bits = [x.tobytes() for x in bits]
+            bits = [x.tobytes() for x in _sketch(sig)]
             wide = np.concatenate([sig, sig], axis=1)
             for t in range(TREES):
                 key = np.full(len(sig), mult[t], np.uint64)
                 for d in range(DEPTH):
                     key = shingles.mix(key * np.uint64(0xD6E8FEB86659FD93) + wide[:, t * DEPTH + d])
                 deep = np.ascontiguousarray(wide[:, (t + 1) * DEPTH : (t + 1) * DEPTH + DEEPER].astype(">u4"))
-                yield pd.DataFrame({"key": key.view(np.int64), "deep": [x.tobytes() for x in deep], "doc_id": pdf["doc_id"].to_numpy(), "n": pdf["n_shingles"].to_numpy(), "bits": bits})
+                yield pd.DataFrame({"key": key.view(np.int64), "tree": t, "deep": [x.tobytes() for x in deep], "doc_id": pdf["doc_id"].to_numpy(), "n": pdf["n_shingles"].to_numpy(), "bits": bits})
+
+    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "key long, tree int, deep binary, doc_id long, n long, bits binary")
+
 
-    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "key long, deep binary, doc_id long, n long, bits binary")
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """One bit for each minhash, packed."""
+    return np.packbits((sig * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1)
 
 
 def _agree(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -127,8 +144,11 @@ def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndar
     return kept
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b, agree) with a < b from all regions; agree is -1 where no sketches were compared."""
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidates (a, b, agree) with a < b, and members (key, tree, doc_id, n) of regions with pairs left.
+
+    agree is -1 where no sketches were compared.
+    """
     spark = rows.sparkSession
 
     def run(batches):
@@ -136,7 +156,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            ends = (pdf.iloc[0] if ends is None else ends[0], pdf.iloc[-1])
+            ends = (pdf.iloc[0] if ends is None else ends[0], pdf.iloc[-1], False)
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             key = pdf["key"].to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last region may go on in the next batch
@@ -144,17 +164,22 @@ def _candidates(rows: DataFrame) -> DataFrame:
                 last = len(pdf) - NEIGHBOURS  # a huge region goes on with its last members
             held = pdf.iloc[last:]
             if last:
-                yield from pairs(pdf.iloc[:last] if key[last - 1] != key[last] else pdf)
+                yield from pairs(pdf.iloc[:last] if key[last - 1] != key[last] else pdf, ends)
         if held is not None:
-            yield from pairs(held)
+            yield from pairs(held, (ends[0], ends[1], True))
             part = TaskContext.get().partitionId()
-            edge = [(int(x["doc_id"]), int(x["key"]), i, part) for i, x in enumerate(ends)]
+            edge = [(int(x["doc_id"]), int(x["key"]), i, part) for i, x in enumerate(ends[:2])]
             yield pd.DataFrame(edge, columns=["a", "b", "agree", "part"])
 
-    def pairs(pdf):
+    def pairs(pdf, ends):
         key, ids, n = (pdf[c].to_numpy() for c in ("key", "doc_id", "n"))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(cut)
+        # regions at a task's ends may go on in another task, whatever their size here
+        left = (sizes > REGION) | (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2])
+        left = np.repeat(left, sizes)
+        if left.any():
+            yield pd.DataFrame({"a": ids[left], "b": key[left], "agree": n[left], "part": -2 - pdf["tree"].to_numpy()[left]})
         a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
@@ -171,10 +196,11 @@ def _candidates(rows: DataFrame) -> DataFrame:
     placed = rows.repartitionByRange(shared.parts(spark), "key", "deep", "doc_id").sortWithinPartitions("key", "deep", "doc_id")
     found = shared.stage(placed.mapInPandas(run, "a long, b long, agree long, part int"), "found")
     # two rows for each task: where a region goes on in the next task, its neighbours there are linked
+    members = found.where("part < -1").select(F.col("b").alias("key"), (-2 - F.col("part")).alias("tree"), F.col("a").alias("doc_id"), F.col("agree").alias("n")).distinct()
     edges = sorted((r["part"], r["agree"], r["a"], r["b"]) for r in found.where("part >= 0").collect())
     joined = [(min(x[2], y[2]), max(x[2], y[2]), -1) for x, y in zip(edges, edges[1:], strict=False) if x[0] != y[0] and x[3] == y[3] and x[2] != y[2]]
     more = spark.createDataFrame(joined, "a long, b long, agree long")
-    return found.where("part < 0").select("a", "b", "agree").union(more).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return found.where("part = -1").select("a", "b", "agree").union(more).groupBy("a", "b").agg(F.max("agree").alias("agree")), members
 
 
 def _filter(wanted: DataFrame):
@@ -227,23 +253,108 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select(F.negative("m.na").alias("a"), F.negative("m.nb").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns go).
+def cell_pairs(tree: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two cells' members that lie in different components and whose signatures agree.
 
-    Sets are held as 64-bit hashes.  Empty sets link with nothing, even with each other.
-    Rows that repeat a doc_id are one document as far as links go and each get a row; rows
-    with a null doc_id are left out of links, have a null component and are kept.
+    ``side`` tells the cells apart (0, 1); where all are 0, a cell is compared with itself.
+    Pairs that an earlier tree brings together are left to it.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    signed = shared.stage(_signatures(docs, size), "signatures")
+    bits = _sketch(sig).view(np.uint64)
+    fine = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(two)
+    two = one if same else two
+    found = [(np.zeros(0, np.int64),) * 2]
+    for k in range(0, len(one), 256):
+        rows = one[k : k + 256]
+        small, large = np.minimum(n[rows, None], n[two]), np.maximum(n[rows, None], n[two])
+        ok = (100 * small >= 75 * large) & (label[rows, None] != label[two])
+        if same:
+            ok &= ids[rows, None] < ids[two]
+        i, j = np.nonzero(ok)
+        i, j = rows[i], two[j]
+        ok = _agree(bits.view(np.uint8), i, j) >= SKETCH_AGREE
+        i, j = i[ok], j[ok]
+        for x in range(0, len(i), 1 << 15):
+            p, q = i[x : x + (1 << 15)], j[x : x + (1 << 15)]
+            ok = (fine[p] == fine[q]).sum(axis=1) >= FINE_AGREE
+            p, q = p[ok], q[ok]
+            met = (sig[p, : tree * DEPTH] == sig[q, : tree * DEPTH]).reshape(len(p), tree, DEPTH).all(axis=2).any(axis=1)
+            found.append((p[~met], q[~met]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def cell_links(pairs: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the index pairs whose full sets hold, one for each first member and component of the second."""
+    order = np.argsort(pairs[0], kind="stable")
+    first, second = pairs[0][order], pairs[1][order]
+    out = []
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first)) + 1) if len(first) else []:
+        x = sets[first[part[0]]]
+        for k in range(0, len(part), 256):
+            js = second[part[k : k + 256]]
+            sizes = np.array([len(sets[j]) for j in js])
+            every = np.concatenate([sets[j] for j in js])
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            both = np.add.reduceat((x[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            ok = js[100 * both >= percent * (len(x) + sizes - both)]
+            out += [(int(first[part[0]]), int(ok[i])) for i in np.unique(label[ok], return_index=True)[1]]
+    return out
+
+
+def _dealt(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, tree, c, x, y, next, doc_id, n, label, side): members of regions of several components, by cells."""
+    label = comp.select(F.col("node").alias("doc_id"), "component")
+    m = members.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    m = m.withColumn("c", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
+    sizes = m.groupBy("key", "c").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    spans = sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("m") / CELL).cast("int").alias("s")))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    m = m.join(spans.where("lo < hi").select("key", "cells"), "key")
+    m = m.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("cells")[F.col("c")]).cast("int"))
+    # a cell meets itself, the cells of its class, and those of the next class
+    at = lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(0))
+    slots = lambda k, f: F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), f)
+    c, own = F.col("c"), F.col("s")
+    meets = F.concat(
+        slots(at(c), lambda t: F.struct(c.alias("c"), F.least(own, t).alias("x"), F.greatest(own, t).alias("y"), F.lit(False).alias("next"), (own > t).cast("int").alias("side"))),
+        slots(at(c + 1), lambda t: F.struct(c.alias("c"), own.alias("x"), t.alias("y"), F.lit(True).alias("next"), F.lit(0).alias("side"))),
+        slots(at(c - 1), lambda t: F.struct((c - 1).alias("c"), t.alias("x"), own.alias("y"), F.lit(True).alias("next"), F.lit(1).alias("side"))),
+    )
+    return m.select("key", "tree", "doc_id", "n", "label", F.explode(meets).alias("w")).select("key", "tree", "doc_id", "n", "label", "w.*")
 
-    # equal sets collapse first: one representative each, linked to its copies
-    named = signed.where("doc_id is not null and digest is not null")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("_copies"))
-    reps = shared.stage(reps, "representatives")
-    pairs = shared.stage(_candidates(_forest_rows(reps)), "candidates")
 
+CELL_KEY = ("key", "tree", "c", "x", "y", "next")
+
+
+def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between regions' members that lie in different components, enough to join these."""
+    columns = "key long, tree int, c int, x int, y int, next boolean, doc_id long, n long, label long, side int"
+
+    def pairs(pdf):
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+        return cell_pairs(int(pdf["tree"].iloc[0]), *(pdf[x].to_numpy() if x != "sig" else sig for x in ("doc_id", "n", "sig", "label", "side")))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pdf["label"].to_numpy()
+        left = np.zeros(0, np.int64) if (label == label[0]).all() else np.unique(np.concatenate(pairs(pdf)))
+        return pdf.iloc[left].drop(columns="sig")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, label = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        got = cell_links(pairs(pdf), [np.frombuffer(x, np.uint64) for x in pdf["set"]], label, percent)
+        return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}).astype("int64")
+
+    sig = reps.select("doc_id", "sig")
+    held = _dealt(members, comp).join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "sig")
+    held = shared.stage(held.groupBy(*CELL_KEY).applyInPandas(near, columns), "remaining")
+    wanted = held.select("doc_id").distinct()
+    some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    sets = shared.stage(_sets(some, size).dropDuplicates(["doc_id"]).join(sig, "doc_id"), "sets")
+    return held.join(sets, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The candidates that hold, but for those within a component that others made."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi")
     sets = shared.stage(_sets(some, size).dropDuplicates(["doc_id", "set"]), "sets")
@@ -264,6 +375,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         rest = shared.stage(rest, "rest")
         if not rest.limit(1).count():
             break
+    return links
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns go).
+
+    Sets are held as 64-bit hashes.  Empty sets link with nothing, even with each other.
+    Rows that repeat a doc_id are one document as far as links go and each get a row; rows
+    with a null doc_id are left out of links, have a null component and are kept.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    signed = shared.stage(_signatures(docs, size), "signatures")
+
+    # equal sets collapse first: one representative each, linked to its copies
+    named = signed.where("doc_id is not null and digest is not null")
+    reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("_copies"))
+    reps = shared.stage(reps, "representatives")
+    pairs, members = _candidates(_forest_rows(reps))
+    pairs = shared.stage(pairs, "candidates")
+    links = _linked(docs, pairs, size, percent)
+    comp = shared.stage(components.connected_components(links), "labels")
+    links = links.union(shared.stage(_remaining(docs, members, reps, comp, size, percent), "links"))
     copies = named.select("digest", "doc_id").join(reps.where("_copies > 1").select("digest", F.col("doc_id").alias("a")), "digest")
     links = links.union(copies.where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
     comp = shared.stage(components.connected_components(links), "components")

@@ -212,6 +212,26 @@ def test_near_duplicates_equal_brute_force(spark, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_remaining_pairs_join_what_brute_force_joins(spark):
+    """Every tree's regions are given, and no link is known before."""
+    rng = np.random.default_rng(5)
+    base, texts = list(rng.choice([f"w{i}" for i in range(300)], 90)), {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 5))):
+            w[rng.integers(90)] = f"q{rng.integers(1000)}"
+        texts[i] = " ".join(w[: 60 + i % 31])
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    signed = near_dup._signatures(docs, 5)
+    members = near_dup._forest_rows(signed).select("key", "tree", "doc_id", "n")
+    known = spark.createDataFrame([], "node long, component long")
+    links = near_dup._remaining(docs, members, signed, known, 5, 75)
+    got = {r.node: r.component for r in near_dup.components.connected_components(links).collect()}
+    assert {k: got.get(k, k) for k in texts} == {k: v for k, (_, v) in brute_components(texts).items()}
+    half = near_dup._remaining(docs, members, signed, spark.createDataFrame([(k, 0) for k in texts], "node long, component long"), 5, 75)
+    assert half.count() == 0  # one component: nothing is left to try
+
+
 def docs_lit():
     from pyspark.sql import functions as F
 
