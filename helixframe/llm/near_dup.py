@@ -22,8 +22,11 @@ At a similarity of 0.75 two documents meet in some tree with probability
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ REGION, NEIGHBOURS = 48, 6
 ROUNDS = 2
 #: Rows of one region that a task holds at once.
 REGION_ROWS = 100_000
+#: Forest rows in one Arrow batch.
+FOREST_BATCH = "20000"
 #: Bits of the filter of documents that have candidates: a fixed size, it only saves shuffling.
 FILTER_BITS = 1 << 23
 #: Members of a cell, about, of a region whose remaining pairs are tried.
@@ -64,7 +69,7 @@ def signature(sets: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig): one row for each document, sig null where the set is empty."""
+    """(doc_id, n_shingles, digest, sig, bits): one row for each document, the last three null where the set is empty."""
     import hashlib
 
     shared.text_batches(docs.sparkSession)
@@ -75,31 +80,21 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = hasher.shingles(text, size)
-                rows.append((doc, len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None, signature(s).tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig"])
+                sig = signature(s) if len(s) else None
+                rows.append((doc, len(s), *((hashlib.sha256(s.tobytes()).digest()[:16], sig.astype("<u4").tobytes(), _sketch(sig[None])[0].tobytes()) if len(s) else (None,) * 3)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, bits binary")
 
 
 def _forest_rows(reps: DataFrame) -> DataFrame:
-    """(key, tree, deep, doc_id, n, bits) for each tree: key hashes tree and first values, deep has the next ones."""
-
-    def run(batches):
-        mult = shingles.mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-            bits = [x.tobytes() for x in _sketch(sig)]
-            wide = np.concatenate([sig, sig], axis=1)
-            for t in range(TREES):
-                key = np.full(len(sig), mult[t], np.uint64)
-                for d in range(DEPTH):
-                    key = shingles.mix(key * np.uint64(0xD6E8FEB86659FD93) + wide[:, t * DEPTH + d])
-                deep = np.ascontiguousarray(wide[:, (t + 1) * DEPTH : (t + 1) * DEPTH + DEEPER].astype(">u4"))
-                yield pd.DataFrame({"key": key.view(np.int64), "tree": t, "deep": [x.tobytes() for x in deep], "doc_id": pdf["doc_id"].to_numpy(), "n": pdf["n_shingles"].to_numpy(), "bits": bits})
-
-    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "key long, tree int, deep binary, doc_id long, n long, bits binary")
+    """(key, tree, deep, doc_id, n, bits) for each tree: key hashes tree and first values, deep has 16 bits of each of the next ones."""
+    wide = reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", F.concat("sig", "sig").alias("wide"))
+    rows = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    value = lambda d, width: F.substring("wide", 4 * (F.col("tree") * DEPTH + d) + 1, F.lit(width))
+    key = F.xxhash64("tree", value(0, 4 * DEPTH))
+    deep = F.concat(*(value(DEPTH + d, 2) for d in range(DEEPER)))
+    return rows.select(key.alias("key"), "tree", deep.alias("deep"), "doc_id", "n", "bits")
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
@@ -183,7 +178,7 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
-            deep = np.frombuffer(b"".join(pdf["deep"]), ">u4").reshape(len(ids), -1)
+            deep = np.frombuffer(b"".join(pdf["deep"]), ">u2").reshape(len(ids), -1)
             for x, y in zip(cut[:-1][sizes > 1], cut[1:][sizes > 1], strict=True):
                 for i, j in region_pairs(deep[x:y], ids[x:y], n[x:y], bits[x:y]):
                     a.append(np.minimum(ids[x:y][i], ids[x:y][j]))
@@ -194,7 +189,9 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield out.drop_duplicates(["a", "b"]).assign(part=-1)
 
     placed = rows.repartitionByRange(shared.parts(spark), "key", "deep", "doc_id").sortWithinPartitions("key", "deep", "doc_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", FOREST_BATCH)  # these rows are short
     found = shared.stage(placed.mapInPandas(run, "a long, b long, agree long, part int"), "found")
+    shared.text_batches(spark)
     # two rows for each task: where a region goes on in the next task, its neighbours there are linked
     members = found.where("part < -1").select(F.col("b").alias("key"), (-2 - F.col("part")).alias("tree"), F.col("a").alias("doc_id"), F.col("agree").alias("n")).distinct()
     edges = sorted((r["part"], r["agree"], r["a"], r["b"]) for r in found.where("part >= 0").collect())
@@ -220,29 +217,38 @@ def _filter(wanted: DataFrame):
     return F.pandas_udf(test, "boolean")(slot)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): whole texts, compressed; smaller than their sets of hashes, so shuffles are too."""
+
     def run(batches):
-        hasher = shingles.WordHasher()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [hasher.shingles(t, size).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [pack((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, set binary")
+def _unpacker(size: int):
+    """Function from a compressed text to its set; keeps the last few sets."""
+    hasher, unpack = shingles.WordHasher(), zstandard.ZstdDecompressor().decompress
+    return lru_cache(maxsize=8)(lambda packed: hasher.shingles(unpack(packed).decode("utf-8", "surrogatepass"), size))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets' intersection is at least ``percent`` of their union."""
 
     def run(batches):
+        unpack = _unpacker(size)
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack(x), unpack(y)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[ok, ["a", "b"]]
 
-    left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
@@ -340,31 +346,34 @@ def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataF
         return pdf.iloc[left].drop(columns="sig")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        unpack = _unpacker(size)
         ids, label = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
-        got = cell_links(pairs(pdf), [np.frombuffer(x, np.uint64) for x in pdf["set"]], label, percent)
+        got = cell_links(pairs(pdf), [unpack(x) for x in pdf["packed"]], label, percent)
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}).astype("int64")
 
-    sig = reps.select("doc_id", "sig")
-    held = _dealt(members, comp).join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "sig")
+    dealt = shared.stage(_dealt(members, comp), "cells")
+    sig = reps.select("doc_id", "sig").where(_filter(dealt.select("doc_id").distinct()))
+    held = dealt.join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "sig")
     held = shared.stage(held.groupBy(*CELL_KEY).applyInPandas(near, columns), "remaining")
     wanted = held.select("doc_id").distinct()
-    some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = shared.stage(_sets(some, size).dropDuplicates(["doc_id"]).join(sig, "doc_id"), "sets")
-    return held.join(sets, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
+    few = _filter(wanted)
+    some = docs.where(few).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    texts = shared.stage(_texts(some).dropDuplicates(["doc_id"]).join(sig.where(few), "doc_id"), "texts")
+    return held.join(texts, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The candidates that hold, but for those within a component that others made."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi")
-    sets = shared.stage(_sets(some, size).dropDuplicates(["doc_id", "set"]), "sets")
+    texts = shared.stage(_texts(some).dropDuplicates(["doc_id", "packed"]), "texts")
 
     # each document's likeliest candidate first; then the same among those that still lie in two
     # components; then all that still do
     links, rest = None, pairs
     for k in range(ROUNDS + 1):
-        tried = rest.select("a", "b") if k == ROUNDS else _likeliest(rest)
-        got = shared.stage(_confirm(tried, sets, percent), "links")
+        tried = rest.select("a", "b") if k == ROUNDS else shared.stage(_likeliest(rest), "tried")
+        got = shared.stage(_confirm(tried, texts, size, percent), "links")
         links = got if links is None else links.union(got)
         if k == ROUNDS:
             break
@@ -389,23 +398,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     spark = docs.sparkSession
     signed = shared.stage(_signatures(docs, size), "signatures")
 
-    # equal sets collapse first: one representative each, linked to its copies
+    # equal sets collapse first: one representative each
     named = signed.where("doc_id is not null and digest is not null")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("_copies"))
+    reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = shared.stage(reps, "representatives")
+    first = reps.select("digest", F.col("doc_id").alias("a"))
     pairs, members = _candidates(_forest_rows(reps))
     pairs = shared.stage(pairs, "candidates")
-    links = _linked(docs, pairs, size, percent)
+    # an id with several texts joins their groups
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    several = named.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(first, "digest").select("a", F.col("doc_id").alias("b")).distinct()
+    links = _linked(docs, pairs, size, percent).union(several)
     comp = shared.stage(components.connected_components(links), "labels")
-    links = links.union(shared.stage(_remaining(docs, members, reps, comp, size, percent), "links"))
-    copies = named.select("digest", "doc_id").join(reps.where("_copies > 1").select("digest", F.col("doc_id").alias("a")), "digest")
-    links = links.union(copies.where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
-    comp = shared.stage(components.connected_components(links), "components")
-
-    out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = F.coalesce("component", "doc_id")
+    more = shared.stage(_remaining(docs, members, reps, comp, size, percent), "links")
+    if more.limit(1).count():
+        comp = shared.stage(_joined(comp, more), "components")
+
+    # each row follows its set's representative; the key of an empty set is its own id
+    group = first.join(comp.withColumnRenamed("node", "a"), "a", "left").select(F.col("digest").alias("key"), F.coalesce("component", "a").alias("component"))
+    out = signed.select("doc_id", "n_shingles", F.coalesce("digest", F.col("doc_id").cast("string").cast("binary")).alias("key"), F.col("digest").isNull().alias("empty"))
+    out = out.join(group, "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("empty"), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links: only the links between components are followed."""
+    nodes = comp.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    edges = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    new = components.connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return nodes.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"))
