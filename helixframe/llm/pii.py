@@ -2,8 +2,10 @@
 
 The network reads overlapping windows; where windows overlap, their emissions are averaged
 with weights that favour a window's middle, and one decoding over the joined stretch decides.
-Every span the model may return holds an anchor (a digit, an at sign or a spelled-out one), so
-stretches further than ``REACH`` from any anchor are outside by construction and aren't run.
+A text that holds both an at sign and a dot, plain or spelled out, is read whole.  In other texts
+no e-mail can be valid, and a valid span of another kind lies in a run of digits and separators
+that holds ten digits or an IP's form: such runs are read, with ``REACH`` characters around them.
+Decoded blocks are joined before spans are taken, so spans have no longest length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the fit: documents whose base spans are labels, and made-up examples.
 FIT_DOCS, FIT_EXAMPLES = 400, 2400
 WINDOW, STRIDE, REACH, BLOCK = 64, 32, 40, 512
+#: Blocks that a task decodes at once.
+GROUP = 1024
 HIDDEN, CERTAIN = 20, 0.6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +35,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]| dot ")
+_AT = re.compile(r"@|[\[(]at[\])]| at ", re.IGNORECASE)
+_DOT = re.compile(r"\w(?:\.|[\[(]dot[\])]| dot )\w", re.IGNORECASE)
+_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+_RUN = re.compile(r"[0-9 ().+-]+")
 
 Span = tuple[str, int, int]
 
@@ -293,9 +300,13 @@ def train(texts: list[str], seed: int = 5, examples: int = FIT_EXAMPLES, epochs:
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
-    """Joined surroundings of the anchors."""
+    """Parts that hold all spans that may be valid, joined with their surroundings."""
+    if _AT.search(text) and _DOT.search(text):
+        return [(0, len(text))]
     out: list[tuple[int, int]] = []
-    for m in _ANCHOR.finditer(text):
+    for m in _RUN.finditer(text) if _DIGIT.search(text) else ():
+        if len(_DIGIT.findall(m.group())) < 10 and not _IP.search(m.group()):
+            continue
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
@@ -311,63 +322,73 @@ def _valid(kind: str, whole: str, a: int, b: int) -> bool:
         return False
     digits = "".join(_DIGIT.findall(text))
     if kind == "email":
-        return bool(re.search(r"@|[\[(]at[\])]| at ", text)) and bool(re.search(r"\w(?:\.|[\[(]dot[\])]| dot )\w", text))
+        return bool(_AT.search(text)) and bool(_DOT.search(text))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)) and all(int(p) < 256 for p in text.split("."))
+        return bool(_IP.fullmatch(text)) and all(int(p) < 256 for p in text.split("."))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", text)
     return 10 <= len(digits) <= 15 and (len(digits) < len(text) or text[:2] == "00") and not re.search(r"[^0-9 ().+-]", text)
 
 
+def _decode(net: Tagger, texts: list[str], blocks: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Best labels and their posteriors of parts (text, start, end)."""
+    sizes = [q - p for _, p, q in blocks]
+    windows, rows = [], []
+    for k, (d, p, q) in enumerate(blocks):
+        own = codes(texts[d][p:q])
+        for s in range(0, max(1, len(own) - WINDOW + STRIDE), STRIDE):
+            w = np.full(WINDOW, 1, np.int64)  # a space's code
+            w[: len(own[s : s + WINDOW])] = own[s : s + WINDOW]
+            windows.append(w)
+            rows.append((k, s))
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+    sums = [np.zeros((n, LABELS + 1), np.float32) for n in sizes]
+    for s in range(0, len(windows), 2048):
+        e = net.emissions(np.stack(windows[s : s + 2048]).T)
+        for r, (k, at) in enumerate(rows[s : s + 2048]):
+            n = min(WINDOW, len(sums[k]) - at)
+            sums[k][at : at + n, :LABELS] += e[:n, r] * weight[:n, None]
+            sums[k][at : at + n, LABELS] += weight[:n]
+    out: list = [None] * len(blocks)
+    order = sorted(range(len(blocks)), key=lambda k: sizes[k])
+    for s in range(0, len(order), 256):
+        part = order[s : s + 256]
+        e = np.zeros((sizes[part[-1]], len(part), LABELS), np.float32)
+        e[:, :, 0] = 9  # padding is outside
+        for r, k in enumerate(part):
+            e[: sizes[k], r] = sums[k][:, :LABELS] / sums[k][:, LABELS:]
+        path = viterbi(e, net.p["trans"])
+        post = marginals(e, net.p["trans"])[0]
+        sure = np.take_along_axis(post, path[:, :, None], 2)[:, :, 0]
+        for r, k in enumerate(part):
+            out[k] = path[: sizes[k], r].astype(np.uint8), sure[: sizes[k], r].astype(np.float32)
+    return out
+
+
 def find_spans(net: Tagger, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of whole texts; a model span that touches a base one gives way to it."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
-    blocks, windows, rows = [], [], []
-    for d, text in enumerate(texts):
-        for lo, hi in _stretches(text):
-            for a in range(lo, hi, BLOCK):
-                b = min(hi, a + BLOCK)
-                p, q = max(lo, a - WINDOW), min(hi, b + WINDOW)
-                own = codes(text[p:q])
-                starts = list(range(0, max(1, len(own) - WINDOW + STRIDE), STRIDE))
-                for s in starts:
-                    w = np.full(WINDOW, 1, np.int64)  # a space's code
-                    w[: len(own[s : s + WINDOW])] = own[s : s + WINDOW]
-                    windows.append(w)
-                    rows.append((len(blocks), s))
-                blocks.append((d, p, len(own), a, b))
+    stretches = [(d, lo, hi) for d, text in enumerate(texts) for lo, hi in _stretches(text)]
+    labels = [np.zeros(hi - lo, np.uint8) for _, lo, hi in stretches]
+    certain = [np.zeros(hi - lo, np.float32) for _, lo, hi in stretches]
+    blocks = [(k, a) for k, (_, lo, hi) in enumerate(stretches) for a in range(lo, hi, BLOCK)]
+    for s in range(0, len(blocks), GROUP):
+        part = blocks[s : s + GROUP]
+        around = [(d, max(lo, a - WINDOW), min(hi, a + BLOCK + WINDOW)) for (d, lo, hi), a in ((stretches[k], a) for k, a in part)]
+        for (k, a), (_, p, _), (path, sure) in zip(part, around, _decode(net, texts, around), strict=True):
+            at = a - stretches[k][1]
+            own = slice(a - p, a - p + min(BLOCK, len(labels[k]) - at))
+            labels[k][at : at + BLOCK], certain[k][at : at + BLOCK] = path[own], sure[own]
     extra: list[list[Span]] = [[] for _ in texts]
-    if blocks:
-        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-        sums = [np.zeros((n, LABELS + 1), np.float32) for _, _, n, _, _ in blocks]
-        for s in range(0, len(windows), 2048):
-            e = net.emissions(np.stack(windows[s : s + 2048]).T)
-            for r, (k, at) in enumerate(rows[s : s + 2048]):
-                n = min(WINDOW, len(sums[k]) - at)
-                sums[k][at : at + n, :LABELS] += e[:n, r] * weight[:n, None]
-                sums[k][at : at + n, LABELS] += weight[:n]
-        order = sorted(range(len(blocks)), key=lambda k: blocks[k][2])
-        for s in range(0, len(order), 256):
-            part = order[s : s + 256]
-            t = blocks[part[-1]][2]
-            e = np.zeros((t, len(part), LABELS), np.float32)
-            e[:, :, 0] = 9  # padding is outside
-            for r, k in enumerate(part):
-                e[: blocks[k][2], r] = sums[k][:, :LABELS] / sums[k][:, LABELS:]
-            path = viterbi(e, net.p["trans"])
-            post = marginals(e, net.p["trans"])[0]
-            sure = np.take_along_axis(post, path[:, :, None], 2)[:, :, 0]
-            for r, k in enumerate(part):
-                d, p, n, a, b = blocks[k]
-                y = path[:n, r]
-                for i in np.flatnonzero(y % 2 == 1):
-                    j = i + 1
-                    while j < n and y[j] == y[i] + 1:
-                        j += 1
-                    kind, x, z = KINDS[(y[i] - 1) // 2], int(p + i), int(p + j)
-                    if a <= x < b and sure[i:j, r].mean() >= CERTAIN and _valid(kind, texts[d], x, z):
-                        extra[d].append((kind, x, z))
+    for (d, lo, _), y, sure in zip(stretches, labels, certain, strict=True):
+        for i in map(int, np.flatnonzero(y % 2 == 1)):
+            j = i + 1
+            while j < len(y) and y[j] == y[i] + 1:
+                j += 1
+            kind = KINDS[(y[i] - 1) // 2]
+            if sure[i:j].mean() >= CERTAIN and _valid(kind, texts[d], lo + i, lo + j):
+                extra[d].append((kind, lo + i, lo + j))
     out = []
     for own, more in zip(base, extra, strict=True):
         new = [s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in own)]

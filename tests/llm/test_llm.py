@@ -159,6 +159,34 @@ def test_pii_base_equals_plain_patterns(docs, none):
     assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a" * 200_000) == [] and pii.base_spans(None) == []
 
 
+class LabelsByCharacter:
+    """A stand-in for the network: Z begins an e-mail, # is outside, all else goes on."""
+
+    p = {"trans": np.zeros((pii.LABELS, pii.LABELS), np.float32)}
+
+    def emissions(self, x):
+        e = np.zeros((*x.shape, pii.LABELS), np.float32)
+        np.put_along_axis(e, np.where(x == ord("Z") - 31, 1, np.where(x == ord("#") - 31, 0, 2))[:, :, None], 30, 2)
+        return e
+
+
+@pytest.mark.parametrize("part", ["Zane at example.com", "Zane[AT]example[DOT]com", "Zane AT example DOT com", "Zane(at)example(dot)com", "Zane at " + "sub." * 60 + "com", "Zane (at) " + "a" * 700 + " dot com", "Zane " + "of " * 400 + "at x.y"])
+def test_pii_network_reads_all_that_may_be_valid(part):
+    for before in (3, 200, 480, 505, 512, 1000):
+        text = "#" * before + part + "#" * 300
+        assert pii._valid("email", text, before, before + len(part))
+        ((base, spans),) = pii.find_spans(LabelsByCharacter(), [text])
+        assert base == [] and spans == [("email", before, before + len(part))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(pii.KINDS), st.lists(st.sampled_from([*"0123456789", *" .-()+@", " at ", "[at]", "(AT)", " dot ", "(dot)", "[DOT]", "ab", "12.34.56.78", "4111111111111111"]), max_size=14).map("".join), st.integers(0, 90))
+def test_pii_valid_text_lies_in_a_stretch(kind, part, far):
+    text = "#" * far + part + "#" * far
+    if pii._valid(kind, text, far, far + len(part)):
+        assert any(a <= far and b >= far + len(part) for a, b in pii._stretches(text))
+
+
 def test_warc(spark, tmp_path):
     html = ["é" * 60, "é" * 60, "short", "short", None, "", "x" * 5000, "é" * 60]
     pages = spark.createDataFrame([(None if i == 7 else i, f"http://h/{i}\n%", h, "y") for i, h in enumerate(html)], "page_id long, url string, html string, extra string")
