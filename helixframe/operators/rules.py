@@ -72,23 +72,31 @@ def rule_strings(steps: DataFrame) -> DataFrame:
     return g.select("tree", "leaf_id", F.array_join(F.transform("_c", lambda x: x["cond"]), " | ").alias("rule_str"), F.size("_c").alias("rule_len"))
 
 
+def path_rules(steps: DataFrame, max_depth: int = 4) -> DataFrame:
+    """Rule texts of all leaves, from their steps of depth (from 0) under ``max_depth``, tightened.
+
+    Deeper leaves share the text of their first steps, so a pooled harvest counts their rows there.
+    """
+    return rule_strings(tighten(steps.where(F.col("depth") < max_depth)))
+
+
 def find_bin(x: Column, breaks: Column) -> Column:
     """Interval number 1 .. n - 1, ends included."""
     return F.greatest(F.lit(1), F.least(F.size(breaks) - 1, F.size(F.filter(breaks, lambda b: b <= x))))
 
 
-def harvest(leaves: DataFrame, rules: DataFrame, pooled: bool = True, min_support: int = 20, max_len: int = 4) -> DataFrame:
+def harvest(leaves: DataFrame, rules: DataFrame, pooled: bool = True, min_support: int = 20) -> DataFrame:
     """Rules with support, precision, recall, lift, odds ratio, p and q values.
 
-    Pooled: a rule's rows are the distinct rows of all leaves that share its text.  A cheap
+    ``rules`` holds every leaf's text (``path_rules``), whatever its length.  Pooled: a rule's
+    rows are the distinct rows of all leaves that share its text.  A cheap
     first pass over leaf counts drops rules that can't reach the support.
     """
     key = ["rule_str"] if pooled else ["rule_str", "tree", "leaf_id"]
     known = leaves.where("cls is not null")
     tot = known.select("row", "cls").distinct().agg(F.count_if(F.col("cls") == "extreme").alias("_N"), F.count_if(F.col("cls") == "background").alias("_B"))
-    short = rules.where(F.col("rule_len") <= max_len)
-    ledger = leaf_counts(known).join(short, ["tree", "leaf_id"]).groupBy(*key).agg(F.sum(F.col("n_extreme") + F.col("n_bg")).alias("_s")).where(F.col("_s") >= min_support)
-    kept = short.join(ledger.select(*key), key, "left_semi")
+    ledger = leaf_counts(known).join(rules, ["tree", "leaf_id"]).groupBy(*key).agg(F.sum(F.col("n_extreme") + F.col("n_bg")).alias("_s")).where(F.col("_s") >= min_support)
+    kept = rules.join(ledger.select(*key), key, "left_semi")
     rows = known.join(kept, ["tree", "leaf_id"]).select(*key, "rule_len", "row", "cls").distinct()
     g = rows.groupBy(*key).agg(F.max("rule_len").alias("rule_len"), F.count_if(F.col("cls") == "extreme").alias("n_extreme"), F.count_if(F.col("cls") == "background").alias("n_bg"))
     g = g.withColumn("support", F.col("n_extreme") + F.col("n_bg")).where(F.col("support") >= min_support).join(F.broadcast(tot))  # one row

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 from helixframe.functions import keys, stats
-from helixframe.operators import intervals, models, reads, site
+from helixframe.operators import intervals, models, reads, rules, site
 from helixframe.sources import readers
 from pyspark.sql import functions as F
 
@@ -81,3 +81,18 @@ def test_bh_is_monotone_and_capped(spark):
     df = spark.createDataFrame(list(enumerate(p)), "i int, p double")
     q = {r.i: r.qval for r in stats.bh_adjust(df, "p", "i").collect()}
     assert q[4] is None and q[0] == pytest.approx(0.04) and q[1] == q[2] == pytest.approx(0.04 * 4 / 3) and q[3] == pytest.approx(0.9)
+
+
+def test_harvest_counts_leaves_of_deep_paths(spark):
+    first = [(k, f"f{k}", ">=", k + 0.5) for k in range(4)]
+    deep = [(4, "f4", "<", 1.0), (5, "f5", ">=", 2.0)]
+    other = [(4, "f4", ">=", 1.0)]
+    path = {0: first + deep, 1: first + other, 2: [(0, "f0", "<", 0.5)]}
+    steps = spark.createDataFrame([(0, leaf, *x) for leaf, p in path.items() for x in p], "tree int, leaf_id int, depth int, feature string, direction string, thresh_bin double")
+    text = rules.path_rules(steps)
+    assert {r.leaf_id: r.rule_len for r in text.collect()} == {0: 4, 1: 4, 2: 1}
+    leaves = spark.createDataFrame([(r, 0, r % 3, "extreme" if r % 3 < 2 else "background") for r in range(90)], "row int, tree int, leaf_id int, cls string")
+    got = {r.rule_len: (r.n_extreme, r.n_bg) for r in rules.harvest(leaves, text).collect()}
+    assert got == {4: (60, 0), 1: (0, 30)}
+    whole = rules.rule_strings(rules.tighten(steps))
+    assert sorted((r.rule_len, r.support) for r in rules.harvest(leaves, whole, pooled=False).collect()) == [(1, 30), (5, 30), (6, 30)]
