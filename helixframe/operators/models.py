@@ -195,15 +195,20 @@ def manova_shares(y: np.ndarray, library: list, region: list) -> dict[str, float
     return {"library": first / total, "region": (both - first) / total}
 
 
-def sample_pairs(samples: DataFrame, rows: int = 4096) -> DataFrame:
-    """All unordered pairs of samples: a stated set against all, bounded by the number of samples.
+def sample_pairs(samples: DataFrame, rows: int = 1024) -> DataFrame:
+    """All unordered pairs of samples, whatever their number.
 
-    Fails over ``rows`` samples, where a full self-join would no longer be sensible.
+    Samples are dealt by a hash into blocks of about ``rows``; each ordered pair of blocks is a
+    key of its own, so a pair of samples is tried once and no task holds more than two blocks.
     """
-    if samples.limit(rows + 1).count() > rows:
-        raise ValueError("too many samples for all pairs")
-    a, b = samples.toDF(*[f"{c}_1" for c in samples.columns]), samples.toDF(*[f"{c}_2" for c in samples.columns])
-    return a.join(F.broadcast(b), a[f"{samples.columns[0]}_1"] < b[f"{samples.columns[0]}_2"])
+    key, blocks = samples.columns[0], max(1, -(-samples.count() // rows))
+    own, every = F.pmod(F.xxhash64(key), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    n = max(1, min(blocks * blocks, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    a = samples.select(*[F.col(c).alias(f"{c}_1") for c in samples.columns], own.alias("_s"), every.alias("_t"))
+    b = samples.select(*[F.col(c).alias(f"{c}_2") for c in samples.columns], every.alias("_s"), own.alias("_t"))
+    # a stated number, so that small inputs with large results aren't gathered into one task
+    a, b = a.repartition(n, "_s", "_t"), b.repartition(n, "_s", "_t")
+    return a.join(b, ["_s", "_t"]).where(F.col(f"{key}_1") < F.col(f"{key}_2")).drop("_s", "_t")
 
 
 def random_intercept_variance(y: np.ndarray, group: list) -> dict[str, float]:

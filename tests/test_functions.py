@@ -96,3 +96,14 @@ def test_harvest_counts_leaves_of_deep_paths(spark):
     assert got == {4: (60, 0), 1: (0, 30)}
     whole = rules.rule_strings(rules.tighten(steps))
     assert sorted((r.rule_len, r.support) for r in rules.harvest(leaves, whole, pooled=False).collect()) == [(1, 30), (5, 30), (6, 30)]
+
+
+def test_sample_pairs_over_many_blocks(spark):
+    few = spark.createDataFrame([*((i, f"p{i % 3}") for i in range(50)), (None, "p0")], "sample long, pop string")
+    for rows in (7, 50, 1024):
+        got = models.sample_pairs(few, rows)
+        assert got.columns == ["sample_1", "pop_1", "sample_2", "pop_2"]
+        found = sorted(tuple(r) for r in got.collect())
+        assert found == [(i, f"p{i % 3}", j, f"p{j % 3}") for i in range(50) for j in range(i + 1, 50)]
+    many = models.sample_pairs(spark.range(5000).toDF("sample"))
+    assert tuple(many.agg(F.count("*"), F.countDistinct("sample_1"), F.sum(F.col("sample_2") - F.col("sample_1"))).first()) == (5000 * 4999 // 2, 4999, 5000 * (5000**2 - 1) // 6)
