@@ -147,7 +147,7 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
 
     def run(batches):
-        held = ends = None
+        held = ends = flushed = None
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -157,21 +157,22 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             last = int(np.searchsorted(key, key[-1]))  # the last region may go on in the next batch
             if not last and len(pdf) > REGION_ROWS:
                 last = len(pdf) - NEIGHBOURS  # a huge region goes on with its last members
+                flushed = key[-1]
             held = pdf.iloc[last:]
             if last:
-                yield from pairs(pdf.iloc[:last] if key[last - 1] != key[last] else pdf, ends)
+                yield from pairs(pdf.iloc[:last] if key[last - 1] != key[last] else pdf, ends, flushed)
         if held is not None:
-            yield from pairs(held, (ends[0], ends[1], True))
+            yield from pairs(held, (ends[0], ends[1], True), flushed)
             part = TaskContext.get().partitionId()
             edge = [(int(x["doc_id"]), int(x["key"]), i, part) for i, x in enumerate(ends[:2])]
             yield pd.DataFrame(edge, columns=["a", "b", "agree", "part"])
 
-    def pairs(pdf, ends):
+    def pairs(pdf, ends, flushed):
         key, ids, n = (pdf[c].to_numpy() for c in ("key", "doc_id", "n"))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(cut)
-        # regions at a task's ends may go on in another task, whatever their size here
-        left = (sizes > REGION) | (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2])
+        # regions at a task's ends may go on in another task, and flushed ones have other parts, whatever their size here
+        left = (sizes > REGION) | (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2]) | (flushed is not None and key[cut[:-1]] == flushed)
         left = np.repeat(left, sizes)
         if left.any():
             yield pd.DataFrame({"a": ids[left], "b": key[left], "agree": n[left], "part": -2 - pdf["tree"].to_numpy()[left]})

@@ -314,3 +314,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {k for k in kept if re.search(r"[^\W\d_]", docs[k].text or "")}
     assert all(r.length == len(r.ids) // 4 and r.offset + r.length <= 2048 for r in rows)
     assert zlib.crc32(bytes(rows[0].ids)) == zlib.crc32(np.frombuffer(rows[0].ids, "<u4").tobytes())
+
+
+def test_near_dup_keeps_all_rows_of_a_flushed_region(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 100)
+    monkeypatch.setattr(near_dup, "FOREST_BATCH", "50")
+    sizes = {1: 2, 2: 168, 3: 2, 4: 5, 5: 2}  # the last 20 rows of region 2 come after its first part
+    rows = [(k, 0, b"\0" * 8, 1000 * k + i, 50, bytes(16)) for k, m in sizes.items() for i in range(m)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        _, members = near_dup._candidates(spark.createDataFrame(rows, "key long, tree int, deep binary, doc_id long, n long, bits binary"))
+        found = [(r.key, r.doc_id) for r in members.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sorted(found) == [(k, 1000 * k + i) for k in (1, 2, 5) for i in range(sizes[k])]
