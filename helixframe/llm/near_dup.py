@@ -2,19 +2,22 @@
 
 Every distinct shingle set gets a signature of ``TREES * DEPTH`` minhashes.  Tree t orders
 the signatures from position ``t * DEPTH`` on (cyclically).  Documents that share a tree's
-first ``DEPTH`` values form a region.  In a region of up to ``REGION`` members every pair is
-a candidate; in a larger one the depth grows, value by value, until a region is that small,
-and each level that is split keeps, as candidates, the links of each member to its
-neighbours in the order (those with the longest common prefix) and to the region's first
-member.  Orders are range partitions of all trees' rows, so the rows of a large region lie in
-several tasks, each of which links its ends to its neighbours.  Candidates are confirmed on
-the full sets; links make components.
-
-Regions that are large, or may lie in several tasks, then have their remaining pairs tried:
-all pairs of members of different components, each in the first tree that brings it together.
-Members are dealt into cells by set size and a hash; cells that may hold similar sets are
-compared in blocks, first by signatures, then the members that are left by their full sets.
-Only links leave a task.
+first ``DEPTH`` values form a region.  Orders are range partitions of the trees' rows, so the
+rows of a large region lie in several tasks, each of which links its ends to its neighbours.
+
+A first pass over a few trees gives each document two candidates a tree: its neighbour in the
+order (the longest common prefix) and its region's first member.  Those that hold join most
+of each group, by a number of links in proportion to its members.  The second pass, over all
+trees, looks only at members of different components: in a region of up to ``REGION`` members
+every such pair is a candidate; in a larger one the depth grows, value by value, until a
+region is that small, and each level that is split keeps, as candidates, the neighbours in the
+order and the region's first member.  Candidates are confirmed on the full sets.
+
+Regions that are large, or may lie in several tasks, and still hold several components have
+their remaining pairs tried, each in the first tree that brings it together.  Only members
+outside a region's main component are dealt out as probes; they meet its members in cells by
+set size and a hash, first by signatures, then those that are left by their full sets.  Only
+links leave a task.
 
 At a similarity of 0.75 two documents meet in some tree with probability
 1 - (1 - 0.75**4)**32 > 0.99999.
@@ -35,6 +38,8 @@ from . import components, shared, shingles
 
 TREES, DEPTH, DEEPER = 32, 4, 4
 REGION, NEIGHBOURS = 48, 6
+#: Trees of the first pass, which joins most of each group.
+FIRST_TREES = 8
 #: Rounds in which each document tries its likeliest remaining candidate, before all that are left.
 ROUNDS = 2
 #: Rows of one region that a task holds at once.
@@ -87,14 +92,14 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, bits binary")
 
 
-def _forest_rows(reps: DataFrame) -> DataFrame:
-    """(key, tree, deep, doc_id, n, bits) for each tree: key hashes tree and first values, deep has 16 bits of each of the next ones."""
-    wide = reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", F.concat("sig", "sig").alias("wide"))
-    rows = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+def _forest_rows(reps: DataFrame, trees: int = TREES) -> DataFrame:
+    """(key, tree, deep, doc_id, n, label, bits) for each tree: key hashes tree and first values, deep has 16 bits of each of the next ones."""
+    wide = reps.select("doc_id", F.col("n_shingles").alias("n"), "label", "bits", F.concat("sig", "sig").alias("wide"))
+    rows = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     value = lambda d, width: F.substring("wide", 4 * (F.col("tree") * DEPTH + d) + 1, F.lit(width))
     key = F.xxhash64("tree", value(0, 4 * DEPTH))
     deep = F.concat(*(value(DEPTH + d, 2) for d in range(DEEPER)))
-    return rows.select(key.alias("key"), "tree", deep.alias("deep"), "doc_id", "n", "bits")
+    return rows.select(key.alias("key"), "tree", deep.alias("deep"), "doc_id", "n", "label", "bits")
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
@@ -106,17 +111,21 @@ def _agree(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return 8 * bits.shape[1] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
 
 
-def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one region, whose members are ordered by ``deep`` (rows of values).
+def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, first: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one region, whose members are ordered by ``deep`` (rows of values), of different labels.
 
-    All pairs if there are few members; else those of the deeper regions, and of each member
-    with its neighbours in the order and with the region's first member.
+    ``first``: of each member with the next one and with the region's first.  Else all pairs if
+    there are few members; otherwise those of the deeper regions, and of each member with its
+    neighbours in the order and with the region's first member.
     """
     out, work = [], [(0, len(ids), 0)]
+    if first:
+        at, work = np.arange(len(ids)), []
+        out = [(at[:-1], at[1:]), (np.zeros(max(0, len(ids) - 2), np.int64), at[2:])]
     while work:
         a, b, depth = work.pop()
         m = b - a
-        if m < 2:
+        if m < 2 or (label[a:b] == label[a]).all():
             continue
         if m <= REGION:
             i, j = np.triu_indices(m, 1)
@@ -132,14 +141,14 @@ def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndar
     kept = []
     for i, j in out:
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (100 * small >= 75 * large) & (ids[i] != ids[j])
+        ok = (100 * small >= 75 * large) & (label[i] != label[j])
         i, j = i[ok], j[ok]
         ok = _agree(bits, i, j) >= SKETCH_AGREE
         kept.append((i[ok], j[ok]))
     return kept
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidates (a, b, agree) with a < b, and members (key, tree, doc_id, n) of regions with pairs left.
 
     agree is -1 where no sketches were compared.
@@ -168,20 +177,22 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(edge, columns=["a", "b", "agree", "part"])
 
     def pairs(pdf, ends, flushed):
-        key, ids, n = (pdf[c].to_numpy() for c in ("key", "doc_id", "n"))
+        key, ids, n, label = (pdf[c].to_numpy() for c in ("key", "doc_id", "n", "label"))
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(cut)
-        # regions at a task's ends may go on in another task, and flushed ones have other parts, whatever their size here
-        left = (sizes > REGION) | (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2]) | (flushed is not None and key[cut[:-1]] == flushed)
-        left = np.repeat(left, sizes)
-        if left.any():
-            yield pd.DataFrame({"a": ids[left], "b": key[left], "agree": n[left], "part": -2 - pdf["tree"].to_numpy()[left]})
+        if not first:
+            # regions at a task's ends may go on in another task, and flushed ones have other parts, whatever their size here
+            edge = (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2]) | (flushed is not None and key[cut[:-1]] == flushed)
+            several = np.minimum.reduceat(label, cut[:-1]) < np.maximum.reduceat(label, cut[:-1])
+            left = np.repeat(edge | (sizes > REGION) & several, sizes)
+            if left.any():
+                yield pd.DataFrame({"a": ids[left], "b": key[left], "agree": n[left], "part": -2 - pdf["tree"].to_numpy()[left]})
         a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
             deep = np.frombuffer(b"".join(pdf["deep"]), ">u2").reshape(len(ids), -1)
             for x, y in zip(cut[:-1][sizes > 1], cut[1:][sizes > 1], strict=True):
-                for i, j in region_pairs(deep[x:y], ids[x:y], n[x:y], bits[x:y]):
+                for i, j in region_pairs(deep[x:y], ids[x:y], n[x:y], label[x:y], bits[x:y], first):
                     a.append(np.minimum(ids[x:y][i], ids[x:y][j]))
                     b.append(np.maximum(ids[x:y][i], ids[x:y][j]))
                     w.append(_agree(bits[x:y], i, j))
@@ -260,27 +271,23 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return best.select(F.negative("m.na").alias("a"), F.negative("m.nb").alias("b")).distinct()
 
 
-def cell_pairs(tree: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two cells' members that lie in different components and whose signatures agree.
+def cell_pairs(tree: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, side: np.ndarray, stray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (probe, member) of a cell that lie in different components and whose signatures agree.
 
-    ``side`` tells the cells apart (0, 1); where all are 0, a cell is compared with itself.
-    Pairs that an earlier tree brings together are left to it.
+    ``side`` is 1 for probes and 0 for members; a pair of two strays is left to the smaller id's
+    probe, and pairs that an earlier tree brings together to that tree.
     """
-    bits = _sketch(sig).view(np.uint64)
+    bits = _sketch(sig)
     fine = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(two)
-    two = one if same else two
+    one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
     found = [(np.zeros(0, np.int64),) * 2]
     for k in range(0, len(one), 256):
         rows = one[k : k + 256]
         small, large = np.minimum(n[rows, None], n[two]), np.maximum(n[rows, None], n[two])
-        ok = (100 * small >= 75 * large) & (label[rows, None] != label[two])
-        if same:
-            ok &= ids[rows, None] < ids[two]
+        ok = (100 * small >= 75 * large) & (label[rows, None] != label[two]) & (~stray[two] | (ids[rows, None] < ids[two]))
         i, j = np.nonzero(ok)
         i, j = rows[i], two[j]
-        ok = _agree(bits.view(np.uint8), i, j) >= SKETCH_AGREE
+        ok = _agree(bits, i, j) >= SKETCH_AGREE
         i, j = i[ok], j[ok]
         for x in range(0, len(i), 1 << 15):
             p, q = i[x : x + (1 << 15)], j[x : x + (1 << 15)]
@@ -291,70 +298,75 @@ def cell_pairs(tree: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def cell_links(pairs: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Of the index pairs whose full sets hold, one for each first member and component of the second."""
+def cell_links(pairs: tuple[np.ndarray, np.ndarray], set_of, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the index pairs whose full sets hold, one for each first member and component of the second.
+
+    ``set_of`` gives the set of an index; two sets at least are held at a time.
+    """
     order = np.argsort(pairs[0], kind="stable")
-    first, second = pairs[0][order], pairs[1][order]
-    out = []
-    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first)) + 1) if len(first) else []:
-        x = sets[first[part[0]]]
-        for k in range(0, len(part), 256):
-            js = second[part[k : k + 256]]
-            sizes = np.array([len(sets[j]) for j in js])
-            every = np.concatenate([sets[j] for j in js])
-            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-            both = np.add.reduceat((x[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            ok = js[100 * both >= percent * (len(x) + sizes - both)]
-            out += [(int(first[part[0]]), int(ok[i])) for i in np.unique(label[ok], return_index=True)[1]]
+    out, done = [], set()
+    for i, j in zip(pairs[0][order].tolist(), pairs[1][order].tolist(), strict=True):
+        if (i, label[j]) in done:
+            continue
+        x, y = set_of(i), set_of(j)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            out.append((i, j))
+            done.add((i, label[j]))
     return out
 
 
+CELL_KEY = ("key", "tree", "c", "x", "y")
+
+
 def _dealt(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, tree, c, x, y, next, doc_id, n, label, side): members of regions of several components, by cells."""
+    """(key, tree, c, x, y, doc_id, n, label, side, stray): regions of several components, by cells.
+
+    Strays are the members outside a region's main component.  A stray probes the members of
+    its own and both next size classes; members lie in their own class.  Probes and members are
+    cut into blocks of about ``CELL``; a member is repeated for each block of probes, so rows
+    grow with the members times one in ``CELL`` of the strays.
+    """
     label = comp.select(F.col("node").alias("doc_id"), "component")
     m = members.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    m = m.withColumn("c", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
-    sizes = m.groupBy("key", "c").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    spans = sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("m") / CELL).cast("int").alias("s")))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    m = m.join(spans.where("lo < hi").select("key", "cells"), "key")
-    m = m.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("cells")[F.col("c")]).cast("int"))
-    # a cell meets itself, the cells of its class, and those of the next class
-    at = lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(0))
-    slots = lambda k, f: F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), f)
-    c, own = F.col("c"), F.col("s")
-    meets = F.concat(
-        slots(at(c), lambda t: F.struct(c.alias("c"), F.least(own, t).alias("x"), F.greatest(own, t).alias("y"), F.lit(False).alias("next"), (own > t).cast("int").alias("side"))),
-        slots(at(c + 1), lambda t: F.struct(c.alias("c"), own.alias("x"), t.alias("y"), F.lit(True).alias("next"), F.lit(0).alias("side"))),
-        slots(at(c - 1), lambda t: F.struct((c - 1).alias("c"), t.alias("x"), own.alias("y"), F.lit(True).alias("next"), F.lit(1).alias("side"))),
-    )
-    return m.select("key", "tree", "doc_id", "n", "label", F.explode(meets).alias("w")).select("key", "tree", "doc_id", "n", "label", "w.*")
-
-
-CELL_KEY = ("key", "tree", "c", "x", "y", "next")
+    sizes = m.groupBy("key", "label").count()
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+    m = m.join(main.where("labels > 1").select("key", "main"), "key").withColumn("stray", F.col("label") != F.col("main"))
+    m = m.withColumn("c", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")).drop("main")
+    m = shared.stage(m, "members")
+    probes = m.where("stray").withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).withColumn("side", F.lit(1))
+    held = m.withColumn("side", F.lit(0))
+    count = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / CELL).cast("int")
+    blocks = probes.union(held.select(probes.columns)).groupBy("key", "c").agg(count(1).alias("probes"), count(0).alias("held")).where("probes > 0 and held > 0")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*CELL_KEY, "doc_id", "n", "label", "side", "stray"]
+    ask = probes.join(blocks, ["key", "c"]).withColumn("x", own("probes")).withColumn("y", every("held")).select(columns)
+    answer = held.join(blocks, ["key", "c"]).withColumn("y", own("held")).withColumn("x", every("probes")).select(columns)
+    return ask.union(answer)
 
 
 def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between regions' members that lie in different components, enough to join these."""
-    columns = "key long, tree int, c int, x int, y int, next boolean, doc_id long, n long, label long, side int"
+    columns = "key long, tree int, c int, x int, y int, doc_id long, n long, label long, side int, stray boolean"
 
     def pairs(pdf):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        return cell_pairs(int(pdf["tree"].iloc[0]), *(pdf[x].to_numpy() if x != "sig" else sig for x in ("doc_id", "n", "sig", "label", "side")))
+        return cell_pairs(int(pdf["tree"].iloc[0]), *(pdf[x].to_numpy() if x != "sig" else sig for x in ("doc_id", "n", "sig", "label", "side", "stray")))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = pdf["label"].to_numpy()
-        left = np.zeros(0, np.int64) if (label == label[0]).all() else np.unique(np.concatenate(pairs(pdf)))
+        left = np.unique(np.concatenate(pairs(pdf))) if pdf["side"].nunique() > 1 else np.zeros(0, np.int64)
         return pdf.iloc[left].drop(columns="sig")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack = _unpacker(size)
+        unpack, packed = _unpacker(size), pdf["packed"].tolist()
         ids, label = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
-        got = cell_links(pairs(pdf), [unpack(x) for x in pdf["packed"]], label, percent)
+        got = cell_links(pairs(pdf), lambda i: unpack(packed[i]), label, percent)
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}).astype("int64")
 
     dealt = shared.stage(_dealt(members, comp), "cells")
     sig = reps.select("doc_id", "sig").where(_filter(dealt.select("doc_id").distinct()))
-    held = dealt.join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "sig")
+    held = dealt.join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "stray", "sig")
     held = shared.stage(held.groupBy(*CELL_KEY).applyInPandas(near, columns), "remaining")
     wanted = held.select("doc_id").distinct()
     few = _filter(wanted)
@@ -363,20 +375,21 @@ def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataF
     return held.join(texts, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The candidates that hold, but for those within a component that others made."""
+def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, size: int, percent: int, every: bool) -> DataFrame:
+    """Links among the candidates, with those ``known`` before: each document's likeliest in rounds.
+
+    Rounds look only at candidates between components.  ``every``: all that are left after the
+    rounds are tried as well.
+    """
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi")
     texts = shared.stage(_texts(some).dropDuplicates(["doc_id", "packed"]), "texts")
-
-    # each document's likeliest candidate first; then the same among those that still lie in two
-    # components; then all that still do
-    links, rest = None, pairs
-    for k in range(ROUNDS + 1):
+    links, rest = known, pairs
+    for k in range(ROUNDS + every):
         tried = rest.select("a", "b") if k == ROUNDS else shared.stage(_likeliest(rest), "tried")
         got = shared.stage(_confirm(tried, texts, size, percent), "links")
         links = got if links is None else links.union(got)
-        if k == ROUNDS:
+        if k == ROUNDS or not every and k == ROUNDS - 1:
             break
         comp = shared.stage(components.connected_components(links, partial=2), "labels")
         of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
@@ -404,12 +417,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = shared.stage(reps, "representatives")
     first = reps.select("digest", F.col("doc_id").alias("a"))
-    pairs, members = _candidates(_forest_rows(reps))
-    pairs = shared.stage(pairs, "candidates")
     # an id with several texts joins their groups
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     several = named.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(first, "digest").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _linked(docs, pairs, size, percent).union(several)
+    several = shared.stage(several, "several")
+    own = reps.withColumn("label", F.col("doc_id"))
+    pairs, _ = _candidates(_forest_rows(own, FIRST_TREES), first=True)
+    links = _linked(docs, shared.stage(pairs, "candidates"), several, size, percent, every=False)
+    comp = shared.stage(components.connected_components(links), "labels")
+    labelled = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    pairs, members = _candidates(_forest_rows(labelled))
+    # known links are carried on as one from each node to its component
+    known = comp.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
+    links = _linked(docs, shared.stage(pairs, "candidates"), known, size, percent, every=True)
     comp = shared.stage(components.connected_components(links), "labels")
     more = shared.stage(_remaining(docs, members, reps, comp, size, percent), "links")
     if more.limit(1).count():

@@ -36,12 +36,107 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+#: Characters that are a letter and a mark once composed or made small, and others that are easily cut wrongly.
+ODD = ["\u0130", "\u0149", "\u0958", "\u095f", "\u09dc", "\u0a36", "\ufb1d", "\ufb4e", "\u03a3", "\u0301", "\u212a", "\u1e9e", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "\u200b", "\u180e", "\xad"]
+PIECES = [" ", " ", " ", "  ", "\n", "\t", ",", ".", "!", "'s", "'", "a", "B", "word", "Word.", "\xe9", "\xc9t\xe9,", "12", "7.", "<|endoftext|>", "<|startoftext|>,", "#", "\u0434\u0430", "\u4e2d\u6587", *ODD]
+
+
 def test_chunked_ids_equal_whole_text_ids():
-    odd = ["", " ", "  a  b\n\n c", "x<|endoftext|> y <|endoftext|>z", "a \x1c b\x85 c", "é é x́ İ ΑΣ, ΑΣ.", "\n a\t b  　 c 's don't", "12 345  6. A1, ½!"]
-    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        enc = tokens.encoder(tokens.tokenizer_path(name), spaced)
+    odd = ["", " ", "  a  b\n\n c", "x<|endoftext|> y <|endoftext|>z", "a \x1c b\x85 c", "\n a\t b \xa0 \u3000 c 's don't", "12 345  6. A1, \xbd!", "a\nb. C\n\nd", *(f"{c}, a{c}. {c}b! {c}" for c in ODD)]
+    for name in VOCABULARIES:
+        enc = tokens.encoder(tokens.tokenizer_path(name))
+        assert enc.form == ("spaced" if "byte" in name else "worded")
         for t in odd:
-            assert enc.encode([t])[0].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+            assert enc.encode([t])[0].tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(st.characters(exclude_categories=["Cs"]), max_size=3)), max_size=14).map("".join))
+def test_ids_of_any_text_equal_the_library_s(text):
+    for name in VOCABULARIES:
+        enc = tokens.encoder(tokens.tokenizer_path(name))
+        assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_empties_its_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNKS", 50)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(300)}{'.' * int(rng.integers(2))}" for _ in range(40)) for _ in range(60)]
+    for name in VOCABULARIES:
+        enc = tokens.ChunkEncoder(tokens.tokenizer_path(name))
+        for k in range(0, 60, 4):
+            for t, ids in zip(texts[k : k + 4], enc.encode(texts[k : k + 4]), strict=True):
+                assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        assert enc.known <= 400
+
+
+def test_other_vocabularies_go_to_the_library_whole(tmp_path):
+    import json
+
+    with open(tokens.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        j = json.load(f)
+    j["normalizer"] = {"type": "NFD"}
+    (tmp_path / "other.json").write_text(json.dumps(j))
+    enc = tokens.ChunkEncoder(str(tmp_path / "other.json"))
+    assert enc.form == "other" and enc.encode(["A \xe9, b", None])[0].tolist() == enc.tok.encode("A \xe9, b", add_special_tokens=False).ids
+
+
+def test_queries_return_the_library_s_ids(spark):
+    """op1 and op10 against whole-text encoding by the library, and op1's places against its contract."""
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    tok, at = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json")), 0
+    rows = {r.doc_id: r for r in token_file.op10_token_file(spark, d).collect()}
+    assert len(rows) == len(docs)
+    for k in sorted(docs):
+        ids = [*tok.encode(docs[k], add_special_tokens=False).ids, 2]
+        assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    tok = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    pieces, placed, total = {}, {}, 0
+    for r in packing.op1_best_fit_packing(spark, d).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        placed.setdefault(r.sequence_id, []).append(r)
+    assert pieces.keys() == docs.keys()
+    for k, own in pieces.items():
+        ids, own = [*tok.encode(docs[k], add_special_tokens=False).ids, 0], sorted(own, key=lambda r: r.piece)
+        total += len(ids)
+        assert [r.piece for r in own] == list(range(-(-len(ids) // 2048))) and [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()]
+        assert all(r.length == 2048 for r in own[1:]) and sum(r.length for r in own) == len(ids)
+        assert [r.ids_crc32 for r in own] == [crc(ids[r.start : r.start + r.length]) for r in own]
+    for own in placed.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()] and own[-1].offset + own[-1].length <= 2048
+    assert len(placed) <= 1.02 * -(-total // 2048) + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.integers(1, 30))
+def test_sum_index_finds_what_brute_force_finds(lengths, gap):
+    import itertools
+
+    free = np.bincount(lengths, minlength=31)
+    index = packing.SumIndex(free)
+    for _ in range(4):
+        got = index.exact(gap)
+        left = [k for k, n in enumerate(index.free) for _ in range(n)]
+        want = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(left, n))
+        assert (got is not None) == want and (got is None or sum(got) == gap)
+        for k in got or ():
+            index.free[k] -= 1
+        assert min(index.free) >= 0
+
+
+def test_packing_slices_of_a_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 30)
+    rows = spark.createDataFrame([(i, 0, 700 if i % 3 else 648) for i in range(400)], "doc_id long, piece int, length long")
+    out = packing.best_fit_pack(rows).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 400 and max(r.offset + r.length for r in out) <= 2048
+    assert len({r.sequence_id for r in out}) <= 135
 
 
 @settings(max_examples=30, deadline=None)
@@ -251,7 +346,7 @@ def test_remaining_pairs_join_what_brute_force_joins(spark):
         texts[i] = " ".join(w[: 60 + i % 31])
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     signed = near_dup._signatures(docs, 5)
-    members = near_dup._forest_rows(signed).select("key", "tree", "doc_id", "n")
+    members = near_dup._forest_rows(signed.withColumn("label", signed.doc_id)).select("key", "tree", "doc_id", "n")
     known = spark.createDataFrame([], "node long, component long")
     links = near_dup._remaining(docs, members, signed, known, 5, 75)
     got = {r.node: r.component for r in near_dup.components.connected_components(links).collect()}
@@ -260,6 +355,37 @@ def test_remaining_pairs_join_what_brute_force_joins(spark):
     assert half.count() == 0  # one component: nothing is left to try
 
 
+def test_hot_group_equals_brute_force(spark):
+    """A group of 2,000 near copies in several components, and unlike documents that share its words."""
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{i}" for i in range(70)], {}
+    for i in range(2000):
+        w = list(base)
+        if i % 5 == 0:
+            for k in range(3, 70, 9):  # like the others, but under the limit
+                w[k] = f"v{i % 25}x{k}"
+        for _ in range(int(rng.integers(0, 3))):
+            w[rng.integers(70)] = f"q{rng.integers(5000)}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    vocab: dict = {}
+    sets = []
+    for t in texts.values():
+        w = t.split()
+        sets.append({vocab.setdefault(tuple(w[i : i + 5]), len(vocab)) for i in range(len(w) - 4)})
+    hot = np.zeros((2000, len(vocab)), np.float32)
+    for i, x in enumerate(sets):
+        hot[i, list(x)] = 1
+    n = hot.sum(axis=1)
+    both = hot @ hot.T
+    near = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    want = np.arange(2000)
+    while (new := np.where(near, want[None], 2000).min(axis=1)).tolist() != want.tolist():
+        want = new
+    assert len(set(want.tolist())) > 3 and got == dict(enumerate(want.tolist()))
+
+
 def docs_lit():
     from pyspark.sql import functions as F
 
@@ -320,11 +446,11 @@ def test_near_dup_keeps_all_rows_of_a_flushed_region(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "REGION_ROWS", 100)
     monkeypatch.setattr(near_dup, "FOREST_BATCH", "50")
     sizes = {1: 2, 2: 168, 3: 2, 4: 5, 5: 2}  # the last 20 rows of region 2 come after its first part
-    rows = [(k, 0, b"\0" * 8, 1000 * k + i, 50, bytes(16)) for k, m in sizes.items() for i in range(m)]
+    rows = [(k, 0, b"\0" * 8, 1000 * k + i, 50, 1000 * k + i, bytes(16)) for k, m in sizes.items() for i in range(m)]
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        _, members = near_dup._candidates(spark.createDataFrame(rows, "key long, tree int, deep binary, doc_id long, n long, bits binary"))
+        _, members = near_dup._candidates(spark.createDataFrame(rows, "key long, tree int, deep binary, doc_id long, n long, label long, bits binary"))
         found = [(r.key, r.doc_id) for r in members.collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
