@@ -14,16 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of texts: bounds a Python worker's memory.
-BATCH_ROWS = "400"
+#: Rows and bytes in one Arrow batch of texts: bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = "400", "8m"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 MIN_LONG = -(2**63)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for staged data; a folder of our own only where none is configured."""
+    """Shared folder for staged data; a folder of our own only on one machine where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "helixframe-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,15 +43,22 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder (through Hadoop's file system, so on any store)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def release(df: DataFrame | None) -> None:
+    """Delete what ``stage`` wrote for a table that no later plan reads (through Hadoop's file system, so on any store)."""
+    for file in df.inputFiles()[:1] if df is not None else ():
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast variable, for values of a bounded size."""
+    return spark.sparkContext.broadcast(value)
 
 
 def text_batches(spark: SparkSession) -> None:
     """Small Arrow batches: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def parts(spark: SparkSession) -> int:

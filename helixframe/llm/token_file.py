@@ -9,7 +9,6 @@ verify only the documents asked for.
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,9 @@ SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
-SUMMARY = "part int, path string, n_docs long, n_tokens long"
+#: A file is closed when it holds so many bytes.
+FILE_BYTES = 256 << 20
+SUMMARY = "part int, piece int, path string, n_docs long, n_tokens long"
 
 
 class TokenWriter:
@@ -97,11 +98,11 @@ class TokenReader:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> list[tuple]:
-    """Write ``docs`` (doc_id, text) in ascending doc_id (nulls first, then text); returns (part, path, documents, ids).
+    """Write ``docs`` (doc_id, text) in ascending doc_id (nulls first, then text); returns (part, piece, path, documents, ids).
 
-    One file for each range of ids; a retried task replaces its file whole.  Null texts are
-    the end id alone, repeated rows are written as often as they come, an empty table gives
-    no file, further columns go.
+    Files follow the ranges of ids and are closed at ``FILE_BYTES``; a retried task replaces its
+    files whole.  Null texts are the end id alone, repeated rows are written as often as they
+    come, an empty table gives no file, further columns go.
     """
     spark = docs.sparkSession
     path = path or tokens.tokenizer_path(VOCABULARY)
@@ -109,17 +110,25 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     def run(batches):
         out = writer = None
-        part = TaskContext.get().partitionId()
+        part, done = TaskContext.get().partitionId(), []
+        end = np.array([end_id], np.uint32)
+
+        def close():
+            writer.close()
+            done.append((part, len(done), out.commit(), len(writer.docs), writer.n_tokens))
+
         for pdf in batches:
-            if out is None:
-                out = shared.AtomicFile(folder, f"part-{part:06d}.tokens.zst")
-                writer = TokenWriter(out)
-            for doc, ids in zip(pdf["doc_id"], tokens.encoder(path, False).encode(pdf["text"].tolist()), strict=True):
-                writer.add(None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(end_id)))
+            for doc, ids in zip(pdf["doc_id"], tokens.encoder(path).encode(pdf["text"].tolist()), strict=True):
+                if out is None:
+                    out = shared.AtomicFile(folder, f"part-{part:06d}-{len(done):04d}.tokens.zst")
+                    writer = TokenWriter(out)
+                writer.add(None if pd.isna(doc) else int(doc), np.concatenate([ids, end]))
+                if out.size >= FILE_BYTES:
+                    close()
+                    out = None
         if out is not None:
-            writer.close()
-            name = out.commit()
-            yield pd.DataFrame({"part": [part], "path": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens]})
+            close()
+        yield pd.DataFrame(done, columns=["part", "piece", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(shared.parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -129,8 +138,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 def read_token_files(spark: SparkSession, folder: str, files: list[tuple]) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, decoded from the files; start counts all ids before it."""
     base, rows = 0, []
-    for part, path, _, n in sorted(files):
-        rows.append((part, path, base))
+    for part, piece, path, _, n in sorted(files):
+        rows.append((part, piece, path, base))
         base += n
 
     def run(batches):
@@ -139,14 +148,19 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple]) -> Da
             for path, first in zip(pdf["path"], pdf["base"], strict=True):
                 with fs.open_input_file(path) as source:
                     r = TokenReader(source)
-                    for a in range(0, r.n_docs, 500):
-                        span = range(a, min(a + 500, r.n_docs))
-                        ids = [r.tokens(k) for k in span]
-                        doc = pd.array([None if r.null[k] else int(r.ids[k]) for k in span], dtype="Int64")
-                        yield pd.DataFrame({"doc_id": doc, "start": [int(first + r.starts[k]) for k in span], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
-
-    listed = spark.createDataFrame(rows, "part int, path string, base long")
-    listed = listed.repartition(max(1, len(rows)), "part") if rows else listed
+                    a = 0
+                    while a < r.n_docs:
+                        b, size = a, 0
+                        while b < r.n_docs and b - a < 500 and size < 1 << 22:  # bounded by bytes as well
+                            size += int(r.table[b, 1])
+                            b += 1
+                        ids = [r.frame(k) for k in range(a, b)]
+                        doc = pd.array([None if r.null[k] else int(r.ids[k]) for k in range(a, b)], dtype="Int64")
+                        yield pd.DataFrame({"doc_id": doc, "start": first + r.starts[a:b], "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+                        a = b
+
+    listed = spark.createDataFrame(rows, "part int, piece int, path string, base long")
+    listed = listed.repartition(max(1, len(rows)), "part", "piece") if rows else listed
     return listed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -155,7 +169,3 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(shared.table(spark, sf_dir, "documents"), folder)
     rows = read_token_files(spark, folder, files)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def brute_crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
