@@ -7,6 +7,7 @@ tree lets two fingerprints be compared branch by branch.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -21,52 +22,99 @@ PIECE = 80
 _PIECES = re.compile(r"[^\n]{1,%d}?[.!?;|](?=\s)|[^\n]{1,%d}" % (PIECE - 1, PIECE))
 
 
-def _hash(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _hash(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def merkle(text: str | None) -> str:
     """``root/section;section``, a section ``hash=paragraph+paragraph``, a paragraph ``piece.piece``.
 
-    A piece is 8 hex digits of its hash and its length in hex.  Line feeds belong to the
-    root alone.  Null counts as empty; equal texts have equal fingerprints.
+    A paragraph is a line, so line feeds follow from the paragraphs.  A node's hash is that of
+    its branches' hashes (128 bits each), up to the root, which is printed whole; of a piece and
+    a section the first 32 bits are printed, of a piece its length in hex as well.  Null counts
+    as empty; equal texts have equal fingerprints.
     """
-    text = text or ""
-    sections, held = [], []
-    for line in text.split("\n"):
-        pieces = [_hash(p.encode("utf-8", "surrogatepass"), 4) + format(len(p), "x") for p in _PIECES.findall(line)]
-        node = ".".join(pieces)
-        held.append(node)
-        if not pieces or int(_hash(node.encode(), 1), 16) % 4 == 0:
-            sections.append("+".join(held))
-            held = []
-    if held:
-        sections.append("+".join(held))
-    shown = [_hash(s.encode(), 4) + "=" + s for s in sections]
-    root = _hash("".join(s[:8] for s in shown).encode() + b"/" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), 16)
-    return root + "/" + ";".join(shown)
-
-
-def _pieces(print_: str) -> list[str]:
-    body = print_.partition("/")[2]
-    return [p for s in body.split(";") for node in s.partition("=")[2].split("+") for p in node.split(".") if p]
+    sections, paragraphs, shown = [], [], []
+
+    def close():
+        node = _hash(b"s" + b"".join(paragraphs))
+        sections.append(node)
+        out.append(node[:4].hex() + "=" + "+".join(shown))
+        paragraphs.clear()
+        shown.clear()
+
+    out: list[str] = []
+    for line in (text or "").split("\n"):
+        pieces = _PIECES.findall(line)
+        marks = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
+        node = _hash(b"p" + b"".join(marks))
+        paragraphs.append(node)
+        shown.append(".".join(m[:4].hex() + format(len(p), "x") for m, p in zip(marks, pieces, strict=True)))
+        if not pieces or node[0] % 4 == 0:
+            close()
+    if paragraphs:
+        close()
+    return _hash(b"r" + b"".join(sections)).hex() + "/" + ";".join(out)
+
+
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Ascending index pairs of equal entries, in one order for both: ends first, then a longest run of ascending matches."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    at: dict[str, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        at.setdefault(b[j], []).append(j)
+    # the k-th occurrence here is that there
+    found = [(i, places.pop()) for i in range(head, len(a) - tail) if (places := at.get(a[i]))]
+    ends: list[int] = []  # of the best ascending run of each length, its last match
+    before, runs = [-1] * len(found), []
+    for k, (_, j) in enumerate(found):
+        n = bisect.bisect_left(ends, j)
+        before[k] = runs[n - 1] if n else -1
+        ends[n : n + 1], runs[n : n + 1] = [j], [k]
+    middle, k = [], runs[-1] if runs else -1
+    while k >= 0:
+        middle.append(found[k])
+        k = before[k]
+    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _gaps(pairs: list[tuple[int, int]], n: int, m: int):
+    """Slices of both sides between the matches, where both have entries."""
+    i = j = 0
+    for x, y in [*pairs, (n, m)]:
+        if x > i and y > j:
+            yield slice(i, x), slice(j, y)
+        i, j = x + 1, y + 1
+
+
+def _chars(paragraph: str) -> int:
+    return sum(int(p[8:], 16) for p in paragraph.split(".") if p)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of both texts' characters that lie in common pieces (0 to 1); 1 for equal roots."""
+    """Share of both texts' characters in equal branches, in order (0 to 1); 1 for equal roots.
+
+    Equal sections are matched first; between those that differ, equal paragraphs, and between
+    these, equal pieces.
+    """
     if a[:32] == b[:32]:
         return 1.0
-    counts: dict[str, int] = {}
-    total = both = 0
-    for p in _pieces(a):
-        counts[p] = counts.get(p, 0) + 1
-        total += int(p[8:], 16)
-    for p in _pieces(b):
-        n = int(p[8:], 16)
-        total += n
-        if counts.get(p, 0):
-            counts[p] -= 1
-            both += n
+    one, two = (x.partition("/")[2].split(";") for x in (a, b))
+    lines = lambda sections: [p for s in sections for p in s.partition("=")[2].split("+")]
+    total, both, found = sum(map(_chars, lines(one) + lines(two))), 0, aligned(one, two)
+    both += sum(_chars(p) for i, _ in found for p in lines([one[i]]))
+    for x, y in _gaps(found, len(one), len(two)):
+        left, right = lines(one[x]), lines(two[y])
+        same = aligned(left, right)
+        both += sum(_chars(left[i]) for i, _ in same)
+        for u, v in _gaps(same, len(left), len(right)):
+            p, q = ([k for n in side for k in n.split(".") if k] for side in (left[u], right[v]))
+            both += sum(int(p[i][8:], 16) for i, _ in aligned(p, q))
     return 2 * both / total if total else 0.0
 
 
