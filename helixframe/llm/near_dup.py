@@ -39,7 +39,7 @@ from . import components, shared, shingles
 TREES, DEPTH, DEEPER = 32, 4, 4
 REGION, NEIGHBOURS = 48, 6
 #: Trees of the first pass, which joins most of each group.
-FIRST_TREES = 8
+FIRST_TREES = 4
 #: Rounds in which each document tries its likeliest remaining candidate, before all that are left.
 ROUNDS = 2
 #: Rows of one region that a task holds at once.
@@ -151,7 +151,8 @@ def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.nda
 def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidates (a, b, agree) with a < b, and members (key, tree, doc_id, n) of regions with pairs left.
 
-    agree is -1 where no sketches were compared.
+    agree is -1 where no sketches were compared.  Of a region that has pairs left a task tells
+    only the key and the labels' range; its members are then looked up among ``rows``.
     """
     spark = rows.sparkSession
 
@@ -183,10 +184,10 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
         if not first:
             # regions at a task's ends may go on in another task, and flushed ones have other parts, whatever their size here
             edge = (key[cut[:-1]] == ends[0]["key"]) | ((key[cut[:-1]] == ends[1]["key"]) & ends[2]) | (flushed is not None and key[cut[:-1]] == flushed)
-            several = np.minimum.reduceat(label, cut[:-1]) < np.maximum.reduceat(label, cut[:-1])
-            left = np.repeat(edge | (sizes > REGION) & several, sizes)
+            low, high = np.minimum.reduceat(label, cut[:-1]), np.maximum.reduceat(label, cut[:-1])
+            left = edge | (sizes > REGION) & (low < high)
             if left.any():
-                yield pd.DataFrame({"a": ids[left], "b": key[left], "agree": n[left], "part": -2 - pdf["tree"].to_numpy()[left]})
+                yield pd.DataFrame({"a": low[left], "b": key[cut[:-1]][left], "agree": high[left], "part": -2})
         a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
@@ -205,7 +206,8 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
     found = shared.stage(placed.mapInPandas(run, "a long, b long, agree long, part int"), "found")
     shared.text_batches(spark)
     # two rows for each task: where a region goes on in the next task, its neighbours there are linked
-    members = found.where("part < -1").select(F.col("b").alias("key"), (-2 - F.col("part")).alias("tree"), F.col("a").alias("doc_id"), F.col("agree").alias("n")).distinct()
+    regions = found.where("part = -2").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("low"), F.max("agree").alias("high")).where("low < high")
+    members = rows.join(shared.stage(regions.select("key"), "regions"), "key", "left_semi").select("key", "tree", "doc_id", "n")
     edges = sorted((r["part"], r["agree"], r["a"], r["b"]) for r in found.where("part >= 0").collect())
     joined = [(min(x[2], y[2]), max(x[2], y[2]), -1) for x, y in zip(edges, edges[1:], strict=False) if x[0] != y[0] and x[3] == y[3] and x[2] != y[2]]
     more = spark.createDataFrame(joined, "a long, b long, agree long")
@@ -331,13 +333,15 @@ def _dealt(members: DataFrame, comp: DataFrame) -> DataFrame:
     m = members.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     sizes = m.groupBy("key", "label").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels"))
-    m = m.join(main.where("labels > 1").select("key", "main"), "key").withColumn("stray", F.col("label") != F.col("main"))
+    main = shared.stage(main.where("labels > 1").select("key", "main"), "mains")
+    m = m.join(main, "key").withColumn("stray", F.col("label") != F.col("main"))
     m = m.withColumn("c", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")).drop("main")
     m = shared.stage(m, "members")
     probes = m.where("stray").withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).withColumn("side", F.lit(1))
     held = m.withColumn("side", F.lit(0))
     count = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / CELL).cast("int")
     blocks = probes.union(held.select(probes.columns)).groupBy("key", "c").agg(count(1).alias("probes"), count(0).alias("held")).where("probes > 0 and held > 0")
+    blocks = shared.stage(blocks, "blocks")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [*CELL_KEY, "doc_id", "n", "label", "side", "stray"]
