@@ -5,13 +5,13 @@ the signatures from position ``t * DEPTH`` on (cyclically).  Documents that shar
 first ``DEPTH`` values form a region.  Orders are range partitions of the trees' rows, so the
 rows of a large region lie in several tasks, each of which links its ends to its neighbours.
 
-A first pass over a few trees gives each document two candidates a tree: its neighbour in the
-order (the longest common prefix) and its region's first member.  Those that hold join most
-of each group, by a number of links in proportion to its members.  The second pass, over all
+A first pass over a few trees gives each document two candidates: the likeliest of its neighbours
+in the orders (the longest common prefixes) and the likeliest of its regions' first members.
+Those that hold join most of each group, by at most two links a member.  The second pass, over all
 trees, looks only at members of different components: in a region of up to ``REGION`` members
-every such pair is a candidate; in a larger one the depth grows, value by value, until a
-region is that small, and each level that is split keeps, as candidates, the neighbours in the
-order and the region's first member.  Candidates are confirmed on the full sets.
+every such pair is a candidate.  A larger region is ordered by further values, deeper where it
+is denser, and each member and its neighbour in that order are candidates.  Candidates are
+confirmed on the full sets.
 
 Regions that are large, or may lie in several tasks, and still hold several components have
 their remaining pairs tried, each in the first tree that brings it together.  Only members
@@ -25,7 +25,7 @@ At a similarity of 0.75 two documents meet in some tree with probability
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import components, shared, shingles
 
 TREES, DEPTH, DEEPER = 32, 4, 4
-REGION, NEIGHBOURS = 48, 6
+REGION = 48
 #: Trees of the first pass, which joins most of each group.
 FIRST_TREES = 4
 #: Rounds in which each document tries its likeliest remaining candidate, before all that are left.
@@ -111,33 +111,19 @@ def _agree(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return 8 * bits.shape[1] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
 
 
-def region_pairs(deep: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, first: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one region, whose members are ordered by ``deep`` (rows of values), of different labels.
+def region_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, first: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different labels of one region, whose members are in its order.
 
-    ``first``: of each member with the next one and with the region's first.  Else all pairs if
-    there are few members; otherwise those of the deeper regions, and of each member with its
-    neighbours in the order and with the region's first member.
+    Of each member with the next one, and with all others if they are few; ``first``: of each
+    with the next one, then of the region's first member with each.
     """
-    out, work = [], [(0, len(ids), 0)]
+    at = np.arange(len(ids))
     if first:
-        at, work = np.arange(len(ids)), []
         out = [(at[:-1], at[1:]), (np.zeros(max(0, len(ids) - 2), np.int64), at[2:])]
-    while work:
-        a, b, depth = work.pop()
-        m = b - a
-        if m < 2 or (label[a:b] == label[a]).all():
-            continue
-        if m <= REGION:
-            i, j = np.triu_indices(m, 1)
-            out.append((i + a, j + a))
-            continue
-        at = np.arange(a, b)
-        out += [(at[:-k], at[k:]) for k in range(1, NEIGHBOURS + 1)]
-        out.append((np.full(m - 1, a), at[1:]))
-        if depth < deep.shape[1]:
-            cut = a + 1 + np.flatnonzero(deep[a + 1 : b, depth] != deep[a : b - 1, depth])
-            edges = [a, *cut.tolist(), b]
-            work += [(x, y, depth + 1) for x, y in zip(edges, edges[1:], strict=False)]
+    elif (label == label[0]).all():
+        return []
+    else:
+        out = [np.triu_indices(len(ids), 1) if len(ids) <= REGION else (at[:-1], at[1:])]
     kept = []
     for i, j in out:
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -153,6 +139,7 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
 
     agree is -1 where no sketches were compared.  Of a region that has pairs left a task tells
     only the key and the labels' range; its members are then looked up among ``rows``.
+    ``first``: only (a, b), at most two for each document.
     """
     spark = rows.sparkSession
 
@@ -166,7 +153,7 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
             key = pdf["key"].to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last region may go on in the next batch
             if not last and len(pdf) > REGION_ROWS:
-                last = len(pdf) - NEIGHBOURS  # a huge region goes on with its last members
+                last = len(pdf) - 1  # a huge region goes on with its last member
                 flushed = key[-1]
             held = pdf.iloc[last:]
             if last:
@@ -188,18 +175,19 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
             left = edge | (sizes > REGION) & (low < high)
             if left.any():
                 yield pd.DataFrame({"a": low[left], "b": key[cut[:-1]][left], "agree": high[left], "part": -2})
-        a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, w, kind = ([np.zeros(0, np.int64)] for _ in range(4))
         if sizes.max() > 1:
             bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(ids), -1)
-            deep = np.frombuffer(b"".join(pdf["deep"]), ">u2").reshape(len(ids), -1)
             for x, y in zip(cut[:-1][sizes > 1], cut[1:][sizes > 1], strict=True):
-                for i, j in region_pairs(deep[x:y], ids[x:y], n[x:y], label[x:y], bits[x:y], first):
-                    a.append(np.minimum(ids[x:y][i], ids[x:y][j]))
-                    b.append(np.maximum(ids[x:y][i], ids[x:y][j]))
+                for k, (i, j) in enumerate(region_pairs(ids[x:y], n[x:y], label[x:y], bits[x:y], first)):
+                    one, two, lead = ids[x:y][i], ids[x:y][j], first and k == 1
+                    a.append(two if lead else np.minimum(one, two))
+                    b.append(one if lead else np.maximum(one, two))
                     w.append(_agree(bits[x:y], i, j))
-        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "agree": np.concatenate(w)})
+                    kind.append(np.full(len(i), -3 if lead else -1))
+        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "agree": np.concatenate(w), "part": np.concatenate(kind)})
         if len(out):
-            yield out.drop_duplicates(["a", "b"]).assign(part=-1)
+            yield out.drop_duplicates(["a", "b", "part"])
 
     placed = rows.repartitionByRange(shared.parts(spark), "key", "deep", "doc_id").sortWithinPartitions("key", "deep", "doc_id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", FOREST_BATCH)  # these rows are short
@@ -211,6 +199,10 @@ def _candidates(rows: DataFrame, first: bool = False) -> tuple[DataFrame, DataFr
     edges = sorted((r["part"], r["agree"], r["a"], r["b"]) for r in found.where("part >= 0").collect())
     joined = [(min(x[2], y[2]), max(x[2], y[2]), -1) for x, y in zip(edges, edges[1:], strict=False) if x[0] != y[0] and x[3] == y[3] and x[2] != y[2]]
     more = spark.createDataFrame(joined, "a long, b long, agree long")
+    if first:
+        best = found.where("part = -3").groupBy("a").agg(F.max(F.struct("agree", F.negative("b").alias("nb"))).alias("m")).select("a", F.negative("m.nb").alias("b"))
+        near = _likeliest(found.where("part = -1").select("a", "b", "agree").union(more))
+        return near.union(best.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), members
     return found.where("part = -1").select("a", "b", "agree").union(more).groupBy("a", "b").agg(F.max("agree").alias("agree")), members
 
 
@@ -242,17 +234,29 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
 
 
-def _unpacker(size: int):
-    """Function from a compressed text to its set; keeps the last few sets."""
-    hasher, unpack = shingles.WordHasher(), zstandard.ZstdDecompressor().decompress
-    return lru_cache(maxsize=8)(lambda packed: hasher.shingles(unpack(packed).decode("utf-8", "surrogatepass"), size))
+class SetCache:
+    """Sets of compressed texts; the ones used last are kept, up to ``limit`` bytes."""
+
+    def __init__(self, size: int, limit: int = 64 << 20):
+        self.size, self.limit, self.held, self.kept = size, limit, 0, OrderedDict()
+        self.hasher, self.unpack = shingles.WordHasher(), zstandard.ZstdDecompressor().decompress
+
+    def __call__(self, packed: bytes) -> np.ndarray:
+        s = self.kept.pop(packed, None)
+        if s is None:
+            s = self.hasher.shingles(self.unpack(packed).decode("utf-8", "surrogatepass"), self.size)
+            self.held += s.nbytes
+        self.kept[packed] = s
+        while self.held > self.limit and len(self.kept) > 1:
+            self.held -= self.kept.popitem(last=False)[1].nbytes
+        return s
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets' intersection is at least ``percent`` of their union."""
 
     def run(batches):
-        unpack = _unpacker(size)
+        unpack = SetCache(size)
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
@@ -301,20 +305,28 @@ def cell_pairs(tree: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label
 
 
 def cell_links(pairs: tuple[np.ndarray, np.ndarray], set_of, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Of the index pairs whose full sets hold, one for each first member and component of the second.
-
-    ``set_of`` gives the set of an index; two sets at least are held at a time.
-    """
+    """Of the index pairs whose full sets hold, one for each two components.  ``set_of`` gives the set of an index."""
     order = np.argsort(pairs[0], kind="stable")
-    out, done = [], set()
-    for i, j in zip(pairs[0][order].tolist(), pairs[1][order].tolist(), strict=True):
-        if (i, label[j]) in done:
-            continue
-        x, y = set_of(i), set_of(j)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            out.append((i, j))
-            done.add((i, label[j]))
+    first, second = pairs[0][order], pairs[1][order]
+    out, joined = [], {}
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first)) + 1) if len(first) else []:
+        i, js = int(first[part[0]]), second[part]
+        x, mine = set_of(i), joined.setdefault(int(label[i]), set())
+        while len(js):
+            js = js[~np.isin(label[js], list(mine))]
+            some, js = js[:64], js[64:]
+            if not len(some):
+                break
+            sets = [set_of(int(j)) for j in some]
+            sizes = np.array([len(s) for s in sets])
+            every = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            both = np.add.reduceat((x[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for j in some[100 * both >= percent * (len(x) + sizes - both)].tolist():
+                if int(label[j]) not in mine:
+                    out.append((i, j))
+                    mine.add(int(label[j]))
+                    joined.setdefault(int(label[j]), set()).add(int(label[i]))
     return out
 
 
@@ -363,7 +375,7 @@ def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataF
         return pdf.iloc[left].drop(columns="sig")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack, packed = _unpacker(size), pdf["packed"].tolist()
+        unpack, packed = SetCache(size), pdf["packed"].tolist()
         ids, label = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
         got = cell_links(pairs(pdf), lambda i: unpack(packed[i]), label, percent)
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}).astype("int64")
@@ -379,21 +391,23 @@ def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataF
     return held.join(texts, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, size: int, percent: int, every: bool) -> DataFrame:
-    """Links among the candidates, with those ``known`` before: each document's likeliest in rounds.
-
-    Rounds look only at candidates between components.  ``every``: all that are left after the
-    rounds are tried as well.
-    """
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = docs.where(_filter(wanted)).join(wanted, "doc_id", "left_semi")
-    texts = shared.stage(_texts(some).dropDuplicates(["doc_id", "packed"]), "texts")
-    links, rest = known, pairs
-    for k in range(ROUNDS + every):
+    return shared.stage(_texts(some).dropDuplicates(["doc_id", "packed"]), "texts")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+    """``links`` with the candidates that hold, but for those within a component that others made.
+
+    Each document's likeliest candidate comes first; then the same among those that still lie
+    in two components; then all that still do.
+    """
+    texts, rest = _texts_of(docs, pairs), pairs
+    for k in range(ROUNDS + 1):
         tried = rest.select("a", "b") if k == ROUNDS else shared.stage(_likeliest(rest), "tried")
-        got = shared.stage(_confirm(tried, texts, size, percent), "links")
-        links = got if links is None else links.union(got)
-        if k == ROUNDS or not every and k == ROUNDS - 1:
+        links = links.union(shared.stage(_confirm(tried, texts, size, percent), "links"))
+        if k == ROUNDS:
             break
         comp = shared.stage(components.connected_components(links, partial=2), "labels")
         of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
@@ -427,13 +441,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     several = shared.stage(several, "several")
     own = reps.withColumn("label", F.col("doc_id"))
     pairs, _ = _candidates(_forest_rows(own, FIRST_TREES), first=True)
-    links = _linked(docs, shared.stage(pairs, "candidates"), several, size, percent, every=False)
+    pairs = shared.stage(pairs, "candidates")
+    links = shared.stage(_confirm(pairs, _texts_of(docs, pairs), size, percent), "links").union(several)
     comp = shared.stage(components.connected_components(links), "labels")
     labelled = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
     pairs, members = _candidates(_forest_rows(labelled))
     # known links are carried on as one from each node to its component
     known = comp.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = _linked(docs, shared.stage(pairs, "candidates"), known, size, percent, every=True)
+    links = _linked(docs, shared.stage(pairs, "candidates"), known, size, percent)
     comp = shared.stage(components.connected_components(links), "labels")
     more = shared.stage(_remaining(docs, members, reps, comp, size, percent), "links")
     if more.limit(1).count():
