@@ -136,24 +136,45 @@ def odds_ratio(a, b, c, d) -> Column:
     return (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
 
 
+def hypergeom_tail(k: int, m: int, n: int, size: int) -> float:
+    """P(X >= max(k, 1)), summed from the likeliest term outwards by the terms' ratios."""
+    k, low, high = max(k, 1), max(0, size - n), min(m, size)
+    if k > high:
+        return 0.0
+    if k <= low:
+        return 1.0
+    start = min(high, max(k, (size + 1) * (m + 1) // (m + n + 2)))
+    ln = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    total = 1.0
+    for step in (1, -1):
+        x, last = start, 1.0
+        while last > 1e-18 * total and (x < high if step > 0 else x > k):
+            at = np.arange(x, min(high, x + 4096), dtype=float) if step > 0 else np.arange(x, max(k, x - 4096), -1, dtype=float)
+            if step > 0:
+                terms = last * np.cumprod((m - at) * (size - at) / ((at + 1) * (n - size + at + 1)))
+            else:
+                terms = last * np.cumprod(at * (n - size + at) / ((m - at + 1) * (size - at + 1)))
+            total += float(terms.sum())
+            last, x = float(terms[-1]), x + step * len(at)
+    return min(1.0, math.exp(ln(m, start) + ln(n, size - start) - ln(m + n, size) + math.log(total)))
+
+
 def hypergeom_upper(df: DataFrame, k: str, m: str, n: str, size: str, out: str = "pval") -> DataFrame:
     """P(X >= k) drawing ``size`` from m marked and n others; k = 0 gives P(X > 0), as the analyses do.
 
-    Distinct combinations are computed once, in log factorials made on the JVM side by one
-    table up to the largest total.
+    A tail takes about as many terms as the distribution is wide, in blocks of numpy; rows with
+    a null have none.
     """
-    combos = df.select(k, m, n, size).distinct()
-    top = combos.agg(F.max(F.col(m) + F.col(n))).first()[0] or 0
-    cum = F.coalesce(F.sum(F.ln(F.greatest(F.col("id"), F.lit(1)))).over(Window.orderBy("id")), F.lit(0.0))
-    lf = df.sparkSession.range(top + 1).select(F.col("id").alias("_i"), cum.alias("_f"))
-    wide = combos.withColumn("_x", F.explode_outer(F.expr(f"CASE WHEN least({m}, {size}) >= greatest({k}, 1) THEN sequence(cast(greatest({k}, 1) AS bigint), cast(least({m}, {size}) AS bigint)) END")))
-    terms = {"a": F.col(m), "b": F.col("_x"), "c": F.col(m) - F.col("_x"), "d": F.col(n), "e": F.col(size) - F.col("_x"), "g": F.col(n) - F.col(size) + F.col("_x"), "h": F.col(m) + F.col(n), "i": F.col(size), "j": F.col(m) + F.col(n) - F.col(size)}
-    for name, e in terms.items():
-        wide = wide.withColumn(f"_k{name}", e.cast("long")).join(lf.select(F.col("_i").alias(f"_k{name}"), F.col("_f").alias(f"_f{name}")), f"_k{name}", "left")
-    f = lambda c: F.col(f"_f{c}")
-    logp = f("a") - f("b") - f("c") + f("d") - f("e") - f("g") - f("h") + f("i") + f("j")
-    p = wide.groupBy(k, m, n, size).agg(F.least(F.coalesce(F.sum(F.exp(logp)), F.lit(0.0)), F.lit(1.0)).alias(out))
-    return df.join(p, [k, m, n, size])
+
+    def tails(k: pd.Series, m: pd.Series, n: pd.Series, size: pd.Series) -> pd.Series:
+        known: dict[tuple, float | None] = {}
+        for c in zip(k, m, n, size, strict=True):
+            if c not in known:
+                known[c] = None if any(pd.isna(x) for x in c) else hypergeom_tail(*map(int, c))
+        return pd.Series([known[c] for c in zip(k, m, n, size, strict=True)], dtype=float)
+
+    tails.__annotations__ = dict.fromkeys(("k", "m", "n", "size", "return"), pd.Series)
+    return df.withColumn(out, F.pandas_udf(tails, "double")(*[F.col(c).cast("long") for c in (k, m, n, size)]))
 
 
 # --- what SQL lacks: vectorised Python -----------------------------------------------------

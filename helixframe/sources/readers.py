@@ -15,16 +15,19 @@ def _tsv(spark: SparkSession, path, header: bool = True, sep: str = "\t") -> Dat
 def with_ordinal(df: DataFrame) -> DataFrame:
     """Adds ord, the line's number from 0: dense over files in path order, without one big window.
 
-    Ids within a partition are dense already; partitions' sizes (one row each) give their base.
+    ``df`` is a scan, perhaps filtered or projected, so both of its evaluations agree.  Spark deals
+    out parts of files by size, and several to a task; within a part, ids follow the lines.  Parts
+    are put in order of path and offset, and their sizes (one row each) give their bases.
     """
-    df = df.withColumns({"_id": F.monotonically_increasing_id()}).withColumn("_p", F.shiftright("_id", 33))
-    sizes = sorted(tuple(r) for r in df.groupBy("_p").count().collect())
+    part = {"_file": F.input_file_name(), "_at": F.input_file_block_start(), "_id": F.monotonically_increasing_id()}
+    df = df.withColumns(part).withColumn("_p", F.shiftright("_id", 33))
+    sizes = df.groupBy("_file", "_at", "_p").agg(F.min("_id").alias("low"), F.count("*").alias("n")).collect()
     base, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, base))
-        base += n
-    bases = F.broadcast(df.sparkSession.createDataFrame(rows, "_p long, _base long"))  # a row for each partition
-    return df.join(bases, "_p").withColumn("ord", F.col("_base") + F.col("_id").bitwiseAND(2**33 - 1)).drop("_p", "_id", "_base")
+    for r in sorted(sizes):
+        rows.append((r["_file"], r["_at"], r["_p"], base - r["low"]))
+        base += r["n"]
+    bases = df.sparkSession.createDataFrame(rows, "_file string, _at long, _p long, _base long")
+    return df.join(F.broadcast(bases), ["_file", "_at", "_p"]).withColumn("ord", F.col("_base") + F.col("_id")).drop("_file", "_at", "_p", "_id", "_base")  # a row for each part
 
 
 def require(df: DataFrame, columns: list[str], what: str) -> DataFrame:
@@ -130,8 +133,8 @@ def square_matrix(spark: SparkSession, path, sep: str = " ") -> DataFrame:
 
 def selection_outputs(spark: SparkSession, sites, scores) -> DataFrame:
     """Scores aligned by order with the sites whose flag is 1; differing lengths are an error."""
-    flags = with_ordinal(spark.read.text(sites)).where("trim(value) = '1'").select("ord")
-    kept = with_ordinal(flags.orderBy("ord").withColumnRenamed("ord", "site")).select("site", "ord")
+    flags = with_ordinal(spark.read.text(sites)).where("trim(value) = '1'").select(F.col("ord").alias("site"))
+    kept = with_ordinal(flags).select("site", "ord")  # still in the files' order
     rows = with_ordinal(spark.read.text(scores)).select("ord", F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double")).alias("scores"))
     same_length(kept, rows)
     return kept.join(rows, "ord").drop("ord")
@@ -147,7 +150,7 @@ def bed(spark: SparkSession, path) -> DataFrame:
 
 
 def concat(spark: SparkSession, paths: list[str], sep: str = "\t") -> DataFrame:
-    """Files with one header each, as one table by column names."""
+    """Files with one header each, as one table by position; headers that differ are an error."""
     return spark.read.csv(paths, sep=sep, header=True, enforceSchema=False, nullValue="NA")
 
 

@@ -107,3 +107,32 @@ def test_sample_pairs_over_many_blocks(spark):
         assert found == [(i, f"p{i % 3}", j, f"p{j % 3}") for i in range(50) for j in range(i + 1, 50)]
     many = models.sample_pairs(spark.range(5000).toDF("sample"))
     assert tuple(many.agg(F.count("*"), F.countDistinct("sample_1"), F.sum(F.col("sample_2") - F.col("sample_1"))).first()) == (5000 * 4999 // 2, 4999, 5000 * (5000**2 - 1) // 6)
+
+
+def test_ordinals_follow_paths_and_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"a{i}\n" for i in range(3)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(200)))
+    (tmp_path / "c.txt").write_text("c0\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # b.txt is read in several parts
+    try:
+        rows = readers.with_ordinal(spark.read.text(str(tmp_path))).collect()
+        flagged = readers.with_ordinal(readers.with_ordinal(spark.read.text(str(tmp_path))).where("value like '%0'").withColumnRenamed("ord", "all")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(200)] + ["c0"]
+    assert [r.value for r in sorted(rows, key=lambda r: r.ord)] == want and sorted(r.ord for r in rows) == list(range(204))
+    assert [(r.value, r["all"]) for r in sorted(flagged, key=lambda r: r.ord)] == [(v, i) for i, v in enumerate(want) if v.endswith("0")]
+
+
+def test_hypergeometric_tails_equal_enumeration():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        m, n = (int(x) for x in rng.integers(0, 40, 2))
+        size = int(rng.integers(0, m + n + 1))
+        k = int(rng.integers(0, 42))
+        want = sum(math.comb(m, x) * math.comb(n, size - x) for x in range(max(k, 1), min(m, size) + 1) if size - x <= n) / math.comb(m + n, size)
+        assert stats.hypergeom_tail(k, m, n, size) == pytest.approx(want, rel=1e-9, abs=1e-300)
+    # mean 49,950, deviation 218: the normal tail beyond 0.227 deviations is 0.410
+    assert stats.hypergeom_tail(50_000, 10**6, 10**9, 5 * 10**7) == pytest.approx(0.410, abs=0.003)
+    assert stats.hypergeom_tail(1000, 10**5, 10**5, 2000) == pytest.approx(0.5, abs=0.02)
