@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, partial: int |
         # small star: each node links its smaller neighbours and itself to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = shared.stage(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        old, e = e, shared.stage(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        shared.release(old)
         if partial is not None:
             continue
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
