@@ -282,16 +282,19 @@ def label_words(crf: Crf, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray
     return list(zip(out, flags, strict=True))
 
 
-def predict(crf: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language or 'und', its mean posterior over the words that have letters)."""
+def predict(crf: Crf, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language or 'und', its mean posterior over the words that have letters, the mean of each word's largest).
+
+    The last says how surely words are labelled, whatever number of languages a text mixes.
+    """
     out = []
     for post, has in label_words(crf, [t or "" for t in texts]):
         if not has.any():
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 0.0))
             continue
-        mean = post[has].mean(axis=0, dtype=np.float64)
+        mean, sure = post[has].mean(axis=0, dtype=np.float64), post[has].max(axis=1).mean(dtype=np.float64)
         k = int(mean.argmax())
-        out.append((crf.langs[k], float(min(1.0, mean[k]))))
+        out.append((crf.langs[k], float(min(1.0, mean[k])), float(min(1.0, sure))))
     return out
 
 
@@ -333,22 +336,22 @@ def word_runs(text: str) -> list[str]:
 
 
 def identify(docs: DataFrame, crf: Crf) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, text, lang_pred, score), one row for each row.
+    """``docs`` (doc_id, text) as (doc_id, text, lang_pred, score, certainty), one row for each row.
 
-    A null text or one without a letter (``str.isalpha``) is 'und' with score 0; repeated rows
-    repeat; only the text decides; clashing lang_pred and score columns are replaced, and the
-    name ``_lang_id`` is kept for this function's use.  Memory grows with a batch's texts.
+    A null text or one without a letter (``str.isalpha``) is 'und' with score and certainty 0;
+    repeated rows repeat; only the text decides; clashing lang_pred, score and certainty columns
+    are replaced, and the name ``_lang_id`` is kept for this function's use.  Memory grows with a batch's texts.
     """
     shared.text_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(crf)
 
     def tag(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score", "certainty"])
 
     tag.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    tagged = F.pandas_udf(tag, "lang_pred string, score double")
-    docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_lang_id", tagged(F.col("text").cast("string"))).select("*", "_lang_id.lang_pred", "_lang_id.score").drop("_lang_id")
+    tagged = F.pandas_udf(tag, "lang_pred string, score double, certainty double")
+    docs = docs.drop("lang_pred", "score", "certainty")
+    return docs.withColumn("_lang_id", tagged(F.col("text").cast("string"))).select("*", "_lang_id.lang_pred", "_lang_id.score", "_lang_id.certainty").drop("_lang_id")
 
 
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-REPEATS, STEPS, BLOCKS = 2.0, 40, 32
+REPEATS, STEPS = 2.0, 40
+#: Blocks of a source: BLOCKS and one more for each BLOCK_ROWS documents of the corpus.
+BLOCKS, BLOCK_ROWS = 32, 100_000
 
 
 def token_count(text) -> Column:
@@ -73,17 +75,18 @@ def mix_sources(docs: DataFrame, repeats: float | None = REPEATS, entropy: float
 
     Epochs before a source's last are whole; its last takes blocks, then documents, in that
     epoch's order while the tokens before them lie under the budget's remainder.  A source's
-    blocks are hash slices, so no source is one task's.  A null source is a source; null
+    blocks are hash slices, whose number grows with the corpus, so no source is one task's.  A null source is a source; null
     texts count one token; repeated rows are dealt one by one; clashing names are replaced.
     """
     docs = docs.drop("epoch", "block", "place", "mix_tokens")
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    slim = docs.select("doc_id", "source", token_count(F.col("text")).alias("mix_tokens"), F.conv(F.substring(_rank(seed, id_text), 1, 4), 16, 10).cast("int").alias("block"))
-    slim = slim.withColumn("block", F.col("block") % BLOCKS)
+    slim = docs.select("doc_id", "source", token_count(F.col("text")).alias("mix_tokens"))
     # one row for each distinct (id, source, size): repeated rows share a place in the order
-    slim = shared.stage(slim.groupBy("doc_id", "source", "mix_tokens", "block").agg(F.count("*").alias("_same")), "mix")
+    slim = shared.stage(slim.groupBy("doc_id", "source", "mix_tokens").agg(F.count("*").alias("_same")), "mix")
+    blocks = BLOCKS + slim.count() // BLOCK_ROWS
+    slim = slim.withColumn("block", (F.conv(F.substring(_rank(seed, id_text), 1, 12), 16, 10).cast("long") % blocks).cast("int"))
     per_block = slim.groupBy("source", "block").agg(F.sum(F.col("mix_tokens") * F.col("_same")).alias("_t"))
-    sizes = per_block.groupBy("source").agg(F.sum("_t").alias("tokens"))
+    sizes = shared.stage(per_block.groupBy("source").agg(F.sum("_t").alias("tokens")), "sizes")  # a row for each source: the search reads it at each step
     weights = shared.stage(source_weights(sizes, repeats, entropy), "weights").withColumnRenamed("source", "_ws")
 
     # blocks of each epoch in its order, with the tokens of the epoch before them
@@ -118,8 +121,8 @@ def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')), 1) AS n,
-                  (('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[1:4])::INT) % 32 AS block FROM documents),
+WITH w AS (SELECT doc_id, source, greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')), 1) AS n FROM documents),
+d AS (SELECT *, (('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[1:12])::BIGINT) % (32 + (SELECT count(*) FROM (SELECT DISTINCT * FROM w)) // 100000) AS block FROM w),
 z AS (SELECT source, sum(n) AS tokens FROM d GROUP BY 1),
 p AS (SELECT source, tokens, ln(tokens / (SELECT sum(tokens) FROM z)) AS ln_p FROM z),
 a AS (SELECT greatest(0, 1 - ln(2.0) / nullif(max(ln_p) - min(ln_p), 0)) AS a FROM p),

@@ -576,6 +576,18 @@ def test_mixing(docs, none):
     assert flat.count() > len(rows)
 
 
+def test_mixing_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 10)
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('w ', int(id % 7) + 1) AS text", "if(id % 3 = 0, 'b', 'a') AS source")
+    rows = mixing.mix_sources(docs).collect()
+    assert {r.doc_id for r in rows} == set(range(500)) and 40 < len({r.block for r in rows}) <= 82
+    first = sorted((r.source, r.place, r.mix_tokens) for r in rows if r.epoch == 1)
+    at = {}
+    for source, place, n in first:
+        assert place == at.get(source, 0)
+        at[source] = place + n
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     import oracle
@@ -596,6 +608,28 @@ def test_pipeline(spark):
     assert zlib.crc32(bytes(rows[0].ids)) == zlib.crc32(np.frombuffer(rows[0].ids, "<u4").tobytes())
 
 
+def test_pipeline_stages_on_edge_rows(spark, docs, none):
+    """Nulls, empty texts, repeated ids, extra columns and no rows at all, stage by stage."""
+    import corpus_pipeline as cp
+
+    known = spark.createDataFrame([(i, f"{t} {i}", k, "s", 9) for i in range(100, 140) for t, k in [("the dog and the cat are in the house", "en"), ("le chien et le chat sont dans la maison", "fr")]], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = [(500, "the dog and the cat are in the house le chien et le chat sont dans la maison", "en", "s", 9)]
+    rows = cp.identify_language(spark, known.union(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string, n_chars long")).union(docs.select(*cp.COLUMNS)), None).collect()
+    assert 500 in {r.doc_id for r in rows} and not {3, 4, 7, 8} & {r.doc_id for r in rows}
+
+    kept = sorted((r.doc_id or -1, (r.text or "")[:9]) for r in cp.drop_near_duplicates(spark, docs, None).collect())
+    assert kept == [(-1, "le chat e"), (1, "The cat s"), (3, ""), (4, ""), (6, "lorem ips"), (7, " \t\n"), (8, "42 17 %"), (9, "der Hund ")]
+    same = [(None, "one two three four five six", "x", "y", 1)] * 3 + [(5, "a b c d e f", "x", "y", 1)] * 2 + [(5, "g h i j k l", "x", "y", 1)]
+    kept = sorted(r.text for r in cp.drop_near_duplicates(spark, spark.createDataFrame(same, "doc_id long, text string, lang string, source string, n_chars long"), None).collect())
+    assert kept == ["a b c d e f", "g h i j k l", "one two three four five six"]
+
+    assert cp.mix(spark, docs, None).columns == list(cp.COLUMNS)
+    packed = cp.pack(spark, docs, None).collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) >= len({r[0] for r in ROWS})
+    for stage in (cp.identify_language, cp.drop_near_duplicates, cp.mix, cp.pack):
+        assert stage(spark, none, None).count() == 0
+
+
 def test_near_dup_keeps_all_rows_of_a_flushed_region(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "REGION_ROWS", 100)
     monkeypatch.setattr(near_dup, "FOREST_BATCH", "50")
