@@ -349,8 +349,11 @@ def pretty(low: float, high: float, n: int) -> np.ndarray:
     return np.arange(math.floor(low / unit + 1e-7), math.ceil(high / unit - 1e-7) + 1) * unit
 
 
-def histogram_breaks(x: np.ndarray, trim: float = 0.01, most: int = 40, least_count: int = 20) -> np.ndarray:
-    """Breaks over the winsorised range by Freedman-Diaconis width; sparse bins merge with the next."""
+def histogram_breaks(x: np.ndarray, trim: float = 0.01, most: int = 40, least_count: int = 20, method: str = "width") -> np.ndarray:
+    """Breaks over the winsorised range by Freedman-Diaconis width, or at quantiles (``method`` "quantile").
+
+    Sparse bins merge with the next.
+    """
     x = np.asarray(x, float)
     x = x[np.isfinite(x)]
     if not len(x):
@@ -360,7 +363,8 @@ def histogram_breaks(x: np.ndarray, trim: float = 0.01, most: int = 40, least_co
     q1, q3 = np.quantile(x, [0.25, 0.75])
     width = 2 * (q3 - q1) / len(x) ** (1 / 3)
     n = int(min(most, max(1, math.ceil((hi - lo) / width)))) if width > 0 else 1
-    br = pretty(lo, hi, n)
+    br = np.unique(np.quantile(x, np.linspace(0, 1, max(2, most) + 1))) if method == "quantile" else pretty(lo, hi, n)
+    br = br if len(br) > 1 else np.array([lo, hi])
     counts, kept, held = np.histogram(x, br)[0], [br[0]], 0
     for c, edge in zip(counts, br[1:], strict=True):
         held += c

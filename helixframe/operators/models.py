@@ -73,15 +73,25 @@ def p_two_sided(t: Column, df_: Column) -> Column:
     return F.pandas_udf(tail, "double")(t, df_)
 
 
-def fit_trees(train: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 1):
-    """Boosted regression trees; the model gives leaf ordinals in column leaf."""
+def fit_trees(train: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 1, held_out: str | None = None, tolerance: float = 0.01):
+    """Boosted regression trees; the model gives leaf ordinals in column leaf.
+
+    Missing and NaN features take the median of the training rows, so every row has a
+    prediction.  ``held_out``: a boolean column; trees stop where those rows' error falls by
+    less than ``tolerance``.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    gather = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
+    filled = [f"_f_{c}" for c in features]
+    fill = Imputer(inputCols=features, outputCols=filled, strategy="median")
+    gather = VectorAssembler(inputCols=filled, outputCol="_x")
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[gather, gbt.setLeafCol("leaf")]).fit(train)
+    if held_out:
+        gbt.setValidationIndicatorCol(held_out)
+        gbt._set(validationTol=tolerance)
+    return Pipeline(stages=[fill, gather, gbt.setLeafCol("leaf")]).fit(train)
 
 
 def prediction_errors(predicted: DataFrame, label: str) -> DataFrame:
@@ -96,30 +106,51 @@ def leaf_rows(predicted: DataFrame, row: str) -> DataFrame:
     return predicted.select(F.col(row).alias("row"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id")).withColumn("leaf_id", F.col("leaf_id").cast("int"))
 
 
+NODE = "tree int, id int, feature string, split double, yes int, no int, leaf_value double, gain double, leaf_id int"
+
+
 def node_table(model, features: list[str]) -> list[tuple]:
-    """(tree, id, feature, split, yes, no, leaf_value, gain) of a fitted ensemble; nodes numbered in preorder."""
+    """(tree, id, feature, split, yes, no, leaf_value, gain, leaf_id) of a fitted ensemble.
+
+    Nodes are numbered in preorder, leaves from left to right as in the model's leaf vector;
+    ``yes`` is the child of rows at or under the split.
+    """
     out = []
     for t, tree in enumerate(model.stages[-1].trees):
-        number = 0
+        number = leaves = 0
 
         def walk(node, t=t):
-            nonlocal number
+            nonlocal number, leaves
             own, number = number, number + 1
             at = len(out)
             out.append(None)
             if node.subtreeDepth() == 0:
-                out[at] = (t, own, None, None, None, None, float(node.prediction()), None)
+                out[at] = (t, own, None, None, None, None, float(node.prediction()), None, leaves)
+                leaves += 1
             else:
                 s = node.split()
                 yes = walk(node.leftChild())
                 no = walk(node.rightChild())
-                out[at] = (t, own, features[s.featureIndex()], float(s.threshold()), yes, no, None, float(node.gain()))
+                out[at] = (t, own, features[s.featureIndex()], float(s.threshold()), yes, no, None, float(node.gain()), None)
             return own
 
         walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode"))
     return out
 
 
+def split_breaks(nodes: list[tuple], most: int = 10, least_count: int = 50, trim: float = 0.01, method: str = "width") -> dict[str, list[float]]:
+    """Bin edges of each feature's split values, of which there are as many as the model has nodes."""
+    values: dict[str, list[float]] = {}
+    for n in nodes:
+        if n[2] is not None:
+            values.setdefault(n[2], []).append(n[3])
+    out = {}
+    for f, v in values.items():
+        edges = stats.histogram_breaks(np.array(v), trim, most, least_count, method)
+        out[f] = sorted({float(x) for x in edges})
+    return out
+
+
 def search(train: DataFrame, features: list[str], label: str, trials: int = 6, folds: int = 5, seed: int = 1) -> list[dict]:
     """Seeded random search over depth and trees; mean RMSE over folds (column fold), best first."""
     rng = np.random.Generator(np.random.PCG64(seed))

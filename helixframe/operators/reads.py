@@ -5,16 +5,38 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def alignment_cost(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column) -> Column:
+    """Quality of the mismatches less their expectation, plus a fifth of the clipped quality."""
+    log_fact = F.aggregate(F.sequence(F.lit(0), F.coalesce(mismatches, F.lit(0)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(F.greatest(i, F.lit(1))))
+    return sub_q - 4.343 * (F.when(mismatches > 0, mismatches * F.ln(matched)).otherwise(0.0) - log_fact) + clip_q / 5
+
+
+#: Caps tried by default (fixed values).
+CAPS = (0, 50, 60, 75, 100)
+
+
+def recap(reads: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:
+    """(name, orig_mq, new_mq, sub_q, clip_q, c, t): a row for each mapped read and cap.
+
+    ``reads`` (name, orig_mq, sub_q, mismatches, matched, clip_q and, if known, is_unmapped).  The new
+    quality is the one the cap allows, whatever the read's own; a cap of 0 leaves that.
+    """
+    reads = reads.where(~F.coalesce("is_unmapped", F.lit(False))) if "is_unmapped" in reads.columns else reads
+    walked = [F.col(c) for c in ("sub_q", "mismatches", "matched", "clip_q")]
+    one = lambda c: F.struct(F.lit(c).alias("c"), F.coalesce(mapq_cap(*walked, c), F.col("orig_mq")).cast("int").alias("new_mq"))
+    rows = reads.withColumn("t", alignment_cost(*walked)).withColumn("_c", F.explode(F.array(*[one(c) for c in caps])))
+    return rows.select("name", "orig_mq", "_c.new_mq", "sub_q", "clip_q", "_c.c", "t")
+
+
 def mapq_cap(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column, cap: float) -> Column:
     """Cap of a read's mapping quality for coefficient ``cap``; 0 means no cap (null)."""
     if cap == 0:
         return F.lit(None).cast("int")
-    log_fact = F.aggregate(F.sequence(F.lit(0), F.coalesce(mismatches, F.lit(0)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(F.greatest(i, F.lit(1))))
-    t = sub_q - 4.343 * (F.when(mismatches > 0, mismatches * F.ln(matched)).otherwise(0.0) - log_fact) + clip_q / 5
+    t = alignment_cost(sub_q, mismatches, matched, clip_q)
     capped = F.floor(cap * F.sqrt((F.lit(float(cap)) - F.greatest(t, F.lit(0.0))) / cap) + 0.499)
     return F.when(t > cap, F.lit(0)).otherwise(capped.cast("int"))
 
@@ -60,8 +82,3 @@ def walk_column(seq: Column, quals: Column, ops: Column, lens: Column, ref: Colu
 
     run.__annotations__ = dict.fromkeys("sqonr", pd.Series) | {"return": pd.DataFrame}
     return F.pandas_udf(run, WALK)(seq, quals, ops, lens, ref)
-
-
-def poisson_log(m: int, k: int) -> float:
-    """ln(m**k / k!), the term the cap subtracts."""
-    return k * math.log(m) - math.lgamma(k + 1) if k else 0.0

@@ -57,11 +57,11 @@ def topk_share(steps: DataFrame, k: int = 2) -> DataFrame:
 
 
 def tighten(steps: DataFrame) -> DataFrame:
-    """Keeps, along a path, a >= step only if its bin exceeds all before it (a < step: undercuts them)."""
+    """Keeps, along a path, a >= or > step only if its bin exceeds all before it (a < or <= step: undercuts them)."""
     w = Window.partitionBy("tree", "leaf_id", "feature", "direction").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     up, down = F.max("thresh_bin").over(w), F.min("thresh_bin").over(w)
     b = F.col("thresh_bin")
-    ok = F.when(F.col("direction") == ">=", up.isNull() | (b > up + TINY)).when(F.col("direction") == "<", down.isNull() | (b < down - TINY)).otherwise(True)
+    ok = F.when(F.col("direction").isin(">=", ">"), up.isNull() | (b > up + TINY)).when(F.col("direction").isin("<", "<="), down.isNull() | (b < down - TINY)).otherwise(True)
     return steps.withColumn("_ok", ok).where("_ok").drop("_ok")
 
 
@@ -80,6 +80,36 @@ def path_rules(steps: DataFrame, max_depth: int = 4) -> DataFrame:
     return rule_strings(tighten(steps.where(F.col("depth") < max_depth)))
 
 
+def leaf_steps(nodes: DataFrame, breaks: dict[str, list[float]], max_depth: int = 32) -> DataFrame:
+    """(tree, leaf_id, depth, feature, direction, thresh_bin): the conditions from the root to each leaf.
+
+    ``nodes`` as ``models.node_table`` gives them; depth counts from 0 at the root, ``<=`` leads
+    to ``yes``.  thresh_bin is the midpoint of the split's bin among its feature's ``breaks``,
+    or the split itself where those are fewer than two.  A tree of one leaf has no step.
+    """
+    spark = nodes.sparkSession
+    edge = F.explode(F.array(F.struct(F.col("yes").alias("id"), F.lit("<=").alias("direction")), F.struct(F.col("no").alias("id"), F.lit(">").alias("direction"))))
+    up = nodes.where("feature is not null").select("tree", F.col("id").alias("parent"), "feature", "split", edge.alias("_e")).select("tree", "parent", "feature", "split", "_e.*")
+    # from the leaves upwards: a level a join
+    level = nodes.where("leaf_id is not null").select("tree", "leaf_id", "id", F.lit(0).alias("_up"))
+    out = None
+    for _ in range(max_depth):
+        step = level.join(up, ["tree", "id"])
+        if not step.limit(1).count():
+            break
+        part = step.select("tree", "leaf_id", "_up", "feature", "direction", "split")
+        out = part if out is None else out.union(part)
+        level = step.select("tree", "leaf_id", F.col("parent").alias("id"), (F.col("_up") + 1).alias("_up"))
+    if out is None:
+        return spark.createDataFrame([], "tree int, leaf_id int, depth int, feature string, direction string, thresh_bin double")
+    deep = out.groupBy("tree", "leaf_id").agg(F.max("_up").alias("_deep"))
+    edges = spark.createDataFrame([(f, b) for f, b in breaks.items() if len(b) > 1] or [("", [0.0, 0.0])], "feature string, _breaks array<double>")  # a row for each feature
+    j = out.join(deep, ["tree", "leaf_id"]).join(F.broadcast(edges), "feature", "left")
+    k = find_bin(F.col("split"), F.col("_breaks"))
+    middle = (F.element_at("_breaks", k) + F.element_at("_breaks", k + 1)) / 2
+    return j.select("tree", "leaf_id", (F.col("_deep") - F.col("_up")).alias("depth"), "feature", "direction", F.when(F.col("_breaks").isNull(), F.col("split")).otherwise(middle).alias("thresh_bin"))
+
+
 def find_bin(x: Column, breaks: Column) -> Column:
     """Interval number 1 .. n - 1, ends included."""
     return F.greatest(F.lit(1), F.least(F.size(breaks) - 1, F.size(F.filter(breaks, lambda b: b <= x))))

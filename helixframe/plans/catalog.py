@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import keys, stats
-from helixframe.operators import genotype, intervals, models, reads, rules, site, sweep
+from helixframe.operators import genotype, intervals, models, reads, rules, shape, site, summaries, sweep
 
 from . import tables as T
 
@@ -137,7 +137,7 @@ def metadata_join(spark, d):
 @query("SELECT site, maf, f FROM site_stats WHERE site NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_contaminants(spark, d):
     bad = T.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("site"))
-    return T.site_stats(spark, d).join(bad, "site", "left_anti")
+    return shape.anti_join(T.site_stats(spark, d), bad, "site")
 
 
 # --- keys and scalars -------------------------------------------------------------------------
@@ -662,11 +662,14 @@ def _rule_text(spark):
 
 def _harvest_sql(key: str, where: str = "true", more: str = "") -> str:
     return f""", {_CUTS}, {_TEXT_SQL}, kn AS (SELECT * FROM cl WHERE cls IS NOT NULL AND {where}), tt AS (SELECT count(*) FILTER (cls = 'extreme') AS N, count(*) FILTER (cls = 'background') AS B FROM (SELECT DISTINCT row, cls FROM kn)),
- rw AS (SELECT DISTINCT {key}, rule_len, row, cls FROM kn JOIN rt USING (tree, leaf_id) {more}), g AS (SELECT {key}, max(rule_len) AS rule_len, count(DISTINCT row) FILTER (cls = 'extreme') AS n_extreme, count(DISTINCT row) FILTER (cls = 'background') AS n_bg FROM rw GROUP BY {key})
- SELECT {key}, rule_len, n_extreme, n_bg, n_extreme + n_bg AS support, round(n_extreme / (n_extreme + n_bg), 6) AS precision, round(n_extreme / N, 6) AS recall, round((n_extreme + 0.5) * (B - n_bg + 0.5) / ((n_bg + 0.5) * (N - n_extreme + 0.5)), 6) AS odds_ratio, round(n_extreme / (n_extreme + n_bg) / (N / (N + B)), 6) AS lift FROM g, tt WHERE n_extreme + n_bg >= 1"""
+ rw AS (SELECT DISTINCT {key}, rule_len, row, cls FROM kn JOIN rt USING (tree, leaf_id) {more}), g AS (SELECT {key}, max(rule_len) AS rule_len, count(DISTINCT row) FILTER (cls = 'extreme') AS n_extreme, count(DISTINCT row) FILTER (cls = 'background') AS n_bg FROM rw GROUP BY {key}),
+ h AS (SELECT *, n_extreme + n_bg AS support FROM g, tt WHERE n_extreme + n_bg >= 1), hx AS (SELECT *, unnest(range(greatest(n_extreme, 1, support - B), least(N, support) + 1)) AS x FROM h),
+ pv AS (SELECT {key}, least(1, sum(exp(lgamma(N + 1) - lgamma(x + 1) - lgamma(N - x + 1) + lgamma(B + 1) - lgamma(support - x + 1) - lgamma(B - support + x + 1) - lgamma(N + B + 1) + lgamma(support + 1) + lgamma(N + B - support + 1)))) AS pval FROM hx GROUP BY {key}),
+ qv AS (SELECT *, least(1, min(pval * tests / ranked) OVER (ORDER BY pval DESC)) AS qval FROM (SELECT *, count(*) OVER () AS tests, count(*) OVER (ORDER BY pval) AS ranked FROM pv))
+ SELECT {key}, rule_len, n_extreme, n_bg, support, round(n_extreme / support, 6) AS precision, round(n_extreme / N, 6) AS recall, round((n_extreme + 0.5) * (B - n_bg + 0.5) / ((n_bg + 0.5) * (N - n_extreme + 0.5)), 6) AS odds_ratio, round(n_extreme / support / (N / (N + B)), 6) AS lift, round(pval, 6) AS pval, round(qval, 6) AS qval FROM h JOIN qv USING ({key})"""
 
 
-_SHOWN = ["rule_len", "n_extreme", "n_bg", "support", "precision", "recall", "odds_ratio", "lift"]
+_SHOWN = ["rule_len", "n_extreme", "n_bg", "support", "precision", "recall", "odds_ratio", "lift", "pval", "qval"]
 
 
 @query(_harvest_sql("rule_str"))
@@ -704,16 +707,15 @@ def tree_paths(spark, d):
 
 @query("SELECT mask, count(*) AS n FROM (SELECT site, sum(DISTINCT CASE library WHEN 'AFRICA' THEN 1 WHEN 'AMERICA' THEN 2 WHEN 'ASIA' THEN 4 WHEN 'EUROPE' THEN 8 ELSE 16 END)::BIGINT AS mask FROM counts JOIN meta USING (sample) WHERE depth > 60 GROUP BY 1) GROUP BY 1 ORDER BY n DESC, mask LIMIT 15")
 def upset_counts(spark, d):
-    bit = F.when(F.col("library") == "AFRICA", 1).when(F.col("library") == "AMERICA", 2).when(F.col("library") == "ASIA", 4).when(F.col("library") == "EUROPE", 8).otherwise(16)
-    m = T.counts(spark, d).where("depth > 60").join(T.meta(spark, d), "sample").groupBy("site").agg(F.bit_or(bit).cast("long").alias("mask"))
-    return m.groupBy("mask").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mask").limit(15)
+    deep = T.counts(spark, d).where("depth > 60").join(T.meta(spark, d), "sample")
+    return shape.membership_counts(deep, "site", "library", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 @query("""SELECT 'intersect' AS op, site FROM (SELECT site FROM counts WHERE depth > 100 INTERSECT SELECT site FROM site_stats WHERE maf > 0.5::DOUBLE) UNION ALL SELECT 'union', site FROM (SELECT site FROM counts WHERE depth > 100 UNION SELECT site FROM site_stats WHERE maf > 0.5::DOUBLE) UNION ALL SELECT 'minus', site FROM (SELECT site FROM site_stats WHERE maf > 0.5::DOUBLE EXCEPT SELECT site FROM counts WHERE depth > 100)""")
 def set_ops(spark, d):
     a, b = T.counts(spark, d).where("depth > 100").select("site"), T.site_stats(spark, d).where("maf > 0.5D").select("site")
     tag = lambda df, op: df.select(F.lit(op).alias("op"), "site")
-    return tag(a.intersect(b), "intersect").unionByName(tag(a.union(b).distinct(), "union")).unionByName(tag(b.subtract(a), "minus"))
+    return shape.stack([tag(shape.common_keys([a, b], "site"), "intersect"), tag(shape.union_keys([a, b], "site"), "union"), tag(shape.minus_keys(b, a, "site"), "minus")])
 
 
 @query("SELECT DISTINCT least(a.library, b.library) || '_' || greatest(a.library, b.library) AS pair FROM meta a, meta b WHERE a.library <> b.library")
@@ -735,6 +737,167 @@ def bin_lookup(spark, d):
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("site"), rules.find_bin(F.col("p_size"), breaks).alias("bin"))
 
 
+# --- whole tables by name, and reports ------------------------------------------------------------
+
+
+@query("SELECT site, sample, depth, gl[1] AS g0 FROM counts NATURAL JOIN gl")
+def natural_join(spark, d):
+    return shape.natural_join(T.counts(spark, d), T.gl(spark, d)).select("site", "sample", "depth", F.col("gl")[0].alias("g0"))
+
+
+@query("SELECT p_partkey AS site, p_size, l_linenumber FROM part LEFT JOIN (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') ON p_partkey = l_partkey")
+def left_many(spark, d):
+    li = T.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("site"), "l_linenumber")
+    return shape.left_many(T.read(spark, d, "part").select(F.col("p_partkey").alias("site"), "p_size"), li)
+
+
+@query("SELECT s_suppkey AS sample, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, n_name) AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def filled_join(spark, d):
+    a = T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("label"))
+    return shape.filled_join(a, T.meta(spark, d).select("sample", F.col("pop_code").alias("label")), ["sample"])
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name NOT LIKE '%AN%'")
+def without_pattern(spark, d):
+    return shape.without_pattern(T.read(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", "AN")
+
+
+@query("SELECT s_suppkey AS sample, round(CAST(s_suppkey % 5 AS DOUBLE) / nullif(s_suppkey % 5 + s_suppkey % 3, 0), 6) AS region_prop FROM supplier")
+def region_share(spark, d):
+    k = F.col("s_suppkey")
+    return rounded(T.read(spark, d, "supplier").select(k.alias("sample"), shape.share(k % 5, k % 3).cast("double").alias("region_prop")))
+
+
+@query("SELECT s_suppkey AS k, s_name AS name, NULL AS size FROM supplier UNION ALL SELECT p_partkey, NULL, p_size FROM part UNION ALL SELECT n_nationkey, n_name, NULL FROM nation")
+def stack_fill(spark, d):
+    r = lambda t: T.read(spark, d, t)
+    return shape.stack([r("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), r("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size")), r("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))])
+
+
+@query("""SELECT chrom, s AS start, e AS "end" FROM intervals UNION ALL SELECT c_custkey, 0, 4000 FROM customer""")
+def concat_beds(spark, d):
+    whole = T.references(spark, d).select(F.col("chrom").alias("c"), F.lit(0).cast("long").alias("s"), "length")
+    return shape.concat_beds([T.intervals(spark, d), whole])
+
+
+@query("SELECT site FROM counts WHERE depth > 60 INTERSECT SELECT site FROM site_stats WHERE maf > 0.2::DOUBLE INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def common_sites_of_three(spark, d):
+    r = T.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("site"))
+    return shape.common_keys([T.counts(spark, d).where("depth > 60"), T.site_stats(spark, d).where("maf > 0.2D"), r], "site")
+
+
+@query("SELECT 'x' || o_custkey AS chrom, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS start, o_orderkey AS k FROM orders ORDER BY 1, 2, 3")
+def genome_sort(spark, d):
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("long")
+    o = T.read(spark, d, "orders").select(F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("chrom"), day.alias("start"), F.col("o_orderkey").alias("k"))
+    return shape.arrange(o, "chrom", "start", "k")
+
+
+@query("SELECT library, pop_code, sample FROM meta ORDER BY library, pop_code DESC, sample")
+def arrange_keys(spark, d):
+    return shape.arrange(T.meta(spark, d).select("library", "pop_code", "sample"), "library", "-pop_code", "sample")
+
+
+@query("SELECT site, s AS stat, round(v, 6) + 0 AS value FROM (SELECT p_partkey AS site, unnest(['size', 'price']) AS s, unnest([p_size::DOUBLE, p_retailprice::DOUBLE]) AS v FROM part)")
+def longer_by_suffix(spark, d):
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("site"), F.col("p_size").alias("size_x"), F.col("p_retailprice").alias("price_x"), "p_name")
+    return rounded(shape.longer_by_suffix(p, ["site"], "_x"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS i, unnest(['flag', 'status']) AS parameter, unnest([l_returnflag, l_linestatus]) AS level FROM lineitem")
+def parameter_levels(spark, d):
+    li = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return shape.levels(li, ["k", "i"], ["flag", "status"])
+
+
+@query("SELECT library, sample FROM meta")
+def unlist(spark, d):
+    per = T.meta(spark, d).groupBy("library").agg(F.collect_list("sample").alias("sample"))
+    return shape.unlist(per, "sample")
+
+
+@query("SELECT site, depth FROM counts")
+def checked_measure(spark, d):
+    return shape.checked_measure(T.counts(spark, d).select("site", "depth"), "depth")
+
+
+def _tests(spark, d):
+    n = lambda i: ((F.col("p_partkey") * i) % 97).cast("string")
+    pack = lambda *i: F.concat_ws(":", *map(n, i))
+    return T.read(spark, d, "part").select(F.col("p_partkey").alias("site"), pack(1, 2, 3).alias("sb"), pack(4, 5).alias("hwe"), pack(6, 7).alias("base_q"), pack(8, 9).alias("map_q"), pack(10, 11).alias("edge"))
+
+
+_FIELDS = ", ".join(f"CAST(p_partkey * {i} % 97 AS DOUBLE) AS {n}" for i, n in enumerate([x for g in summaries.TESTS.values() for x in g], 1))
+
+
+@query(f"""SELECT c.site, sum(depth)::BIGINT AS total_depth, round(avg(CAST(depth AS DOUBLE)), 6) AS mean_depth, round(median(depth::DOUBLE), 6) AS median_depth, round(count(*) / (SELECT count(*) FROM meta), 6) AS call_rate,
+ round(CASE WHEN count(*) > 1 THEN stddev_pop(depth::DOUBLE) / avg(depth::DOUBLE) ELSE 0 END, 6) AS cv_depth, round((quantile_cont(depth::DOUBLE, 0.75) - quantile_cont(depth::DOUBLE, 0.25)) / median(depth::DOUBLE), 6) AS rel_iqr_depth,
+ any_value(maf) AS maf, round(any_value(2 * maf * (1 - maf)), 6) AS hexp, round(any_value(2 * maf * (1 - maf) * (1 - f)), 6) + 0 AS hobs, any_value(f) AS f, any_value(COLUMNS(t.* EXCLUDE (p_partkey))) FROM counts c JOIN site_stats s ON c.site = s.site
+ JOIN (SELECT p_partkey, {_FIELDS} FROM part) t ON t.p_partkey = c.site WHERE maf > 0.05::DOUBLE AND maf < 0.95::DOUBLE GROUP BY 1""")
+def depth_report(spark, d):
+    return rounded(summaries.depth_report(T.counts(spark, d), T.meta(spark, d), T.site_stats(spark, d), _tests(spark, d), 0.05))
+
+
+@query(f"""SELECT * FROM (SELECT s.site, round(least(greatest(CAST(s.site % 140 - 10 AS DOUBLE), 0), 100) / 100, 6) AS call_rate, round(maf, 6) AS maf, round(2 * maf * (1 - maf), 6) AS hexp, round(2 * maf * (1 - maf) * (1 - f), 6) + 0 AS hobs, round(f, 6) + 0 AS f
+ FROM site_stats s) JOIN (SELECT p_partkey AS site, {_FIELDS} FROM part) USING (site) WHERE maf > 0.05::DOUBLE AND maf < 0.95::DOUBLE""")
+def frequency_report(spark, d):
+    freq = T.site_stats(spark, d).withColumn("n_ind", F.col("site") % 140 - 10)
+    return rounded(summaries.frequency_report(freq, 100, _tests(spark, d), 0.05))
+
+
+_CALLABLE = SQL["callable_sites_multi"].removeprefix(T.SQL)
+_VARIANTS = f"ca AS ({_CALLABLE}), cv AS (SELECT 'all' AS which, * FROM ca UNION ALL SELECT 'maf_filtered', ca.* FROM ca JOIN site_stats USING (site) WHERE maf >= 0.05::DOUBLE)"
+
+
+@query(f", {_VARIANTS} SELECT * FROM cv")
+def callable_variants(spark, d):
+    return summaries.callable_variants(T.counts(spark, d), T.meta(spark, d), T.site_stats(spark, d), [0.2, 0.1])
+
+
+@query(f""", {_VARIANTS} SELECT pop_code, t.site, pi, maf, f, round(2 * maf * (1 - maf), 6) AS hexp, round(2 * maf * (1 - maf) * (1 - f), 6) + 0 AS hobs, which, threshold AS call_thresh
+ FROM (SELECT pop_code, site, round(avg(depth::DOUBLE), 6) AS pi FROM counts JOIN meta USING (sample) GROUP BY 1, 2) t LEFT JOIN (SELECT * FROM site_stats WHERE site % 5 > 0) s ON s.site = t.site JOIN cv ON cv.site = t.site""")
+def sweep_collation(spark, d):
+    pi = T.counts(spark, d).join(T.meta(spark, d), "sample").groupBy("pop_code", "site").agg(F.avg("depth").alias("pi"))
+    sites = summaries.callable_variants(T.counts(spark, d), T.meta(spark, d), T.site_stats(spark, d), [0.2, 0.1])
+    return rounded(summaries.collate_sweep(pi, T.site_stats(spark, d).where("site % 5 > 0"), sites, ["pop_code"]))
+
+
+_CLASSES = {"flag": ("l_returnflag = 'R'", "l_returnflag = 'A'"), "price": ("l_extendedprice < 20000", "l_extendedprice >= 30000 and l_linenumber > 1")}
+_CLASS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS definition, {g} AS good, * FROM lineitem WHERE {w}" for n, pair in _CLASSES.items() for g, w in zip(("false", "true"), pair, strict=True))
+_SCREENED = ["l_quantity", "l_discount", "neg"]
+
+
+@query(f""", b AS (SELECT definition, good, unnest(['l_quantity', 'l_discount', 'neg']) AS stat, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, -l_extendedprice::DOUBLE]) AS x FROM ({_CLASS_SQL})),
+ v AS (SELECT definition, stat, x, count(*) FILTER (good) AS p, count(*) FILTER (NOT good) AS q FROM b GROUP BY 1, 2, 3),
+ m AS (SELECT definition, stat, median(x) FILTER (good) AS median_good, median(x) FILTER (NOT good) AS median_bad, count(*) FILTER (good) AS np, count(*) FILTER (NOT good) AS nq FROM b GROUP BY 1, 2),
+ c AS (SELECT v.*, m.* EXCLUDE (definition, stat), sum(p) OVER up AS tp, sum(q) OVER up AS fp, sum(p) OVER dn AS lp, sum(q) OVER dn AS lq, median_good >= median_bad AS rising FROM v JOIN m USING (definition, stat)
+  WINDOW up AS (PARTITION BY definition, stat ORDER BY x DESC), dn AS (PARTITION BY definition, stat ORDER BY x)),
+ y AS (SELECT *, CASE WHEN rising THEN tp / np ELSE lp / np END AS t, CASE WHEN rising THEN fp / nq ELSE lq / nq END AS g FROM c),
+ z AS (SELECT *, row_number() OVER (PARTITION BY definition, stat ORDER BY round(t - g, 9) DESC, x DESC) AS k, sum(p * (nq - fp + q / 2)) OVER (PARTITION BY definition, stat) / np / nq AS a FROM y)
+ SELECT definition, stat, round(CASE WHEN rising THEN a ELSE 1 - a END, 6) AS auc, round(x, 6) AS threshold, round(t, 6) AS sensitivity, round(1 - g, 6) AS specificity, round(median_good, 6) AS median_good, round(median_bad, 6) AS median_bad FROM z WHERE k = 1""")
+def roc_screen(spark, d):
+    li = T.read(spark, d, "lineitem").withColumn("neg", -F.col("l_extendedprice"))
+    return rounded(summaries.screen(li, _CLASSES, _SCREENED))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS name, 60 AS orig_mq, CASE WHEN c = 0 THEN 60 WHEN t > c THEN 0 ELSE CAST(floor(c * sqrt((c - greatest(t, 0)) / c) + 0.499::DOUBLE) AS INT) END AS new_mq, round(l_quantity::DOUBLE, 6) AS sub_q, round(l_tax * 100::DOUBLE, 6) AS clip_q, c, round(t, 6) + 0 AS t
+ FROM (SELECT *, l_quantity - 4.343::DOUBLE * (l_linenumber * ln(100) - ln(factorial(l_linenumber)::DOUBLE)) + l_tax * 100 / 5 AS t FROM lineitem), (SELECT unnest([0, 50, 60, 75, 100]) AS c)""")
+def mq_recap(spark, d):
+    li = T.read(spark, d, "lineitem")
+    x = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("name"), F.lit(60).alias("orig_mq"), F.col("l_quantity").cast("double").alias("sub_q"), F.col("l_linenumber").alias("mismatches"), F.lit(100).alias("matched"), (F.col("l_tax") * 100).cast("double").alias("clip_q"))
+    return rounded(reads.recap(x))
+
+
+@query(""", nd AS (SELECT k % 3 AS tree, k // 3 AS id FROM range(0, 93) r(k)), pt AS (SELECT tree, id, id AS leaf, 0 AS up FROM nd WHERE id >= 15 UNION ALL SELECT tree, (id - 1) // 2, leaf, up + 1 FROM pt WHERE id > 0)
+ SELECT tree::INT AS tree, (c.leaf - 15)::INT AS leaf_id, (3 - c.up)::INT AS depth, 'f' || ((c.id - 1) // 2 % 3) AS feature, CASE WHEN c.id % 2 = 1 THEN '<=' ELSE '>' END AS direction, CASE (c.id - 1) // 2 % 3 WHEN 0 THEN 2.0 + 4 * least((c.id - 1) // 2 // 4, 1) WHEN 1 THEN 7.0 ELSE (c.id - 1) // 2 END::DOUBLE AS thresh_bin FROM pt c WHERE c.id > 0""")
+def leaf_steps(spark, d):
+    """Complete trees of 15 splits and 16 leaves; the split of node i is i."""
+    k = spark.range(93).select((F.col("id") % 3).cast("int").alias("tree"), F.floor(F.col("id") / 3).cast("int").alias("id"))
+    inner, i = F.col("id") < 15, F.col("id")
+    nodes = k.select("tree", "id", F.when(inner, F.concat(F.lit("f"), (i % 3).cast("string"))).alias("feature"), F.when(inner, i.cast("double")).alias("split"), F.when(inner, 2 * i + 1).alias("yes"), F.when(inner, 2 * i + 2).alias("no"), F.when(~inner, i - 15).alias("leaf_id"))
+    return rules.leaf_steps(nodes, {"f0": [0.0, 4.0, 8.0], "f1": [0.0, 14.0], "f2": [3.0]})
+
+
 # --- beyond SQL: rows only ----------------------------------------------------------------------
 
 
@@ -814,14 +977,14 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 def gbt_fit_predict(spark, d):
     li = T.read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     s = models.split_folds(li, "row")
-    model = models.fit_trees(s.where("is_train"), _FEATURES, "l_extendedprice", trees=5, depth=3)
+    model = models.fit_trees(s.where("is_train"), _FEATURES, "l_extendedprice")
     return models.prediction_errors(model.transform(s.where("not is_train")), "l_extendedprice").select("row", "prediction", "error", "sq_error")
 
 
 @query()
 def gbt_leaves(spark, d):
     li = T.read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    model = models.fit_trees(li, _FEATURES, "l_extendedprice", trees=5, depth=3)
+    model = models.fit_trees(li, _FEATURES, "l_extendedprice")
     return models.leaf_rows(model.transform(li), "row")
 
 
@@ -836,3 +999,11 @@ def histogram_breaks(spark, d):
         return pd.DataFrame({"feature": pdf["feature"].iloc[0], "k": range(len(br)), "edge": br})
 
     return long.groupBy("feature").applyInPandas(run, "feature string, k int, edge double")
+
+
+@query()
+def rule_mining(spark, d):
+    """A fitted model's leaves, paths and rules; see the tests for a check against plain Python."""
+    li = T.read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    model = models.fit_trees(li, _FEATURES, "l_extendedprice", trees=5, depth=3)
+    return rounded(summaries.mine_rules(li, model, _FEATURES, "l_extendedprice", band=0.5, least_count=2))
