@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -84,6 +86,19 @@ def bh_adjust(df: DataFrame, p: str, tiebreak: str, out: str = "qval", groups: i
     return df.join(q.select(p, out), p, "left")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder ``spark.checkpoint.dir`` (a folder of our own only on one machine)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "helixframe-settled")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _slices(df: DataFrame, key: str, groups: int) -> DataFrame:
     """Adds _g: the range of ``key`` (at most ``groups`` ranges, so the cuts are a bounded row)."""
     cuts = df.agg(F.percentile_approx(key, [i / groups for i in range(1, groups)], 10_000)).first()[0] or []

@@ -133,7 +133,7 @@ def harvest(leaves: DataFrame, rules: DataFrame, pooled: bool = True, min_suppor
     e, s = F.col("n_extreme"), F.col("support")
     g = g.withColumns({"precision": e / F.greatest(F.lit(TINY), s), "recall": F.try_divide(e, F.col("_N")), "odds_ratio": stats.odds_ratio(e, F.col("n_bg"), F.col("_N") - e, F.col("_B") - F.col("n_bg"))})
     g = g.withColumn("lift", F.try_divide(F.col("precision"), F.try_divide(F.col("_N"), F.col("_N") + F.col("_B"))))
-    g = stats.hypergeom_upper(g, "n_extreme", "_N", "_B", "support")
+    g = stats.settled(stats.hypergeom_upper(g, "n_extreme", "_N", "_B", "support"))  # a row for each rule, read several times below
     return stats.bh_adjust(g.drop("_N", "_B"), "pval", "rule_str")
 
 

@@ -101,7 +101,7 @@ def screen(df: DataFrame, groups: dict[str, tuple[str, str]], columns: list[str]
 def mine_rules(rows: DataFrame, model, features: list[str], y: str, row: str = "row", k: float = 1.0, band: float = 1.0, max_depth: int = 4, min_support: int = 20, **binning) -> DataFrame:
     """Rules of a fitted model: its leaves over ``rows``, their paths as texts, and the harvest over extremes of ``y``."""
     cls = rules.classify(rows, y, rules.thresholds(rows, y, k), band).select(F.col(row).alias("row"), "cls")
-    leaves = models.leaf_rows(model.transform(rows), row).join(cls, "row")
+    leaves = stats.settled(models.leaf_rows(model.transform(rows), row).join(cls.where("cls is not null"), "row"))
     nodes = models.node_table(model, features)
     steps = rules.leaf_steps(rows.sparkSession.createDataFrame(nodes, models.NODE), models.split_breaks(nodes, **binning))
-    return rules.harvest(leaves, rules.path_rules(steps, max_depth), min_support=min_support)
+    return rules.harvest(leaves, stats.settled(rules.path_rules(steps, max_depth)), min_support=min_support)
