@@ -9,7 +9,7 @@ from . import shared
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40, partial: int | None = None) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node that has an edge (a, b).
+    """(node, component): the smallest node reachable, for each node that has an edge (a, b) and isn't itself the smallest.
 
     ``partial``: stop after so many rounds.  Nodes of one label are then connected, but
     connected nodes may still have several labels: enough to skip links that are known.

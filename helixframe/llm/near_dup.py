@@ -464,7 +464,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
 def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
     """Components after further links: only the links between components are followed."""
-    nodes = comp.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+    heads = comp.select("component", "component")  # components have no row for their smallest node
+    nodes = comp.union(heads).union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     edges = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     new = components.connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("new"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, host_rules, language_id, mixing, near_dup, packing, pii, quality, token_file, warc
+from . import fingerprint, host_rules, language_id, manifest, mixing, near_dup, packing, pii, quality, resampling, simhash, token_file, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         fingerprint.op8_merkle_fingerprint,
         mixing.op9_temperature_mix,
         token_file.op10_token_file,
+        simhash.op11_simhash_variants,
+        manifest.op12_merkle_manifest,
+        resampling.op13_importance_resample,
     )
 }
 
@@ -24,4 +27,6 @@ SQL = {
     "op4_host_rules": host_rules.SQL,
     "op6_warc_dictionary": warc.SQL,
     "op9_temperature_mix": mixing.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+    "op13_importance_resample": resampling.SQL,
 }
