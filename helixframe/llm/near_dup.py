@@ -25,6 +25,7 @@ At a similarity of 0.75 two documents meet in some tree with probability
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 
 import numpy as np
@@ -73,10 +74,12 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(sets: np.ndarray) -> bytes:
+    return hashlib.sha256(sets.tobytes()).digest()[:16]
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sig, bits): one row for each document, the last three null where the set is empty."""
-    import hashlib
-
     shared.text_batches(docs.sparkSession)
 
     def run(batches):
@@ -86,7 +89,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = hasher.shingles(text, size)
                 sig = signature(s) if len(s) else None
-                rows.append((doc, len(s), *((hashlib.sha256(s.tobytes()).digest()[:16], sig.astype("<u4").tobytes(), _sketch(sig[None])[0].tobytes()) if len(s) else (None,) * 3)))
+                rows.append((doc, len(s), *((_digest(s), sig.astype("<u4").tobytes(), _sketch(sig[None])[0].tobytes()) if len(s) else (None,) * 3)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig", "bits"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, bits binary")
@@ -223,15 +226,19 @@ def _filter(wanted: DataFrame):
     return F.pandas_udf(test, "boolean")(slot)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): whole texts, compressed; smaller than their sets of hashes, so shuffles are too."""
+def _texts(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """(doc_id, packed): whole texts, compressed; smaller than their sets of hashes, so shuffles are too.
+
+    With ``size`` also digest, that of the text's set.
+    """
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack, hasher = zstandard.ZstdCompressor(level=3).compress, shingles.WordHasher()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [pack((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [pack((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+            yield out if size is None else out.assign(digest=[_digest(hasher.shingles(t, size)) for t in pdf["text"]])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary" + ", digest binary" * (size is not None))
 
 
 class SetCache:
@@ -364,7 +371,7 @@ def _dealt(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between regions' members that lie in different components, enough to join these."""
-    columns = "key long, tree int, c int, x int, y int, doc_id long, n long, label long, side int, stray boolean"
+    columns = "key long, tree int, c int, x int, y int, doc_id long, n long, label long, side int, stray boolean, digest binary"
 
     def pairs(pdf):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
@@ -381,14 +388,16 @@ def _remaining(docs: DataFrame, members: DataFrame, reps: DataFrame, comp: DataF
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}).astype("int64")
 
     dealt = shared.stage(_dealt(members, comp), "cells")
-    sig = reps.select("doc_id", "sig").where(_filter(dealt.select("doc_id").distinct()))
-    held = dealt.join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "stray", "sig")
+    # an id may stand for several sets: each comes with its own signature and text
+    sig = reps.select("doc_id", "digest", "sig").where(_filter(dealt.select("doc_id").distinct()))
+    held = dealt.join(sig, "doc_id").select(*CELL_KEY, "doc_id", "n", "label", "side", "stray", "digest", "sig")
     held = shared.stage(held.groupBy(*CELL_KEY).applyInPandas(near, columns), "remaining")
     wanted = held.select("doc_id").distinct()
     few = _filter(wanted)
     some = docs.where(few).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    texts = shared.stage(_texts(some).dropDuplicates(["doc_id"]).join(sig.where(few), "doc_id"), "texts")
-    return held.join(texts, "doc_id").groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
+    texts = _texts(some, size).dropDuplicates(["doc_id", "digest"]).join(sig.where(few), ["doc_id", "digest"])
+    texts = shared.stage(texts, "texts")
+    return held.join(texts, ["doc_id", "digest"]).groupBy(*CELL_KEY).applyInPandas(links, "a long, b long").distinct()
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:

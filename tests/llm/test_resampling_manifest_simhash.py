@@ -149,6 +149,27 @@ def test_simhash_edge_rows(docs, none):
         simhash.simhash_groups(docs, distance=6)
 
 
+# --- operator 7: what operator 11 shares with it -----------------------------------------------
+
+
+def test_joined_components_take_their_smallest_node_along(spark):
+    comp = spark.createDataFrame([(8, 5), (9, 5), (3, 1)], "node long, component long")
+    more = spark.createDataFrame([(8, 3), (20, 30)], "a long, b long")
+    got = {r["node"]: r["component"] for r in near_dup._joined(comp, more).collect()}
+    assert {n: got[n] for n in (3, 5, 8, 9, 20, 30)} == {3: 1, 5: 1, 8: 1, 9: 1, 20: 20, 30: 20}
+
+
+def test_an_id_with_two_texts_keeps_both_in_the_last_step(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(1, a + " end"), (1, b + " end"), (10, a), (20, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = near_dup._signatures(docs, 5).withColumnRenamed("n_shingles", "n")
+    members = reps.selectExpr("1L as key", "0 as tree", "doc_id", "n")
+    comp = spark.createDataFrame([], "node long, component long")
+    links = near_dup._remaining(docs, members, reps, comp, 5, 75).collect()
+    assert {tuple(sorted(r)) for r in links} == {(1, 10), (1, 20)}
+
+
 # --- operator 12 -----------------------------------------------------------------------------
 
 
