@@ -73,12 +73,12 @@ def z_score(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str, tiebreak: str, out: str = "qval", groups: int = 64) -> DataFrame:
-    """Benjamini-Hochberg q values; null p values get null and don't count.
+    """Benjamini-Hochberg q values; null and NaN p values get null and don't count.
 
     Ranks come from range partitions of the distinct p values with their counts, so no window
     spans the whole table.
     """
-    per = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_k"))
+    per = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(p).agg(F.count("*").alias("_k"))
     total = F.broadcast(per.agg(F.sum("_k").alias("_n")))  # one row
     ranked = running_total(per, [p], "_k", "_r", groups).join(total)
     ranked = ranked.withColumn("_v", F.col(p) * F.col("_n") / F.col("_r"))
@@ -107,29 +107,47 @@ def _slices(df: DataFrame, key: str, groups: int) -> DataFrame:
     return df.withColumn("_g", g)
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, groups: int = 64, descending: bool = False) -> DataFrame:
-    """Inclusive running sum over the whole table, by ranges of ``order[0]`` and within each."""
+def running_total(df: DataFrame, order: list[str], value: str, out: str, groups: int = 64, descending: bool = False, by: list[str] = ()) -> DataFrame:
+    """Inclusive running sum over the whole table, or within each group of ``by``: by ranges of ``order[0]`` and within each."""
     s = _slices(df, order[0], groups)
-    sums = s.groupBy("_g").agg(F.sum(value).alias("_s"))  # a row for each range
-    by = F.col("_g").desc() if descending else F.col("_g").asc()
-    before = F.broadcast(sums.select("_g", F.coalesce(F.sum("_s").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b")))
+    sums = s.groupBy(*by, "_g").agg(F.sum(value).alias("_s"))  # a row for each range
+    up = F.col("_g").desc() if descending else F.col("_g").asc()
+    before = sums.select(*by, "_g", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(up).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    before = before if by else F.broadcast(before)
     keys = [F.col(order[0]).desc() if descending else F.col(order[0]).asc(), *order[1:]]
-    inner = F.sum(value).over(Window.partitionBy("_g").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return s.join(before, "_g").withColumn(out, F.col("_b") + inner).drop("_g", "_b")
+    inner = F.sum(value).over(Window.partitionBy(*by, "_g").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return s.join(before, [*by, "_g"]).withColumn(out, F.col("_b") + inner).drop("_g", "_b")
 
 
-def running_min_from_end(df: DataFrame, key: str, value: str, out: str, groups: int = 64) -> DataFrame:
-    """Least value at this key or any larger one, by ranges of the key."""
+def running_min_from_end(df: DataFrame, key: str, value: str, out: str, groups: int = 64, by: list[str] = ()) -> DataFrame:
+    """Least value at this key or any larger one (in the group of ``by``), by ranges of the key."""
     s = _slices(df, key, groups)
-    lows = s.groupBy("_g").agg(F.min(value).alias("_l"))  # a row for each range
-    after = F.broadcast(lows.select("_g", F.min("_l").over(Window.orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_b")))
-    inner = F.min(value).over(Window.partitionBy("_g").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return s.join(after, "_g").withColumn(out, F.least(F.col("_b"), inner)).drop("_g", "_b")
+    lows = s.groupBy(*by, "_g").agg(F.min(value).alias("_l"))  # a row for each range
+    after = lows.select(*by, "_g", F.min("_l").over(Window.partitionBy(*by).orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
+    after = after if by else F.broadcast(after)
+    inner = F.min(value).over(Window.partitionBy(*by, "_g").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return s.join(after, [*by, "_g"]).withColumn(out, F.least(F.col("_b"), inner)).drop("_g", "_b")
+
+
+def bh_adjust_columns(df: DataFrame, key: str, columns: list[str], suffix: str = "_bh", groups: int = 64) -> DataFrame:
+    """(key, <column><suffix>...): Benjamini-Hochberg q values of several columns of p values, all in one pass.
+
+    ``key`` names a row; null and NaN p values get null and don't count.
+    """
+    p = F.col("_p")
+    long = df.unpivot([key], columns, "_name", "_p").where(p.isNotNull() & ~F.isnan(p))
+    per = settled(long.groupBy("_name", "_p").agg(F.count("*").alias("_k")))
+    total = F.broadcast(per.groupBy("_name").agg(F.sum("_k").alias("_n")))  # a row for each column
+    ranked = running_total(per, ["_p"], "_k", "_r", groups, by=["_name"]).join(total, "_name")
+    ranked = settled(ranked.select("_name", "_p", (p * F.col("_n") / F.col("_r")).alias("_v")))
+    q = running_min_from_end(ranked, "_p", "_v", "_q", groups, by=["_name"]).select("_name", "_p", F.least("_q", F.lit(1.0)).alias("_q"))
+    wide = long.join(q, ["_name", "_p"]).groupBy(key).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c + suffix) for c in columns])
+    return df.select(key).join(wide, key, "left")
 
 
 def roc(df: DataFrame, stat: str, label: str, groups: int = 64) -> DataFrame:
     """(threshold, tpr, fpr): a point for each distinct value, calls being values at or above it."""
-    per = df.where(F.col(stat).isNotNull()).groupBy(stat).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum((~F.col(label)).cast("long")).alias("_q"))
+    per = df.where(F.col(stat).isNotNull() & ~F.isnan(stat)).groupBy(stat).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum((~F.col(label)).cast("long")).alias("_q"))
     per = running_total(running_total(per, [stat], "_p", "_tp", groups, True), [stat], "_q", "_fp", groups, True)
     tot = F.broadcast(per.agg(F.sum("_p").alias("_tot_p"), F.sum("_q").alias("_tot_q")))  # one row
     return per.join(tot).select(F.col(stat).alias("threshold"), F.try_divide("_tp", "_tot_p").alias("tpr"), F.try_divide("_fp", "_tot_q").alias("fpr"), "_p", "_q", "_tot_p", "_tot_q")
@@ -195,10 +213,6 @@ def hypergeom_upper(df: DataFrame, k: str, m: str, n: str, size: str, out: str =
 # --- what SQL lacks: vectorised Python -----------------------------------------------------
 
 
-def erfc_sqrt_half(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v is not None and v >= 0 else None)
-
-
 def chi2_upper(df_: int):
     """Pandas UDF: upper tail of chi squared with ``df_`` degrees of freedom."""
 
@@ -252,106 +266,31 @@ def student_two_sided(t: float, df_: float) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
-def dip(values: np.ndarray) -> float:
-    """Hartigan's dip: distance of the empirical distribution from the nearest unimodal one.
-
-    For each modal interval the convex minorant left of it and the concave majorant right of
-    it are compared with the steps; the published algorithm's alternation narrows the interval.
-    """
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 2 or x[0] == x[-1]:
-        return 1 / (2 * n) if n else math.nan
-
-    def hull(xs, ys, sign):  # indices of the greatest convex minorant (sign 1) or least concave majorant (-1)
-        keep: list[int] = []
-        for i in range(len(xs)):
-            while len(keep) > 1:
-                a, b = keep[-2], keep[-1]
-                if sign * ((ys[b] - ys[a]) * (xs[i] - xs[a]) - (ys[i] - ys[a]) * (xs[b] - xs[a])) >= 0:
-                    keep.pop()
-                else:
-                    break
-            if keep and xs[keep[-1]] == xs[i] and sign * (ys[i] - ys[keep[-1]]) < 0:
-                keep.pop()
-            if not keep or xs[keep[-1]] != xs[i]:
-                keep.append(i)
-        return keep
-
-    xs, k = np.unique(x, return_counts=True)
-    high = np.cumsum(k) / n
-    low = high - k / n
-    a, b, best = 0, len(xs) - 1, 1 / n
-    while True:
-        g = [i + a for i in hull(xs[a : b + 1], low[a : b + 1], 1)]
-        h = [i + a for i in hull(xs[a : b + 1], high[a : b + 1], -1)]
-        gy, hy = np.interp(xs, xs[g], low[g]), np.interp(xs, xs[h], high[h])
-        knots = sorted({*g, *h})
-        gap = {i: hy[i] - gy[i] for i in knots}
-        at = max(gap, key=gap.get)
-        d = gap[at]
-        if d <= best:
-            break
-        left, right = max([i for i in g if i <= at], default=a), min([i for i in h if i >= at], default=b)
-        if at in g:
-            left, right = at, min([i for i in h if i > at], default=b) if at not in h else at
-        else:
-            right, left = at, max([i for i in g if i < at], default=a)
-        dl = max((high[i] - gy[i] for i in range(a, left + 1)), default=0)
-        dr = max((hy[i] - low[i] for i in range(right, b + 1)), default=0)
-        best = max(best, dl, dr)
-        if (left, right) == (a, b) or left >= right:
-            break
-        a, b = left, right
-    return best / 2
-
-
-def vincenty(lat1, lon1, lat2, lon2) -> float:
-    """Metres between two places on the WGS84 ellipsoid; null inputs give NaN."""
+def vincenty(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Metres between places on the WGS84 ellipsoid, for arrays of degrees; NaN where a number is missing."""
     a, f = 6378137.0, 1 / 298.257223563
     b = (1 - f) * a
-    if any(v is None or v != v for v in (lat1, lon1, lat2, lon2)):
-        return math.nan
-    u1, u2 = (math.atan((1 - f) * math.tan(math.radians(v))) for v in (lat1, lat2))
-    L = lam = math.radians(lon2 - lon1)
-    for _ in range(200):
-        s1, c1, s2, c2 = math.sin(u1), math.cos(u1), math.sin(u2), math.cos(u2)
-        ss = math.hypot(c2 * math.sin(lam), c1 * s2 - s1 * c2 * math.cos(lam))
-        if ss == 0:
-            return 0.0
-        cs = s1 * s2 + c1 * c2 * math.cos(lam)
-        sig = math.atan2(ss, cs)
-        sa = c1 * c2 * math.sin(lam) / ss
-        ca2 = 1 - sa * sa
-        cm = cs - 2 * s1 * s2 / ca2 if ca2 else 0.0
-        C = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
-        new = L + (1 - C) * f * sa * (sig + C * ss * (cm + C * cs * (2 * cm * cm - 1)))
-        if abs(new - lam) < 1e-12:
-            break
-        lam = new
+    lat1, lon1, lat2, lon2 = (np.radians(np.asarray(v, float)) for v in (lat1, lon1, lat2, lon2))
+    u1, u2 = (np.arctan((1 - f) * np.tan(v)) for v in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    apart = lam = lon2 - lon1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(200):
+            ss = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
+            cs = s1 * s2 + c1 * c2 * np.cos(lam)
+            sig = np.arctan2(ss, cs)
+            sa = np.where(ss > 0, c1 * c2 * np.sin(lam) / ss, 0.0)
+            ca2 = 1 - sa * sa
+            cm = np.where(ca2 > 0, cs - 2 * s1 * s2 / ca2, 0.0)
+            c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+            old, lam = lam, apart + (1 - c) * f * sa * (sig + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+            if not (np.abs(lam - old) >= 1e-12).any():
+                break
     u = ca2 * (a * a - b * b) / (b * b)
-    A = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    B = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    ds = B * ss * (cm + B / 4 * (cs * (2 * cm * cm - 1) - B / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-    return b * A * (sig - ds)
-
-
-def ogk_distance(x: np.ndarray) -> np.ndarray:
-    """Squared robust Mahalanobis distances by the orthogonalised Gnanadesikan-Kettenring estimator."""
-    x = np.asarray(x, float)
-    if not len(x):
-        return np.zeros(0)
-    mad = lambda v: 1.4826 * np.median(np.abs(v - np.median(v))) or 1e-12
-    scale = np.array([mad(c) for c in x.T])
-    y, k = x / scale, x.shape[1]
-    u = np.eye(k)
-    for i in range(k):
-        for j in range(i):
-            u[i, j] = u[j, i] = (mad(y[:, i] + y[:, j]) ** 2 - mad(y[:, i] - y[:, j]) ** 2) / 4
-    _, e = np.linalg.eigh(u)
-    z = y @ e
-    centre, spread = np.median(z, axis=0), np.array([mad(c) for c in z.T])
-    return (((z - centre) / spread) ** 2).sum(axis=1)
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    turn = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+    return b * big * (sig - turn)
 
 
 def pretty(low: float, high: float, n: int) -> np.ndarray:

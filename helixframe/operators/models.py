@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions import stats
+from helixframe.functions import ranks, stats
 
 
 def split_folds(df: DataFrame, key: str, train_tenths: int = 7, folds: int = 5) -> DataFrame:
@@ -271,30 +271,66 @@ def random_intercept_variance(y: np.ndarray, group: list) -> dict[str, float]:
 
 
 def selection_scan(z: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds d2 (robust squared distance), p (chi squared, one degree for each column) and q.
+    """Adds d2 (robust squared distance), p (chi squared, one degree for each column) and q."""
+    out = z.withColumn("d2", robust_distance(z, cols))
+    return stats.bh_adjust(out.withColumn("p", stats.chi2_upper(len(cols))("d2")), "p", "d2", "q")
 
-    The estimator needs columns' medians only, so its scales come from bounded aggregates:
-    the pairwise scales and then those of the rotated columns.
+
+def robust_distance(z: DataFrame, cols: list[str]) -> Column:
+    """Squared distance from the centre by the orthogonalised pairwise estimator, as an expression of ``cols``.
+
+    It needs medians only: of the columns, of their pairwise sums and differences, and of the
+    rotated columns, all exact and by counts of value ranges.
     """
     k = len(cols)
-    mad = lambda df, es: _mads(df, es)
-    scale = mad(z, [F.col(c) for c in cols])
+    scale = _mads(z, [F.col(c) for c in cols])
     y = [F.col(c) / (s[1] or 1e-12) for c, s in zip(cols, scale, strict=True)]
     pairs = list(combinations(range(k), 2))
-    got = mad(z, [e for i, j in pairs for e in (y[i] + y[j], y[i] - y[j])]) if pairs else []
+    got = _mads(z, [e for i, j in pairs for e in (y[i] + y[j], y[i] - y[j])]) if pairs else []
     u = np.eye(k)
     for n, (i, j) in enumerate(pairs):
         u[i, j] = u[j, i] = (got[2 * n][1] ** 2 - got[2 * n + 1][1] ** 2) / 4
     e = np.linalg.eigh(u)[1]
     turned = [sum((y[i] * float(e[i, c]) for i in range(k)), F.lit(0.0)) for c in range(k)]
-    centre = mad(z, turned)
-    d2 = sum((((t - float(m)) / float(s or 1e-12)) ** 2 for t, (m, s) in zip(turned, centre, strict=True)), F.lit(0.0))
-    out = z.withColumn("d2", d2)
-    return stats.bh_adjust(out.withColumn("p", stats.chi2_upper(k)("d2")), "p", "d2", "q")
+    centre = _mads(z, turned)
+    return sum((((t - float(m)) / float(s or 1e-12)) ** 2 for t, (m, s) in zip(turned, centre, strict=True)), F.lit(0.0))
 
 
 def _mads(df: DataFrame, exprs: list[Column]) -> list[tuple[float, float]]:
-    """(median, scaled median absolute deviation) of each expression: two aggregations to one row."""
-    med = df.agg(*[F.median(e).alias(f"m{i}") for i, e in enumerate(exprs)]).first()
-    mad = df.agg(*[F.median(F.abs(e - float(med[i] or 0.0))).alias(f"d{i}") for i, e in enumerate(exprs)]).first()
-    return [(float(med[i] or 0.0), 1.4826 * float(mad[i] or 0.0)) for i in range(len(exprs))]
+    """(median, scaled median absolute deviation) of each expression."""
+    med = [m or 0.0 for m in ranks.exact_medians(df, exprs)]
+    mad = ranks.exact_medians(df, [F.abs(e - m) for e, m in zip(exprs, med, strict=True)])
+    return [(m, 1.4826 * (d or 0.0)) for m, d in zip(med, mad, strict=True)]
+
+
+def pca_selection(sites: DataFrame, flags: DataFrame, scores: DataFrame, selection: DataFrame, k: int, mode: str = "univariate") -> DataFrame:
+    """(snpcode, pcadapt1.., selection1.., and a _bh of each): p values of sites that may be under selection.
+
+    ``sites`` (ord, snpcode) and ``flags`` (ord, kept) are lines of one length; ``scores`` and
+    ``selection`` (ord, values: array) have a line for each kept site, in order.  ``univariate``
+    scores are squared deviations from their column's median, one degree of freedom each;
+    ``multivariate`` ones are one robust distance with ``k`` degrees.  Missing values have no p
+    value and don't count in the adjustment.
+    """
+    if mode not in ("univariate", "multivariate"):
+        raise ValueError("mode is univariate or multivariate")
+    if mode == "multivariate" and k < 2:
+        raise ValueError("a multivariate scan needs two components")
+    kept = flags.where("kept = 1").withColumn("_one", F.lit(1))
+    kept = stats.running_total(kept, ["ord"], "_one", "_at").select("ord", (F.col("_at") - 1).alias("_at"))
+    sizes = [t.count() for t in (kept, scores, selection)]
+    if len(set(sizes)) > 1:
+        raise ValueError(f"kept sites, scores and selection statistics differ in number: {sizes}")
+    value = lambda i: F.get("values", F.lit(i)).cast("double")
+    z = scores.select(F.col("ord").alias("_at"), *[value(i).alias(f"_z{i}") for i in range(k)])
+    s = selection.select(F.col("ord").alias("_at"), *[value(i).alias(f"_s{i}") for i in range(k)])
+    rows = stats.settled(kept.join(sites.select("ord", "snpcode"), "ord").join(z, "_at").join(s, "_at"))
+    cols = [f"_z{i}" for i in range(k)]
+    if mode == "univariate":
+        medians = ranks.exact_medians(rows, [F.col(c) for c in cols])
+        own = {f"pcadapt{i + 1}": stats.chi2_upper(1)((F.col(c) - F.lit(m)) ** 2) for i, (c, m) in enumerate(zip(cols, medians, strict=True))}
+    else:
+        own = {"pcadapt1": stats.chi2_upper(k)(robust_distance(rows, cols))}
+    own |= {f"selection{i + 1}": stats.chi2_upper(1)(F.col(f"_s{i}")) for i in range(k)}
+    out = stats.settled(rows.select("_at", "snpcode", *[F.nanvl(p, F.lit(None).cast("double")).alias(n) for n, p in own.items()]))
+    return out.join(stats.bh_adjust_columns(out, "_at", list(own)), "_at").select("snpcode", *own, *[f"{n}_bh" for n in own])

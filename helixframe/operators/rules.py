@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import stats
+from helixframe.functions import ranks, stats
 
 TINY = 1e-12
 
@@ -15,9 +15,10 @@ def thresholds(df: DataFrame, y: str, k: float = 1.0, centre: str = "mean", spre
     if centre == "mean" and spread == "sd":
         g = df.agg(F.avg(y).alias("centre"), F.stddev_samp(y).alias("spread"))
     else:
-        med = df.agg(F.median(y).alias("_m"), F.avg(y).alias("_a"), F.stddev_samp(y).alias("_s"))  # one row
-        g = df.join(F.broadcast(med)).agg(F.first("_m").alias("_m"), F.first("_a").alias("_a"), F.first("_s").alias("_s"), (1.4826 * F.median(F.abs(F.col(y) - F.col("_m")))).alias("_mad"))
-        g = g.select(F.col("_a" if centre == "mean" else "_m").alias("centre"), F.col("_s" if spread == "sd" else "_mad").alias("spread"))
+        g = df.agg(F.avg(y).alias("_a"), F.stddev_samp(y).alias("_s"))
+        med = ranks.exact_medians(df, [F.col(y)])[0]
+        mad = ranks.exact_medians(df, [F.abs(F.col(y) - F.lit(med))])[0] if spread != "sd" else None
+        g = g.select((F.col("_a") if centre == "mean" else F.lit(med)).alias("centre"), (F.col("_s") if spread == "sd" else F.lit(1.4826 * mad if mad is not None else None)).cast("double").alias("spread"))
     return g.withColumn("cut", F.col("centre") + k * F.col("spread"))
 
 

@@ -65,37 +65,42 @@ def collate_sweep(thetas: DataFrame, freq: DataFrame, callable_: DataFrame, keys
     return rows.join(callable_.withColumnRenamed("threshold", "call_thresh"), on)
 
 
-def screen(df: DataFrame, groups: dict[str, tuple[str, str]], columns: list[str]) -> DataFrame:
+def screen(df: DataFrame, groups: dict[str, tuple[str, str]], columns: list[str], ranges: int = 64) -> DataFrame:
     """A row for each class definition and statistic: AUC, best threshold, its rates, medians of both classes.
 
     ``groups``: name -> (predicate of the bad class, predicate of the good class), as SQL text;
     a row in both counts in both.  Where the good class has the lower median, calls are values
     at or below a threshold.  The best threshold has the largest Youden index; ties go to the
-    highest.  A statistic without values in either class gives no row.
+    highest.  NaN values are missing; a statistic without values in either class gives no row.
+
+    Rows are dealt to their definitions and statistics once, counted by distinct value, and
+    ranked by ranges of values within each pair of definition and statistic.
     """
-    out = None
-    for name, (bad, good) in groups.items():
-        both = df.where(F.expr(bad)).withColumn("_good", F.lit(False)).union(df.where(F.expr(good)).withColumn("_good", F.lit(True)))
-        for c in columns:
-            p = stats.roc(both.select(F.col(c).cast("double").alias("_x"), "_good"), "_x", "_good")
-            p = p.where("_tot_p > 0 and _tot_q > 0").withColumns({"_up": F.round(F.col("tpr") * F.col("_tot_p")), "_uq": F.round(F.col("fpr") * F.col("_tot_q"))})
-            low_t, low_f = (F.col("_tot_p") - F.col("_up") + F.col("_p")) / F.col("_tot_p"), (F.col("_tot_q") - F.col("_uq") + F.col("_q")) / F.col("_tot_q")
-            best = lambda t, f: F.max(F.struct(F.round(t - f, 9).alias("j"), "threshold", t.alias("t"), f.alias("f")))
-            # values at the middle ranks, counted from the largest
-            at = lambda have, total, up: F.max(F.when(F.col(have) >= (F.ceil if up else F.floor)((F.col(total) + 1) / 2), F.col("threshold")))
-            row = p.agg(
-                (F.sum(F.col("_p") * (F.col("_tot_q") - F.col("_uq") + F.col("_q") / 2.0)) / F.first("_tot_p") / F.first("_tot_q")).alias("a"),
-                best(F.col("tpr"), F.col("fpr")).alias("hi"), best(low_t, low_f).alias("lo"),
-                ((at("_up", "_tot_p", True) + at("_up", "_tot_p", False)) / 2).alias("median_good"), ((at("_uq", "_tot_q", True) + at("_uq", "_tot_q", False)) / 2).alias("median_bad"),
-            ).where("a is not null")
-            rising = F.col("median_good") >= F.col("median_bad")
-            b = F.when(rising, F.col("hi")).otherwise(F.col("lo"))
-            row = row.select(
-                F.lit(name).alias("definition"), F.lit(c).alias("stat"), F.when(rising, F.col("a")).otherwise(1 - F.col("a")).alias("auc"), b["threshold"].alias("threshold"),
-                b["t"].alias("sensitivity"), (1 - b["f"]).alias("specificity"), "median_good", "median_bad",
-            )
-            out = row if out is None else out.union(row)
-    return out
+    by = ["definition", "stat"]
+    member = [F.when(F.expr(p), F.struct(F.lit(n).alias("definition"), F.lit(good).alias("good"))) for n, pair in groups.items() for p, good in zip(pair, (False, True), strict=True)]
+    numbers = F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("x")) for c in columns])
+    rows = df.select(F.explode(F.array_compact(F.array(*member))).alias("m"), numbers.alias("v"))
+    rows = rows.select("m.definition", "m.good", F.explode("v").alias("v")).select("definition", "good", "v.stat", "v.x").where("x is not null and not isnan(x)")
+    per = rows.groupBy(*by, "x").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("q"))
+    per = stats.settled(per)
+    total = per.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq")).where("np > 0 and nq > 0")
+    up = stats.running_total(stats.running_total(per, ["x"], "p", "tp", ranges, True, by), ["x"], "q", "fp", ranges, True, by)
+    c = up.join(total, by)  # tp, fp: calls at or above x
+    low_t, low_f = (F.col("np") - F.col("tp") + F.col("p")) / F.col("np"), (F.col("nq") - F.col("fp") + F.col("q")) / F.col("nq")
+    best = lambda t, f: F.max(F.struct(F.round(t - f, 9).alias("j"), F.col("x").alias("threshold"), t.alias("t"), f.alias("f")))
+    # values at the middle ranks, counted from the largest
+    at = lambda have, n, f: F.max(F.when(F.col(have) >= f((F.col(n) + 1) / 2), F.col("x")))
+    row = c.groupBy(*by).agg(
+        (F.sum(F.col("p") * (F.col("nq") - F.col("fp") + F.col("q") / 2.0)) / F.first("np") / F.first("nq")).alias("a"),
+        best(F.col("tp") / F.col("np"), F.col("fp") / F.col("nq")).alias("hi"), best(low_t, low_f).alias("lo"),
+        ((at("tp", "np", F.ceil) + at("tp", "np", F.floor)) / 2).alias("median_good"), ((at("fp", "nq", F.ceil) + at("fp", "nq", F.floor)) / 2).alias("median_bad"),
+    )
+    rising = F.col("median_good") >= F.col("median_bad")
+    b = F.when(rising, F.col("hi")).otherwise(F.col("lo"))
+    return row.select(
+        *by, F.when(rising, F.col("a")).otherwise(1 - F.col("a")).alias("auc"), b["threshold"].alias("threshold"),
+        b["t"].alias("sensitivity"), (1 - b["f"]).alias("specificity"), "median_good", "median_bad",
+    )
 
 
 def mine_rules(rows: DataFrame, model, features: list[str], y: str, row: str = "row", k: float = 1.0, band: float = 1.0, max_depth: int = 4, min_support: int = 20, **binning) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import stats
+from helixframe.functions import ranks, stats
 
 
 def grid(spark: SparkSession, **levels: list) -> DataFrame:
@@ -17,12 +17,17 @@ def grid(spark: SparkSession, **levels: list) -> DataFrame:
 
 
 def stat_cube(df: DataFrame, keys: list[str], values: list[str], site: str = "site") -> DataFrame:
-    """For each statistic and key: mean, median, sd, var, iqr, cv, q25, q75, rel_iqr and distinct sites with a value."""
+    """For each statistic and key: mean, median, sd, var, iqr, cv, q25, q75, rel_iqr and distinct sites with a value.
+
+    Quartiles are exact and by counts of value ranges: there are few groups, each of which may be large.
+    """
     long = df.unpivot([*keys, site], values, "statistic", "value")
     v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = long.groupBy("statistic", *keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("var"), q.alias("_q"), F.count_distinct(F.when(v.isNotNull(), F.col(site))).alias("n_sites"))
-    q1, q2, q3 = (F.col("_q")[i] for i in range(3))
+    g = long.groupBy("statistic", *keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("var"), F.count_distinct(F.when(v.isNotNull(), F.col(site))).alias("n_sites"))
+    by = ["statistic", *keys]
+    q = ranks.exact_quantiles(long, by, "value", [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("q").alias("_q"))
+    g = g.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
+    q1, q2, q3 = (F.get("_q", F.lit(i)) for i in range(3))
     return g.select("statistic", *keys, "mean", q2.alias("median"), "sd", "var", (q3 - q1).alias("iqr"), F.try_divide("sd", F.abs("mean")).alias("cv"), q1.alias("q25"), q3.alias("q75"), F.try_divide(q3 - q1, q2).alias("rel_iqr"), "n_sites")
 
 

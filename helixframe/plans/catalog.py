@@ -901,41 +901,12 @@ def leaf_steps(spark, d):
 # --- beyond SQL: rows only ----------------------------------------------------------------------
 
 
-def _group_stat(df, key, value, name, fn):
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [fn(x) if len(x) >= 5 else None]})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} long, {name} double")
-
-
-@query()
-def dip(spark, d):
-    return _group_stat(T.counts(spark, d).select("site", "depth"), "site", "depth", "dip", stats.dip)
-
-
 @query()
 def chi2_scan(spark, d):
     z = T.read(spark, d, "part").select(F.col("p_partkey").alias("site"), (F.col("p_size") / 10.0).alias("z1"), (F.col("p_retailprice") / 500).alias("z2"), (F.pmod(F.col("p_partkey") * 31, F.lit(17)) / 5.0).alias("z3"))
     return rounded(models.selection_scan(z, ["z1", "z2", "z3"]).select("site", "d2", "p", "q"))
 
 
-@query()
-def geodesic(spark, d):
-    import pandas as pd
-
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([stats.vincenty(*r) for r in zip(a, b, c, e, strict=True)])
-
-    run.__annotations__ = {k: pd.Series for k in "abce"} | {"return": pd.Series}
-    place = T.meta(spark, d).select("sample", (F.col("sample") % 60).cast("double").alias("lat"), (F.col("sample") * 7 % 170).cast("double").alias("lon"))
-    j = models.sample_pairs(place)
-    km = F.pandas_udf(run, "double")("lat_1", "lon_1", "lat_2", "lon_2") / 1000
-    return rounded(j.select("sample_1", "sample_2", km.alias("km")), 3)
-
-
 @query()
 def pca_pcs(spark, d):
     z = genotype.standardise(T.counts(spark, d)).select("site", "sample", F.col("z_site").alias("z")).dropna()
@@ -1007,3 +978,6 @@ def rule_mining(spark, d):
     li = T.read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     model = models.fit_trees(li, _FEATURES, "l_extendedprice", trees=5, depth=3)
     return rounded(summaries.mine_rules(li, model, _FEATURES, "l_extendedprice", band=0.5, least_count=2))
+
+
+from . import studies  # noqa: E402, F401  registers its queries

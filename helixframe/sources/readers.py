@@ -140,6 +140,15 @@ def selection_outputs(spark: SparkSession, sites, scores) -> DataFrame:
     return kept.join(rows, "ord").drop("ord")
 
 
+def selection_tables(spark: SparkSession, codes, sites, scores, selection) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ord, snpcode), (ord, kept), (ord, values) and (ord, values): what ``pca_selection`` takes, by line."""
+    line = lambda path: with_ordinal(spark.read.text(path))
+    numbers = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double"))
+    names, flags = line(codes).select("ord", F.trim("value").alias("snpcode")), line(sites).select("ord", F.trim("value").try_cast("int").alias("kept"))
+    same_length(names, flags)
+    return names, flags, *(line(p).select("ord", numbers.alias("values")) for p in (scores, selection))
+
+
 def marginal_means(spark: SparkSession, path, text: tuple[str, ...] = ("statistic", "parameter")) -> DataFrame:
     m = require(spark.read.csv(path, header=True, nullValue="NA"), ["emmean"], "marginal means")
     return m.select(*[F.col(c) if c in text else F.col(c).try_cast("double").alias(c) for c in m.columns]).where("emmean is not null")

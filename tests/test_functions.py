@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from helixframe.functions import keys, stats
+from helixframe.functions import dips, keys, stats
 from helixframe.operators import intervals, models, reads, rules, site
 from helixframe.sources import readers
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ def test_code_round_trip(spark):
 def test_known_values():
     assert stats.student_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert stats.vincenty(0, 0, 0, 1) == pytest.approx(111319.49, abs=0.1)
-    assert stats.dip(np.arange(10.0)) == pytest.approx(0.05)
-    assert stats.dip(np.r_[np.zeros(50) + np.arange(50) / 1e3, 9 + np.arange(50) / 1e3]) > 0.2
+    assert dips.dip(np.arange(10.0)) == pytest.approx(0.05)
+    assert dips.dip(np.r_[np.zeros(50) + np.arange(50) / 1e3, 9 + np.arange(50) / 1e3]) > 0.2
     assert stats.pretty(0, 97, 5).tolist() == [0, 20, 40, 60, 80, 100]
 
 
