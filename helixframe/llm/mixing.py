@@ -76,7 +76,8 @@ def mix_sources(docs: DataFrame, repeats: float | None = REPEATS, entropy: float
     Epochs before a source's last are whole; its last takes blocks, then documents, in that
     epoch's order while the tokens before them lie under the budget's remainder.  A source's
     blocks are hash slices, whose number grows with the corpus, so no source is one task's.  A null source is a source; null
-    texts count one token; repeated rows are dealt one by one; clashing names are replaced.
+    texts count one token; repeated rows are dealt one by one.  Columns named like the four new
+    ones are replaced, all others come back as they were.
     """
     docs = docs.drop("epoch", "block", "place", "mix_tokens")
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -109,10 +110,11 @@ def mix_sources(docs: DataFrame, repeats: float | None = REPEATS, entropy: float
     # one row again for each document, with its turns
     dealt = dealt.groupBy("doc_id", "source", "mix_tokens", "block").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
     dealt = dealt.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "block", "mix_tokens", "_turns")
-    keyed = docs.withColumn("_n", token_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("mix_tokens"))
+    # the caller's columns travel in one struct, so no name of theirs meets one of ours
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own_d"), F.col("source").alias("_own_s"), token_count(F.col("text")).alias("_own_n"))
+    same = F.col("_own_d").eqNullSafe(F.col("_d")) & F.col("_own_s").eqNullSafe(F.col("_s")) & (F.col("_own_n") == F.col("mix_tokens"))
     out = keyed.join(dealt, same).withColumn("_turn", F.explode("_turns"))
-    return out.select(*docs.columns, F.col("_turn.epoch").alias("epoch"), "block", F.col("_turn.place").alias("place"), "mix_tokens")
+    return out.select("_row.*", F.col("_turn.epoch").alias("epoch"), "block", F.col("_turn.place").alias("place"), "mix_tokens")
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

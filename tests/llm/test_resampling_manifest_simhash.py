@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from helixframe.llm import manifest, near_dup, queries, resampling, simhash
+from helixframe.llm import manifest, mixing, near_dup, queries, resampling, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 LONG = "lorem ipsum dolor sit amet " * 60_000
@@ -294,3 +294,15 @@ def test_pairs_of_words_cross_blocks(monkeypatch):
         found = list(resampling.buckets(text, 1, 2))
         assert sum(n for n, _ in found) == len(words)
         assert Counter(x for _, b in found for x in b.tolist()) == want
+
+
+# --- operator 9: names -------------------------------------------------------------------------
+
+
+def test_mixing_leaves_the_callers_columns_alone(docs):
+    names = ["_n", "_turn", "_s", "_d", "_row", "_turns", "_own_n"]
+    got = mixing.mix_sources(docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names], "7 as block"))
+    assert got.columns == [*docs.columns, *names, "epoch", "block", "place", "mix_tokens"]
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS}
+    assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names)
