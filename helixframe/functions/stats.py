@@ -86,16 +86,21 @@ def bh_adjust(df: DataFrame, p: str, tiebreak: str, out: str = "qval", groups: i
     return df.join(q.select(p, out), p, "left")
 
 
+def shared_folder(spark) -> str:
+    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``, or one of our own on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "helixframe-settled")
+    return folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder ``spark.checkpoint.dir`` (a folder of our own only on one machine)."""
+    """``df`` computed once, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "helixframe-settled")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

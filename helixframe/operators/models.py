@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import ranks, stats
@@ -30,12 +32,32 @@ def training_rows(df: DataFrame, means: list[str], iqrs: list[str]) -> DataFrame
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs in one aggregation; each pair over the rows that have both."""
-    pairs = list(combinations(features, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
-    return one.select(rows.alias("_x")).select("_x.*")
+    """(a, b, r) of all pairs in one pass; each pair over the rows that have both.
+
+    Every task multiplies its batches' matrices, so what is shuffled is the pairs' moment sums
+    of each task, features squared, whatever the rows.  Values are centred first.
+    """
+    centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
+    shift = np.array([c or 0.0 for c in centre])
+    k = len(features)
+    i, j = np.triu_indices(k, 1)
+
+    def moments(batches):
+        sums = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - shift
+            have = ~np.isnan(x)
+            m, x = have.astype(float), np.where(have, x, 0.0)
+            for n, (p, q) in enumerate(((m, m), (x, m), (m, x), (x * x, m), (m, x * x), (x, x))):
+                sums[n] += p.T @ q
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), **{f"s{n}": sums[n][i, j] for n in range(6)}})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(moments, "i int, j int, " + ", ".join(f"s{n} double" for n in range(6)))
+    n, x, y, xx, yy, xy = (F.sum(f"s{t}") for t in range(6))
+    cov = lambda p, q, pq: pq - F.try_divide(p * q, n)
+    r = F.try_divide(cov(x, y, xy), F.nullif(F.sqrt(F.greatest(cov(x, x, xx), F.lit(0.0)) * F.greatest(cov(y, y, yy), F.lit(0.0))), F.lit(0.0)))
+    names = F.array(*map(F.lit, features))
+    return parts.groupBy("i", "j").agg(r.alias("r")).select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), "r")
 
 
 def drop_correlated(df: DataFrame, features: list[str], limit: float = 0.7) -> list[str]:
@@ -106,66 +128,39 @@ def leaf_rows(predicted: DataFrame, row: str) -> DataFrame:
     return predicted.select(F.col(row).alias("row"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id")).withColumn("leaf_id", F.col("leaf_id").cast("int"))
 
 
-NODE = "tree int, id int, feature string, split double, yes int, no int, leaf_value double, gain double, leaf_id int"
-
-
-def node_table(model, features: list[str]) -> list[tuple]:
-    """(tree, id, feature, split, yes, no, leaf_value, gain, leaf_id) of a fitted ensemble.
+def node_table(model, features: list[str]) -> DataFrame:
+    """(tree, id, feature, split, yes, no, leaf_value, gain, leaf_id) of a fitted ensemble, read from its saved form.
 
     Nodes are numbered in preorder, leaves from left to right as in the model's leaf vector;
     ``yes`` is the child of rows at or under the split.
     """
-    out = []
-    for t, tree in enumerate(model.stages[-1].trees):
-        number = leaves = 0
-
-        def walk(node, t=t):
-            nonlocal number, leaves
-            own, number = number, number + 1
-            at = len(out)
-            out.append(None)
-            if node.subtreeDepth() == 0:
-                out[at] = (t, own, None, None, None, None, float(node.prediction()), None, leaves)
-                leaves += 1
-            else:
-                s = node.split()
-                yes = walk(node.leftChild())
-                no = walk(node.rightChild())
-                out[at] = (t, own, features[s.featureIndex()], float(s.threshold()), yes, no, None, float(node.gain()), None)
-            return own
-
-        walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode"))
-    return out
-
-
-def split_breaks(nodes: list[tuple], most: int = 10, least_count: int = 50, trim: float = 0.01, method: str = "width") -> dict[str, list[float]]:
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    path = f"{stats.shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.stages[-1].save(path)
+    node = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    leaf = F.col("leftChild") < 0
+    inner = lambda c: F.when(~leaf, c)
+    left_to_right = Window.partitionBy("tree").orderBy("id")  # a tree's nodes
+    names = F.array(*map(F.lit, features))
+    return node.select(
+        "tree", "id", inner(F.get(names, F.col("split.featureIndex"))).alias("feature"), inner(F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("split"),
+        inner(F.col("leftChild")).alias("yes"), inner(F.col("rightChild")).alias("no"), F.when(leaf, F.col("prediction")).alias("leaf_value"), inner(F.col("gain")).alias("gain"),
+        F.when(leaf, F.count_if(leaf).over(left_to_right).cast("int") - 1).alias("leaf_id"),
+    )
+
+
+def split_breaks(nodes: DataFrame, most: int = 10, least_count: int = 50, trim: float = 0.01, method: str = "width") -> dict[str, list[float]]:
     """Bin edges of each feature's split values, of which there are as many as the model has nodes."""
-    values: dict[str, list[float]] = {}
-    for n in nodes:
-        if n[2] is not None:
-            values.setdefault(n[2], []).append(n[3])
     out = {}
-    for f, v in values.items():
+    values = nodes.where("feature is not null").groupBy("feature").agg(F.collect_list("split").alias("v"))
+    for f, v in sorted(values.collect()):  # the model's nodes
         edges = stats.histogram_breaks(np.array(v), trim, most, least_count, method)
         out[f] = sorted({float(x) for x in edges})
     return out
 
 
-def search(train: DataFrame, features: list[str], label: str, trials: int = 6, folds: int = 5, seed: int = 1) -> list[dict]:
-    """Seeded random search over depth and trees; mean RMSE over folds (column fold), best first."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out = []
-    for _ in range(trials):
-        p = {"trees": int(rng.integers(5, 30)), "depth": int(rng.integers(2, 6))}
-        scores = []
-        for f in range(folds):
-            model = fit_trees(train.where(F.col("fold") != f), features, label, **p)
-            got = prediction_errors(model.transform(train.where(F.col("fold") == f)), label)
-            scores.append(got.agg(F.sqrt(F.avg("sq_error"))).first()[0])
-        out.append(p | {"rmse": float(np.mean([s for s in scores if s is not None]))})
-    return sorted(out, key=lambda r: r["rmse"])
-
-
 # --- small matrices: bounded by the number of samples, solved on the driver --------------------
 
 

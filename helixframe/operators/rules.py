@@ -95,7 +95,7 @@ def leaf_steps(nodes: DataFrame, breaks: dict[str, list[float]], max_depth: int
     level = nodes.where("leaf_id is not null").select("tree", "leaf_id", "id", F.lit(0).alias("_up"))
     out = None
     for _ in range(max_depth):
-        step = level.join(up, ["tree", "id"])
+        step = stats.settled(level.join(up, ["tree", "id"]))  # a row for each leaf, once
         if not step.limit(1).count():
             break
         part = step.select("tree", "leaf_id", "_up", "feature", "direction", "split")
@@ -154,7 +154,7 @@ def tree_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
     level = roots.select("tree", "id", F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
     out = level
     for _ in range(max_depth):
-        level = edges.join(level.withColumnRenamed("id", "parent"), ["tree", "parent"]).select("tree", "id", (F.col("depth") + 1).alias("depth"), F.concat_ws(">", "path", F.col("id").cast("string")).alias("path"))
+        level = stats.settled(edges.join(level.withColumnRenamed("id", "parent"), ["tree", "parent"]).select("tree", "id", (F.col("depth") + 1).alias("depth"), F.concat_ws(">", "path", F.col("id").cast("string")).alias("path")))
         if not level.limit(1).count():
             break
         out = out.union(level)

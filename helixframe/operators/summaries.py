@@ -103,10 +103,36 @@ def screen(df: DataFrame, groups: dict[str, tuple[str, str]], columns: list[str]
     )
 
 
+def classified_leaves(rows: DataFrame, model, y: str, row: str, k: float, band: float) -> DataFrame:
+    """(row, tree, leaf_id, cls) of the rows that are extreme or background by their own ``y``, computed once."""
+    cls = rules.classify(rows, y, rules.thresholds(rows, y, k), band).select(F.col(row).alias("row"), "cls")
+    return stats.settled(models.leaf_rows(model.transform(rows), row).join(cls.where("cls is not null"), "row"))
+
+
+def rule_texts(model, features: list[str], max_depth: int = 4, **binning) -> DataFrame:
+    """(tree, leaf_id, rule_str, rule_len) of a fitted model's leaves, from its saved nodes."""
+    nodes = stats.settled(models.node_table(model, features))
+    return stats.settled(rules.path_rules(rules.leaf_steps(nodes, models.split_breaks(nodes, **binning)), max_depth))
+
+
 def mine_rules(rows: DataFrame, model, features: list[str], y: str, row: str = "row", k: float = 1.0, band: float = 1.0, max_depth: int = 4, min_support: int = 20, **binning) -> DataFrame:
     """Rules of a fitted model: its leaves over ``rows``, their paths as texts, and the harvest over extremes of ``y``."""
-    cls = rules.classify(rows, y, rules.thresholds(rows, y, k), band).select(F.col(row).alias("row"), "cls")
-    leaves = stats.settled(models.leaf_rows(model.transform(rows), row).join(cls.where("cls is not null"), "row"))
-    nodes = models.node_table(model, features)
-    steps = rules.leaf_steps(rows.sparkSession.createDataFrame(nodes, models.NODE), models.split_breaks(nodes, **binning))
-    return rules.harvest(leaves, stats.settled(rules.path_rules(steps, max_depth)), min_support=min_support)
+    leaves = classified_leaves(rows, model, y, row, k, band)
+    return rules.harvest(leaves, rule_texts(model, features, max_depth, **binning), min_support=min_support)
+
+
+def validate_rules(rows: DataFrame, model, features: list[str], y: str, candidates: DataFrame, row: str = "row", k: float = 1.0, band: float = 1.0, max_depth: int = 4, min_support: int = 1, **binning) -> DataFrame:
+    """The candidates' statistics on other ``rows``, whose extremes and background come from their own ``y``.
+
+    ``candidates`` (rule_str) as ``mine_rules`` gives them; a rule without enough rows here has no row.
+    """
+    leaves = classified_leaves(rows, model, y, row, k, band)
+    return rules.validate(leaves, rule_texts(model, features, max_depth, **binning), candidates.select("rule_str").distinct(), min_support=min_support)
+
+
+def mine_and_validate(rows: DataFrame, model, features: list[str], y: str, train: str = "is_train", row: str = "row", min_support: int = 20, **options) -> DataFrame:
+    """Rules mined on the training rows beside their statistics on the others (``test_...``, null where a rule has no row), best first."""
+    found = stats.settled(mine_rules(rows.where(train), model, features, y, row, min_support=min_support, **options))
+    test = validate_rules(rows.where(f"not {train}"), model, features, y, found, row, **options)
+    test = test.select("rule_str", *[F.col(c).alias(f"test_{c}") for c in test.columns if c not in ("rule_str", "rule_len")])
+    return rules.rule_order(found.join(test, "rule_str", "left"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dips, stats
-from helixframe.operators import distances, features, genotype, models
+from helixframe.operators import boosting, distances, features, genotype, models, summaries
 
 from . import tables as T
 from .catalog import query, rounded
@@ -163,3 +163,26 @@ _MAD = lambda x: f"(SELECT 1.4826::DOUBLE * median(abs({x} - (SELECT median({x})
 def pca_selection_joint(spark, d):
     """Two components' axes are always the diagonals, so the SQL needs no eigenvectors."""
     return rounded(models.pca_selection(*_scan_tables(spark, d), 2, "multivariate"))
+
+
+# --- boosted trees ----------------------------------------------------------------------------------
+
+
+@query()
+def gbm_report(spark, d):
+    """Predictions of the model that a short search finds, from the data set of depth features; the tests check search and data set."""
+    rows = features.depth_by_genotype(_class_split(spark, d), _rated(spark, d), ["none", "aggregate"])
+    stats_ = _rated(spark, d).join(T.site_stats(spark, d).select("site", "f"), "site")
+    data, names = boosting.training_set(rows, stats_, drop=("call_rate",))
+    out = boosting.report(data, names, "f", rounds=8, folds=2, initial=3, iterations=2, batch=3)
+    return rounded(out["predictions"])
+
+
+@query()
+def rule_validation(spark, d):
+    """Rules mined on training rows beside their statistics on held-out ones; see the tests for plain counts."""
+    li = T.read(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    names = ["l_quantity", "l_discount", "l_tax"]
+    split = models.split_folds(li, "row")
+    model = models.fit_trees(split.where("is_train"), names, "l_extendedprice", trees=5, depth=3)
+    return rounded(summaries.mine_and_validate(split, model, names, "l_extendedprice", band=0.5, least_count=2))

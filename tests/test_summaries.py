@@ -18,11 +18,40 @@ def fitted(spark):
     return df, models.fit_trees(df, FEATURES, "y", trees=3, depth=5)
 
 
+def plain_nodes(model):
+    """(tree, id, feature, split, yes, no, leaf_value, gain, leaf_id), node by node from the fitted trees."""
+    out = []
+    for t, tree in enumerate(model.stages[-1].trees):
+        number = leaves = 0
+
+        def walk(node, t=t):
+            nonlocal number, leaves
+            own, number = number, number + 1
+            at = len(out)
+            out.append(None)
+            if node.subtreeDepth() == 0:
+                out[at] = (t, own, None, None, None, None, node.prediction(), None, leaves)
+                leaves += 1
+            else:
+                s = node.split()
+                yes, no = walk(node.leftChild()), walk(node.rightChild())
+                out[at] = (t, own, FEATURES[s.featureIndex()], s.threshold(), yes, no, None, node.gain(), None)
+            return own
+
+        walk(tree._call_java("rootNode"))
+    return out
+
+
+def test_nodes_of_the_saved_model_equal_its_trees(spark, fitted):
+    _, model = fitted
+    got = [tuple(r) for r in models.node_table(model, FEATURES).orderBy("tree", "id").collect()]
+    assert got == plain_nodes(model)
+
+
 def test_rows_meet_every_step_of_their_leaf(spark, fitted):
     df, model = fitted
-    nodes = models.node_table(model, FEATURES)
     splits = {}  # exact bins: the split itself
-    steps = rules.leaf_steps(spark.createDataFrame(nodes, models.NODE), splits).collect()
+    steps = rules.leaf_steps(models.node_table(model, FEATURES), splits).collect()
     by_leaf = {}
     for s in steps:
         by_leaf.setdefault((s.tree, s.leaf_id), []).append(s)
@@ -36,15 +65,13 @@ def test_rows_meet_every_step_of_their_leaf(spark, fitted):
             assert v <= s.thresh_bin if s.direction == "<=" else v > s.thresh_bin
 
 
-def test_mined_rules_equal_plain_counts(spark, fitted):
-    df, model = fitted
-    got = summaries.mine_rules(df, model, FEATURES, "y", band=0.8, min_support=5, least_count=1).collect()
-    y = {r.row: r.y for r in df.collect()}
+def plain_rules(model, rows, y, band, support, only=None):
+    """{rule text: (extremes, support)} of ``rows`` (row -> leaves by tree), with cuts from ``y`` of these rows."""
     v = np.array(list(y.values()))
     cut, centre, spread = v.mean() + v.std(ddof=1), v.mean(), v.std(ddof=1)
-    cls = {k: True if x >= cut else False if abs(x - centre) < 0.8 * spread else None for k, x in y.items()}
-    nodes = models.node_table(model, FEATURES)
-    breaks = models.split_breaks(nodes, least_count=1)
+    cls = {k: True if x >= cut else False if abs(x - centre) < band * spread else None for k, x in y.items()}
+    nodes = plain_nodes(model)
+    breaks = models.split_breaks(models.node_table(model, FEATURES), least_count=1)
     up = {(n[0], c): (n, d) for n in nodes if n[2] for c, d in ((n[4], "<="), (n[5], ">"))}
     text = {}
     for n in nodes:
@@ -64,15 +91,35 @@ def test_mined_rules_equal_plain_counts(spark, fitted):
             if not before or (b > max(before) + 1e-12 if d == ">" else b < min(before) - 1e-12):
                 tight.append(f"{f} {d} {b:.2e}")
         text[n[0], n[8]] = " | ".join(tight)
-    rows = {}
-    for r in models.leaf_rows(model.transform(df), "row").collect():
+    found = {}
+    for r in rows:
         if cls[r.row] is not None and (r.tree, r.leaf_id) in text:
-            rows.setdefault(text[r.tree, r.leaf_id], set()).add(r.row)
-    want = {t: (sum(cls[k] for k in s), len(s)) for t, s in rows.items() if len(s) >= 5}
+            found.setdefault(text[r.tree, r.leaf_id], set()).add(r.row)
+    return {t: (sum(cls[k] for k in s), len(s)) for t, s in found.items() if len(s) >= support and (only is None or t in only)}
+
+
+def test_mined_rules_equal_plain_counts(spark, fitted):
+    df, model = fitted
+    got = summaries.mine_rules(df, model, FEATURES, "y", band=0.8, min_support=5, least_count=1).collect()
+    want = plain_rules(model, models.leaf_rows(model.transform(df), "row").collect(), {r.row: r.y for r in df.collect()}, 0.8, 5)
     assert {r.rule_str: (r.n_extreme, r.support) for r in got} == want
     assert all(0 <= r.pval <= r.qval + 1e-12 <= 1 + 1e-9 for r in got)
 
 
+def test_rules_hold_on_held_out_rows_as_plain_counts_say(spark, fitted):
+    df, model = fitted
+    split = df.withColumn("is_train", F.col("row") % 3 > 0)
+    got = summaries.mine_and_validate(split, model, FEATURES, "y", min_support=8, band=0.8, least_count=1).collect()
+    leaves = models.leaf_rows(model.transform(df), "row").collect()
+    y = {r.row: r.y for r in df.collect()}
+    train, test = ({k: v for k, v in y.items() if (k % 3 > 0) == part} for part in (True, False))
+    mined = plain_rules(model, [r for r in leaves if r.row in train], train, 0.8, 8)
+    held = plain_rules(model, [r for r in leaves if r.row in test], test, 0.8, 1, set(mined))
+    assert {r.rule_str: (r.n_extreme, r.support) for r in got} == mined and mined
+    assert {r.rule_str: (r.test_n_extreme, r.test_support) for r in got if r.test_support} == held and held
+    assert [r.qval for r in got] == sorted(r.qval for r in got)
+
+
 def test_missing_features_have_predictions(spark, fitted):
     df, model = fitted
     odd = spark.createDataFrame([(1, None, 0.5, 1.0), (2, float("nan"), None, 1.0)], df.schema)
