@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.sources.alignments import with_reference
+
 
 def alignment_cost(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column) -> Column:
     """Quality of the mismatches less their expectation, plus a fifth of the clipped quality."""
@@ -45,40 +46,77 @@ def mapq_cap(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column,
 WALK = "matched int, mismatches int, sub_q double, clip_q double"
 
 
-def walk(seq: str, quals: list[int], cigar: list[tuple[int, int]], ref: str) -> tuple[int, int, float, float]:
-    """Counts along an alignment whose reference part is ``ref``.
+def walk_batch(seqs: list[bytes], quals: list[np.ndarray], ops: list[np.ndarray], lens: list[np.ndarray], refs: list[bytes], fold_case: bool = False) -> np.ndarray:
+    """(matched, mismatches, sub_q, clip_q) of each read, all operations and bases of a batch at once.
 
-    Operations 0, 7 and 8 compare bases; qualities from 13 count, capped at 33; 4 adds its
-    qualities and 5 adds 13 a base to the clip quality; 1 moves along the read, 2 and 3 along
-    the reference.  A base N never mismatches.
+    Aligned bases of quality 13 and more where neither side is N count as matched; those that
+    differ are mismatches, whose qualities count up to 33.  Soft clips add their qualities to the
+    clip quality, hard clips 13 a base.  Runs of stated equality or difference move along both
+    sides uncounted, skips along the reference.  Case tells unless ``fold_case``; bases beyond
+    the end of either side, and reads without qualities, don't count.
     """
-    i = j = matched = wrong = 0
-    sub = clip = 0.0
-    for op, n in cigar:
-        if op in (0, 7, 8):
-            for a, b, q in zip(seq[i : i + n], ref[j : j + n], quals[i : i + n], strict=False):
-                if q >= 13:
-                    matched += 1
-                    if a.upper() != b.upper() and "N" not in (a.upper(), b.upper()):
-                        wrong += 1
-                        sub += min(q, 33)
-            i, j = i + n, j + n
-        elif op == 4:
-            clip += sum(quals[i : i + n])
-            i += n
-        elif op == 5:
-            clip += 13 * n
-        elif op == 1:
-            i += n
-        elif op in (2, 3):
-            j += n
-    return matched, wrong, sub, clip
-
-
-def walk_column(seq: Column, quals: Column, ops: Column, lens: Column, ref: Column) -> Column:
+    n = len(seqs)
+    read = np.repeat(np.arange(n), [len(o) for o in ops])
+    op = np.concatenate([np.zeros(0, np.int64), *ops]).astype(np.int64)
+    size = np.concatenate([np.zeros(0, np.int64), *lens]).astype(np.int64)
+
+    def begins(kinds: tuple[int, ...]) -> np.ndarray:
+        """Place on one side before each operation, from 0 in each read."""
+        step = np.where(np.isin(op, kinds), size, 0)
+        total = np.cumsum(step) - step
+        first = np.searchsorted(read, read)  # each read's first operation
+        return total - total[first] if len(total) else total
+
+    q_at, r_at = begins((0, 1, 4, 7, 8)), begins((0, 2, 3, 7, 8))
+
+    def bases(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Read, place in the read and in the reference of every base of one kind of operation."""
+        of = np.flatnonzero(op == kind)
+        within = np.arange(size[of].sum()) - np.repeat(np.cumsum(size[of]) - size[of], size[of])
+        of = np.repeat(of, size[of])
+        return read[of], q_at[of] + within, r_at[of] + within
+
+    start = lambda parts: np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    s_at, u_at, f_at = start(seqs), start(quals), start(refs)
+    seq, ref = (np.frombuffer(b"".join(x).upper() if fold_case else b"".join(x), np.uint8) for x in (seqs, refs))
+    qual = np.concatenate([np.zeros(0, np.int64), *quals]).astype(np.int64)
+    length = lambda at, of: at[of + 1] - at[of]
+
+    of, i, j = bases(0)
+    ok = (i < np.minimum(length(s_at, of), length(u_at, of))) & (j < length(f_at, of))
+    of, i, j = of[ok], i[ok], j[ok]
+    q, a, b = qual[u_at[of] + i], seq[s_at[of] + i], ref[f_at[of] + j]
+    ok = (q >= 13) & (a != ord("N")) & (b != ord("N"))
+    of, q, wrong = of[ok], q[ok], (a != b)[ok]
+    sum_of = lambda of, w=None: np.bincount(of, weights=w, minlength=n)
+    clipped, i, _ = bases(4)
+    ok = i < length(u_at, clipped)
+    clip = sum_of(clipped[ok], qual[u_at[clipped[ok]] + i[ok]]) + sum_of(read[op == 5], 13.0 * size[op == 5])
+    return np.stack([sum_of(of), sum_of(of[wrong]), sum_of(of[wrong], np.minimum(q[wrong], 33)), clip], axis=1)
+
+
+def walk_column(seq: Column, quals: Column, ops: Column, lens: Column, ref: Column, fold_case: bool = False) -> Column:
+    """``WALK`` of each read; qualities as binary or as an array of numbers, null values as empty ones."""
+
     def run(s: pd.Series, q: pd.Series, o: pd.Series, n: pd.Series, r: pd.Series) -> pd.DataFrame:
-        got = [walk(a or "", list(b), list(zip(c, d, strict=True)), e or "") for a, b, c, d, e in zip(s, q, o, n, r, strict=True)]
-        return pd.DataFrame(got, columns=["matched", "mismatches", "sub_q", "clip_q"])
+        text = lambda x: [(v or "").encode() for v in x]
+        numbers = lambda x: [np.zeros(0, np.int64) if v is None else np.frombuffer(v, np.uint8) if isinstance(v, (bytes, bytearray)) else np.asarray(v, np.int64) for v in x]
+        got = walk_batch(text(s), numbers(q), numbers(o), numbers(n), text(r), fold_case)
+        out = pd.DataFrame(got, columns=["matched", "mismatches", "sub_q", "clip_q"])
+        return out.astype({"matched": int, "mismatches": int})
 
     run.__annotations__ = dict.fromkeys("sqonr", pd.Series) | {"return": pd.DataFrame}
     return F.pandas_udf(run, WALK)(seq, quals, ops, lens, ref)
+
+
+def recap_alignments(reads: DataFrame, pieces: DataFrame, caps: tuple[int, ...] = CAPS, piece_size: int = 1 << 16, fold_case: bool = False) -> DataFrame:
+    """(name, orig_mq, new_mq, as1, sub_q, clip_q, rl, c, t): a row for each mapped alignment and cap.
+
+    ``reads`` as ``alignments`` gives them, ``pieces`` of ``piece_size`` as ``reference_pieces`` does.
+    """
+    mapped = with_reference(reads.where((F.col("flag").bitwiseAND(4) == 0)), pieces, piece_size)
+    walked = mapped.withColumn("w", walk_column(F.col("seq"), F.col("quals"), F.col("ops"), F.col("lens"), F.col("ref_part"), fold_case))
+    rows = walked.select("name", F.col("mapq").alias("orig_mq"), "w.*", F.col("score").alias("as1"), F.length("seq").alias("rl"))
+    kept = rows.select(F.struct("as1", "rl").alias("name_"), "*")
+    out = recap(kept.select(F.struct("name", "name_").alias("name"), "orig_mq", "sub_q", "mismatches", "matched", "clip_q"), caps)
+    return out.select("name.name", "orig_mq", "new_mq", "name.name_.as1", "sub_q", "clip_q", "name.name_.rl", "c", "t")

@@ -38,8 +38,8 @@ def test_random_intercept():
 
 
 def test_alignment_walk():
-    got = reads.walk("ACGTN", [40, 12, 30, 13, 40], [(4, 1), (0, 4), (5, 2)], "CTAA")
-    assert got == (3, 2, 30 + 13, 40 + 26)
+    got = reads.walk_batch([b"ACGTN"], [np.array([40, 12, 30, 13, 40])], [np.array([4, 0, 5])], [np.array([1, 4, 2])], [b"CTAA"])
+    assert got.tolist() == [[2, 2, 30 + 13, 40 + 26]]
 
 
 def test_islands_cover_exactly(spark):
