@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dips, stats
-from helixframe.operators import boosting, distances, features, genotype, models, summaries
+from helixframe.operators import boosting, distances, features, genotype, intervals, models, populations, summaries
 
 from . import tables as T
 from .catalog import query, rounded
@@ -81,7 +81,8 @@ def dip(spark, d):
 
 _F = "(1 / 298.257223563::DOUBLE)"
 _B = f"((1 - {_F}) * 6378137.0::DOUBLE)"
-_GEO = f""", pl AS (SELECT sample, library, CAST(sample % 60 AS DOUBLE) AS lat, CAST(sample * 7 % 170 AS DOUBLE) AS lon, CAST(sample * 37 % 101 AS DOUBLE) / 100 AS pc1, CAST(s_acctbal AS DOUBLE) / 10000 AS pc2 FROM meta JOIN supplier ON s_suppkey = sample),
+_PLACES = """, pl AS (SELECT sample, library, CAST(sample % 60 AS DOUBLE) AS lat, CAST(sample * 7 % 170 AS DOUBLE) AS lon, CAST(sample * 37 % 101 AS DOUBLE) / 100 AS pc1, CAST(s_acctbal AS DOUBLE) / 10000 AS pc2 FROM meta JOIN supplier ON s_suppkey = sample)"""
+_PAIRS = f""",
 pr AS (SELECT a.sample AS sample_1, b.sample AS sample_2, CAST(a.library <> b.library AS INT) AS diff_library, abs(a.pc1 - b.pc1) AS y1, abs(a.pc2 - b.pc2) AS y2,
  atan((1 - {_F}) * tan(radians(a.lat))) AS u1, atan((1 - {_F}) * tan(radians(b.lat))) AS u2, radians(b.lon - a.lon) AS l FROM pl a JOIN pl b ON a.sample < b.sample),
 it AS (SELECT *, l AS lam, 0 AS k FROM pr UNION ALL
@@ -93,6 +94,7 @@ g1 AS (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0
 g2 AS (SELECT *, CASE WHEN 1 - sa * sa > 0 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS cm, (1 - sa * sa) * (pow(6378137.0::DOUBLE, 2) - pow({_B}, 2)) / pow({_B}, 2) AS u FROM g1),
 g3 AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS ba, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb FROM g2),
 geo AS (SELECT sample_1, sample_2, diff_library, y1, y2, {_B} * ba * (sig - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000 AS km FROM g3)"""
+_GEO = _PLACES + _PAIRS
 
 
 def _places(spark, d):
@@ -186,3 +188,47 @@ def rule_validation(spark, d):
     split = models.split_folds(li, "row")
     model = models.fit_trees(split.where("is_train"), names, "l_extendedprice", trees=5, depth=3)
     return rounded(summaries.mine_and_validate(split, model, names, "l_extendedprice", band=0.5, least_count=2))
+
+
+# --- reference building and selection of populations ---------------------------------------------
+
+_REF = """, ln AS (SELECT chrom AS name, CAST(sum(e - s) AS BIGINT) AS length FROM intervals WHERE chrom NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0) AND CAST(chrom AS VARCHAR) NOT LIKE '%77%' GROUP BY 1),
+ rk AS (SELECT *, sum(length) OVER w - length AS before, row_number() OVER w AS k FROM ln WINDOW w AS (ORDER BY length DESC, name ROWS UNBOUNDED PRECEDING)),
+ kp AS (SELECT name, length, CAST(ntile(10) OVER (ORDER BY k) AS INT) AS chunk FROM rk WHERE before <= 500)
+ SELECT chunk, name AS scaffold, s AS start, e AS "end", s + 1 AS first_site FROM intervals JOIN kp ON chrom = name"""
+
+
+@query(_REF)
+def reference_targets(spark, d):
+    """The ninth of all customers are contaminants, names with 77 an organelle."""
+    bad = T.references(spark, d).where("chrom % 9 = 0")
+    return intervals.reference_targets(T.intervals(spark, d), bad, 500, 10, "77")[1]
+
+
+@query("""SELECT scaffold, min(pos) - 1 AS start, max(pos) AS "end", min(pos) AS first_site FROM (SELECT *, pos - row_number() OVER (PARTITION BY scaffold ORDER BY pos) AS g FROM positions) GROUP BY scaffold, g""")
+def experiment_reference(spark, d):
+    return intervals.experiment_reference(T.positions(spark, d))[0]
+
+
+_SELECT = """, dp AS (SELECT l_suppkey AS sample, CAST(sum(l_quantity) AS BIGINT) AS n_reads, count(DISTINCT l_partkey) AS n_scaffolds FROM lineitem GROUP BY 1),
+ mt AS (SELECT sample, pop_code, library AS domain, 'lib' || sample % 3 AS library, CAST(length(pop_code) * 7 % 40 + ascii(pop_code) % 20 AS DOUBLE) AS latitude, CAST(ascii(substr(pop_code, 2, 1)) * 5 % 90 AS DOUBLE) AS longitude FROM meta),
+ sm AS (SELECT * FROM dp LEFT JOIN mt USING (sample) WHERE ln(n_reads) > (SELECT quantile_cont(ln(n_reads), 0.1) FROM dp) AND ln(n_scaffolds) > (SELECT quantile_cont(ln(n_scaffolds), 0.1) FROM dp)),
+ cn AS (SELECT domain, pop_code, library, count(*) AS n FROM sm GROUP BY 1, 2, 3), mk AS (SELECT *, sum(n) OVER (PARTITION BY domain, pop_code) AS total, row_number() OVER (PARTITION BY domain, pop_code ORDER BY n DESC, library) AS k FROM cn),
+ lk AS (SELECT pop_code, domain, library AS majority_library, n / total AS max_library_prop, CAST(total AS BIGINT) AS total_samples FROM mk WHERE k = 1 AND total >= 2), mx AS (SELECT * FROM lk WHERE max_library_prop < 0.6::DOUBLE),
+ pl AS (SELECT pop_code AS sample, '' AS library, avg(latitude) AS lat, avg(longitude) AS lon, 0.0 AS pc1, 0.0 AS pc2 FROM mt WHERE pop_code IN (SELECT pop_code FROM lk) GROUP BY 1)"""
+_STATUS = """, cp AS (SELECT sample_1, sample_2, km FROM geo JOIN lk a ON a.pop_code = sample_1 JOIN lk b ON b.pop_code = sample_2 WHERE a.majority_library <> b.majority_library AND km <= CASE WHEN 'ASIA' IN (a.domain, b.domain) THEN 2500 ELSE 1500 END),
+ bo AS (SELECT sample_1 AS pop_code, sample_2 AS paired_pop, km FROM cp UNION ALL SELECT sample_2, sample_1, km FROM cp), ev AS (SELECT pop_code FROM mx UNION SELECT pop_code FROM bo)
+ SELECT ev.pop_code, mx.domain, lk.majority_library, round(mx.max_library_prop, 6) AS max_library_prop, coalesce(mx.total_samples, lk.total_samples) AS total_samples, mx.pop_code IS NOT NULL AS is_mixed, bo.pop_code IS NOT NULL AS is_paired, paired_pop, round(km, 3) AS distance_km
+ FROM ev LEFT JOIN mx ON mx.pop_code = ev.pop_code LEFT JOIN lk ON lk.pop_code = ev.pop_code LEFT JOIN bo ON bo.pop_code = ev.pop_code"""
+
+
+@query(_SELECT + _PAIRS + _STATUS)
+def population_selection(spark, d):
+    """Coordinates from the populations' names; partners come from the grid join."""
+    depths = T.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.sum("l_quantity").cast("long").alias("n_reads"), F.count_distinct("l_partkey").alias("n_scaffolds"))
+    m, name = T.meta(spark, d), F.col("pop_code")
+    lat = (F.length(name) * 7 % 40 + F.ascii(name) % 20).cast("double")
+    lon = (F.ascii(F.substring(name, 2, 1)) * 5 % 90).cast("double")
+    meta = m.select("sample", "pop_code", F.col("library").alias("domain"), F.concat(F.lit("lib"), (F.col("sample") % 3).cast("string")).alias("library"), lat.alias("latitude"), lon.alias("longitude"))
+    out = populations.select_populations(depths, meta, least=2, most_share=0.6, wide_domain="ASIA", wide_km=2500, km=1500, read_quantile=0.1, scaffold_quantile=0.1)
+    return out.withColumns({"max_library_prop": F.round("max_library_prop", 6), "distance_km": F.round("distance_km", 3)})
