@@ -164,31 +164,6 @@ def split_breaks(nodes: DataFrame, most: int = 10, least_count: int = 50, trim:
 # --- small matrices: bounded by the number of samples, solved on the driver --------------------
 
 
-def covariance(cells: DataFrame, row: str = "site", col: str = "sample", value: str = "z") -> DataFrame:
-    """(i, j, v): covariance of samples over the sites both have, i <= j."""
-    a = cells.select(F.col(row).alias("_r"), F.col(col).alias("i"), F.col(value).alias("_x"))
-    b = cells.select(F.col(row).alias("_r"), F.col(col).alias("j"), F.col(value).alias("_y"))
-    return a.join(b, "_r").where("i <= j").groupBy("i", "j").agg(F.covar_samp("_x", "_y").alias("v"))
-
-
-def to_matrix(cov: DataFrame) -> tuple[list, np.ndarray]:
-    rows = cov.collect()  # samples squared
-    names = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    at = {k: n for n, k in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in rows:
-        m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["v"] or 0.0
-    return names, m
-
-
-def principal_components(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest ``k`` eigenvalues and vectors, each with its largest-magnitude entry positive."""
-    w, v = np.linalg.eigh(m)
-    w, v = w[::-1][:k], v[:, ::-1][:, :k]
-    sign = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    return w, v * np.where(sign == 0, 1, sign)
-
-
 def adjusted_r2(y: np.ndarray, *factors: list) -> float:
     """Adjusted R squared of the columns of y on dummy-coded factors."""
     n = len(y)

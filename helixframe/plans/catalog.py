@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import keys, stats
-from helixframe.operators import genotype, intervals, models, reads, rules, shape, site, summaries, sweep
+from helixframe.operators import genotype, gram, intervals, models, reads, rules, shape, site, summaries, sweep
 
 from . import tables as T
 
@@ -910,9 +910,8 @@ def chi2_scan(spark, d):
 @query()
 def pca_pcs(spark, d):
     z = genotype.standardise(T.counts(spark, d)).select("site", "sample", F.col("z_site").alias("z")).dropna()
-    names, m = models.to_matrix(models.covariance(z))
-    _, v = models.principal_components(m, 2)
-    return spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in zip(names, v, strict=True)], "sample long, pc1 double, pc2 double")
+    order = gram.numbered(z)
+    return gram.principal_components(gram.sample_moments(z, order), order).select("sample", "pc1", "pc2")
 
 
 @query()

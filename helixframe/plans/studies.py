@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dips, stats
-from helixframe.operators import boosting, distances, features, genotype, intervals, models, populations, summaries
+from helixframe.operators import boosting, distances, features, genotype, gram, intervals, models, populations, site, summaries
 
 from . import tables as T
 from .catalog import query, rounded
@@ -232,3 +232,27 @@ def population_selection(spark, d):
     meta = m.select("sample", "pop_code", F.col("library").alias("domain"), F.concat(F.lit("lib"), (F.col("sample") % 3).cast("string")).alias("library"), lat.alias("latitude"), lon.alias("longitude"))
     out = populations.select_populations(depths, meta, least=2, most_share=0.6, wide_domain="ASIA", wide_km=2500, km=1500, read_quantile=0.1, scaffold_quantile=0.1)
     return out.withColumns({"max_library_prop": F.round("max_library_prop", 6), "distance_km": F.round("distance_km", 3)})
+
+
+# --- covariances of samples -------------------------------------------------------------------------
+
+_SETS = """, pl2 AS (SELECT site, library, count(*) AS p FROM counts JOIN meta USING (sample) WHERE depth > 0 GROUP BY 1, 2), lb AS (SELECT library, count(*) AS k FROM meta GROUP BY 1 HAVING count(*) >= 0.1 * (SELECT count(*) FROM meta)),
+ rt AS (SELECT site, min(p / k) AS r FROM pl2 JOIN lb USING (library) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM lb)), th AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS threshold)"""
+
+
+@query(f"""{_SETS}, c AS (SELECT site, sample, CAST(depth AS DOUBLE) AS z FROM counts), s AS (SELECT threshold, site FROM rt, th WHERE r >= threshold)
+ SELECT threshold, a.sample AS i, b.sample AS j, round(covar_samp(a.z, b.z), 5) + 0 AS v FROM s JOIN c a ON a.site = s.site JOIN c b ON b.site = s.site AND a.sample <= b.sample GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def batch_covariances(spark, d):
+    """Covariances of samples over the callable sites of each threshold, all thresholds in one pass."""
+    cells = T.counts(spark, d).select("site", "sample", F.col("depth").cast("double").alias("z"))
+    sets = site.callable_sites(T.counts(spark, d), T.meta(spark, d), [0.1, 0.2]).select("site", F.col("threshold").cast("string").alias("kind"))
+    order = gram.numbered(cells)
+    v = gram.covariances(gram.sample_moments(cells, order, sets), order)
+    return rounded(v.select(F.col("kind").cast("double").alias("threshold"), "i", "j", "v"), 5)
+
+
+@query()
+def batch_effects(spark, d):
+    """Principal components of the same; the tests compare with numpy."""
+    z = genotype.standardise(T.counts(spark, d)).select("site", "sample", F.col("z_site").alias("z"))
+    return rounded(gram.batch_effects(T.counts(spark, d), z, T.meta(spark, d), [0.1, 0.2]), 4)
