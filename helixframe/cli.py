@@ -1,35 +1,32 @@
-"""Command line: reheader, subset and split-genotype over text matrices."""
+"""Command line over text matrices: reheader, subset, split-genotype."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from helixframe.operators import genotype, site
-from helixframe.sources import readers, sinks
+from helixframe.sources import matrices
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="helixframe")
     sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("reheader", help="name a depth matrix's columns and sites")
-    a.add_argument("counts")
-    a.add_argument("positions")
-    a.add_argument("names")
+    a = sub.add_parser("reheader", help="name a matrix's samples, and its sites where positions are given")
+    a.add_argument("data", help="counts (with --pos) or likelihoods")
+    a.add_argument("names", help="a sample name a line")
     a.add_argument("out")
-    a.add_argument("--permissive", action="store_true")
-    a = sub.add_parser("subset", help="keep listed sites and samples of a long table")
-    a.add_argument("table")
+    a.add_argument("--pos", help="positions, a line for each of the counts")
+    a = sub.add_parser("subset", help="keep listed sites and samples of a named matrix")
+    a.add_argument("data")
     a.add_argument("out")
-    a.add_argument("--sites")
-    a.add_argument("--samples")
-    a = sub.add_parser("split-genotype", help="split depths by called genotype")
+    a.add_argument("--snps", help="a site a line")
+    a.add_argument("--samples", help="a sample name a line")
+    a = sub.add_parser("split-genotype", help="split counts by called genotype")
     a.add_argument("likelihoods")
     a.add_argument("counts")
-    a.add_argument("out")
-    a.add_argument("--site-stats")
+    a.add_argument("prefix")
+    a.add_argument("--site-stats", help="table with snpcode and MAF")
     a.add_argument("--maf-threshold", type=float, default=0.05)
     return p
 
@@ -37,23 +34,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
-    if args.command == "reheader":
-        cells = readers.depth_matrix(spark, args.counts)
-        order = {c: i for i, c in enumerate(c for c in spark.read.csv(args.counts, sep="\t", header=True).columns if not c.startswith("_c"))}
-        at = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-        cells = cells.join(readers.positions(spark, args.positions).select("ord", F.col("snpcode").alias("site")), "ord").drop("ord")
-        named = site.reheader(cells.withColumn("ord", at[F.col("sample")].cast("long")).drop("sample"), readers.names(spark, args.names), args.permissive)
-        named.withColumnRenamed("name", "sample").write.parquet(args.out)
+    if args.command == "reheader" and args.pos:
+        matrices.reheader_counts(spark, args.data, args.pos, args.names, args.out)
+    elif args.command == "reheader":
+        matrices.reheader_likelihoods(spark, args.data, args.names, args.out)
     elif args.command == "subset":
-        keep = lambda p, c: readers.names(spark, p, as_set=True).withColumnRenamed("name", c) if p else None
-        site.subset(spark.read.parquet(args.table), keep(args.sites, "site"), keep(args.samples, "sample")).write.parquet(args.out)
+        matrices.subset(spark, args.data, args.out, args.snps, args.samples)
     else:
-        split = genotype.split_by_genotype(spark.read.parquet(args.counts), spark.read.parquet(args.likelihoods))
-        if not args.site_stats:
-            split.write.partitionBy("genotype").parquet(f"{args.out}/all")
-            return
-        stats = spark.read.parquet(args.site_stats).select("site", "maf")
-        sinks.with_common(split.join(stats, "site", "left"), args.out, args.maf_threshold)
+        matrices.split_genotype(spark, args.likelihoods, args.counts, args.prefix, args.site_stats, args.maf_threshold)
 
 
 if __name__ == "__main__":

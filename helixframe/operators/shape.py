@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import ranks
+
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Join on all columns that both sides have; none in common is an error."""
@@ -105,12 +107,12 @@ def unlist(df: DataFrame, column: str) -> DataFrame:
 
 
 def checked_measure(df: DataFrame, column: str) -> DataFrame:
-    """``df``, or an error at once where the column's mean isn't finite or it doesn't vary.
-
-    One aggregation; both the standard and the mean absolute deviation must be over 0.
-    """
+    """``df``, or an error at once where the column has no finite mean, or its standard or median absolute deviation is 0."""
     x = F.col(column).cast("double")
     m = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count_if(F.isnan(x) | (F.abs(x) == float("inf"))).alias("bad")).first()
     if m["m"] is None or m["bad"] or not m["s"]:
         raise ValueError(f"{column} has no finite mean or doesn't vary")
+    median = ranks.exact_medians(df, [x])[0]
+    if not ranks.exact_medians(df, [F.abs(x - median)])[0]:
+        raise ValueError(f"half of {column} or more is one value")
     return df

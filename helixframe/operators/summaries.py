@@ -104,8 +104,11 @@ def screen(df: DataFrame, groups: dict[str, tuple[str, str]], columns: list[str]
 
 
 def classified_leaves(rows: DataFrame, model, y: str, row: str, k: float, band: float) -> DataFrame:
-    """(row, tree, leaf_id, cls) of the rows that are extreme or background by their own ``y``, computed once."""
-    cls = rules.classify(rows, y, rules.thresholds(rows, y, k), band).select(F.col(row).alias("row"), "cls")
+    """(row, tree, leaf_id, cls) of the rows that are extreme or background by their own ``y``, computed once; an error where either set is empty."""
+    cls = stats.settled(rules.classify(rows, y, rules.thresholds(rows, y, k), band).select(F.col(row).alias("row"), "cls"))
+    found = {r["cls"] for r in cls.select("cls").distinct().collect()} - {None}
+    if len(found) < 2:
+        raise ValueError(f"{y} has no {' and no '.join(sorted({'extreme', 'background'} - found))} rows")
     return stats.settled(models.leaf_rows(model.transform(rows), row).join(cls.where("cls is not null"), "row"))
 
 

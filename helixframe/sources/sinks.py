@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import stats
+
 
 def tsv_gz(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, sep="\t", header=True, compression="gzip", nullValue="NA")
@@ -20,8 +24,44 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def by_threshold(sites: DataFrame, path: str, threshold: str = "threshold") -> None:
-    """A folder for each threshold, named by its digits after the point (0.4: ct=4)."""
-    sites.withColumn("ct", F.regexp_replace(F.col(threshold).cast("string"), r"^0\.", "")).drop(threshold).write.partitionBy("ct").csv(path, sep="\t")
+    """A folder for each threshold, named by its tenths (0.4: ct=4, 0.35: ct=3.5, 1: ct=10)."""
+    tenths = F.round(F.col(threshold).cast("double") * 10, 6)
+    name = F.when(tenths == F.floor(tenths), F.floor(tenths).cast("string")).otherwise(tenths.cast("string"))
+    sites.withColumn("ct", name).drop(threshold).write.partitionBy("ct").csv(path, sep="\t")
+
+
+def model_results(results: DataFrame, folder: str, base: str = "results") -> list[str]:
+    """Three tables of models: formulas, variance components and marginal means; the paths written.
+
+    ``results`` (statistic, formula, var_components, marginal_means: arrays of structs or null)
+    is computed once.  The tables are written aside and appear under their names together, all
+    or none of them where one can't be written.
+    """
+    spark = results.sparkSession
+    once = stats.settled(results)
+    inner = lambda c: once.where(F.col(c).isNotNull()).select(F.explode(c).alias("_"), "statistic", "formula").select("_.*", "statistic", "formula")
+    tables = {"all_formulas": once.select("statistic", "formula"), "var_components": inner("var_components"), "marginal_means": inner("marginal_means")}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside = f"{folder}/.{base}-{uuid.uuid4().hex}"
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    taken = [n for n in tables if fs.exists(path(f"{folder}/{base}_{n}.csv"))]
+    if taken:
+        raise FileExistsError(f"{folder} has {', '.join(taken)} of {base}")
+    moved = []
+    try:
+        for name, df in tables.items():
+            df.write.csv(f"{aside}/{name}", header=True, nullValue="NA")
+        for name in tables:
+            if not fs.rename(path(f"{aside}/{name}"), path(f"{folder}/{base}_{name}.csv")):
+                raise OSError(f"{name} of {base} can't be put into {folder}")
+            moved.append(f"{folder}/{base}_{name}.csv")
+    except Exception:
+        for p in moved:
+            fs.delete(path(p), True)
+        raise
+    finally:
+        fs.delete(path(aside), True)
+    return moved
 
 
 def with_common(df: DataFrame, path: str, least: float = 0.05, maf: str = "maf") -> None:
