@@ -1,7 +1,9 @@
 """Document fingerprints (operator 8): a Merkle tree over pieces, paragraphs and sections.
 
-Paragraphs are lines, cut into pieces at sentence ends; sections are runs of paragraphs that
-end where a paragraph's own hash says so, so an edit moves no distant boundary.  The printed
+Paragraphs are lines, cut into pieces at sentence ends, and long sentences where a rolling hash
+of the last few characters says so; sections are runs of paragraphs that end where a paragraph's own hash
+says so.  Boundaries follow from what is near them, so an edit moves no distant one, but in
+stretches without any (one character over and over), which are cut by length.  The printed
 tree lets two fingerprints be compared branch by branch.
 """
 
@@ -18,8 +20,56 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PIECE = 80
-_PIECES = re.compile(r"[^\n]{1,%d}?[.!?;|](?=\s)|[^\n]{1,%d}" % (PIECE - 1, PIECE))
+#: Pieces of over ``LONG`` characters are cut where a rolling hash of ``WINDOW`` characters says so, at one place in ``PIECE``, and what is over ``LONGEST`` by length.
+LONG, PIECE, WINDOW, LONGEST = 128, 64, 8, 512
+_SENTENCES = re.compile(r"[^\n]*?[.!?;|](?=\s)|[^\n]+")
+#: Characters that are looked at together.
+BLOCK = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def rolling_ends(text: str) -> list[int]:
+    """Places after which ``text`` is cut: each follows from the ``WINDOW`` characters before it alone."""
+    out = []
+    for a in range(0, len(text), BLOCK):
+        back = min(a, WINDOW - 1)
+        c = np.frombuffer(text[a - back : a + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(c) - (WINDOW - 1)
+        if n <= 0:
+            continue
+        roll = np.zeros(n, np.uint64)
+        for k in range(WINDOW):
+            roll = (roll ^ c[k : k + n]) * _MIX
+        out += (np.flatnonzero((roll >> np.uint64(32)) % np.uint64(PIECE) == 0) + a - back + WINDOW).tolist()
+    return out
+
+
+def line_pieces(lines: list[str]) -> list[list[str]]:
+    """Pieces of each line, which make the line and follow from it alone."""
+    out = [_SENTENCES.findall(line) for line in lines]
+    long = [s for line in out for s in line if len(s) > LONG]
+    if not long:
+        return out
+    # all long sentences together; a cut whose window would begin in the one before isn't theirs
+    ends, k, start = rolling_ends("".join(long)), 0, 0
+    for n, line in enumerate(out):
+        if not any(len(s) > LONG for s in line):
+            continue
+        parts = []
+        for s in line:
+            if len(s) <= LONG:
+                parts.append(s)
+                continue
+            stop, at = start + len(s), 0
+            while at < len(s):
+                while k < len(ends) and ends[k] < start + max(at + 1, WINDOW):
+                    k += 1
+                end = min(len(s), at + LONGEST, ends[k] - start if k < len(ends) and ends[k] < stop else len(s))
+                parts.append(s[at:end])
+                at = end
+            start = stop
+        out[n] = parts
+    return out
 
 
 def _hash(data: bytes) -> bytes:
@@ -44,13 +94,12 @@ def merkle(text: str | None) -> str:
         shown.clear()
 
     out: list[str] = []
-    for line in (text or "").split("\n"):
-        pieces = _PIECES.findall(line)
-        marks = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
+    for parts in line_pieces((text or "").split("\n")):
+        marks = [_hash(p.encode("utf-8", "surrogatepass")) for p in parts]
         node = _hash(b"p" + b"".join(marks))
         paragraphs.append(node)
-        shown.append(".".join(m[:4].hex() + format(len(p), "x") for m, p in zip(marks, pieces, strict=True)))
-        if not pieces or node[0] % 4 == 0:
+        shown.append(".".join(m[:4].hex() + format(len(p), "x") for m, p in zip(marks, parts, strict=True)))
+        if not parts or node[0] % 4 == 0:
             close()
     if paragraphs:
         close()

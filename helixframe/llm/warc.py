@@ -32,12 +32,17 @@ SUMMARY = "path string, n_records long"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def record_id(name: str) -> str:
+    """A response's record is named by page and payload, so a revisit knows it; a page repeated as it is repeats its name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, serial: str) -> bytes:
-    """One WARC record; a revisit (``refers_to``) has no payload of its own."""
+    """One WARC record; a revisit (``refers_to``) has no payload of its own and names its response's record."""
     revisit = refers_to is not None
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{serial}:{page_id}')}>"),
+        ("WARC-Record-ID", record_id(f"{serial}:{page_id}") if revisit or page_id is None else record_id(f"{page_id}:{digest}")),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(size)),
@@ -48,7 +53,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int
     if url is not None:
         head.append(("WARC-Target-URI", "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)))
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"{refers_to}:{digest}")), ("X-Refers-To-Page", str(refers_to))]
     body = HTTP if revisit else HTTP + payload
     head.append(("Content-Length", str(len(body))))
     lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode()
@@ -191,8 +196,8 @@ def read_archives(spark: SparkSession, folder: str, archives: list[tuple[str, in
                         payload = None if revisit else h[None]
                         size = int(h["x-payload-length"]) if revisit else len(payload)
                         digest = h["warc-payload-digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-                        page, to = h.get("x-page-id"), h.get("warc-refers-to")
-                        rows.append((page and int(page), h.get("warc-target-uri"), payload, size, digest, h["warc-type"], to and int(to[10:-1])))
+                        page, to = h.get("x-page-id"), h.get("x-refers-to-page")
+                        rows.append((page and int(page), h.get("warc-target-uri"), payload, size, digest, h["warc-type"], to and int(to)))
                         held += len(payload or b"")
                         if held > 4 << 20 or len(rows) >= 1000:
                             yield _frame(rows)

@@ -558,7 +558,9 @@ def test_root_follows_from_branches():
     h = fingerprint._hash
     sections, held = [], []
     for line in text.split("\n"):
-        node = h(b"p" + b"".join(h(p.encode()) for p in fingerprint._PIECES.findall(line)))
+        (pieces,) = fingerprint.line_pieces([line])
+        assert "".join(pieces) == line
+        node = h(b"p" + b"".join(h(p.encode()) for p in pieces))
         held.append(node)
         if not line or node[0] % 4 == 0:
             sections.append(h(b"s" + b"".join(held)))

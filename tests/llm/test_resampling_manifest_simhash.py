@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from helixframe.llm import manifest, mixing, near_dup, queries, resampling, simhash
+from helixframe.llm import fingerprint, manifest, mixing, near_dup, quality, queries, resampling, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 LONG = "lorem ipsum dolor sit amet " * 60_000
@@ -306,3 +306,112 @@ def test_mixing_leaves_the_callers_columns_alone(docs):
     rows = got.collect()
     assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS}
     assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names)
+
+
+# --- operator 8: pieces by content, and its query against a plain version ------------------------
+
+
+def test_an_insertion_moves_no_distant_piece(monkeypatch):
+    rng = np.random.default_rng(0)
+    letters = "".join(rng.choice(list("abcdefghij klm"), 8000))
+    signs = "".join(chr(c) for c in rng.integers(0x4E00, 0x5000, 4000))
+    for text in (letters, signs):
+        whole = fingerprint.merkle(text)
+        for at in (0, 1, len(text) // 2, len(text)):
+            assert fingerprint.likeness(whole, fingerprint.merkle(text[:at] + "X" + text[at:])) > 0.95
+    lines = [letters, "", "Short. One! two;", signs, "x" * 2000, letters[:130] + ". " + signs[:700]]
+    want = fingerprint.line_pieces(lines)
+    assert ["".join(p) for p in want] == lines and [fingerprint.line_pieces([x])[0] for x in lines] == want
+    assert max(len(p) for line in want for p in line) <= fingerprint.LONGEST
+    monkeypatch.setattr(fingerprint, "BLOCK", 50)
+    assert fingerprint.line_pieces(lines) == want
+
+
+def test_fingerprint_query_equals_plain_version(spark, folder):
+    path, rows, _ = folder
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_merkle_fingerprint"](spark, path).collect()}
+    order = sorted((r[0], r[1] or "") for r in rows)
+    assert len(got) == len(order)
+    prints = {}
+    for k, (i, text) in enumerate(order):
+        r, after = got[i], order[(k + 1) % len(order)]
+        n = len(text)
+        edit = text[: n - n // 4] + after[1][: n // 4]
+        assert r["n_chars"] == n and r["edited_sha256"] == hashlib.sha256(edit.encode()).hexdigest()
+        prints.setdefault(text, set()).add(r["fingerprint"])
+        prints.setdefault(edit, set()).add(r["edited_fingerprint"])
+        # what both have in common, in order, is no more than all pieces that both have
+        for other, near, print_ in ((edit, r["near_edited"], r["edited_fingerprint"]), (after[1], r["near_next"], got[after[0]]["fingerprint"])):
+            sides = [Counter(p for line in fingerprint.line_pieces(x.split("\n")) for p in line) for x in (text, other)]
+            shared = sum(len(p) * c for p, c in (sides[0] & sides[1]).items())
+            assert near == 1 if text == other else near <= 2 * shared / max(1, n + len(other)) + 1e-9
+            assert near == pytest.approx(fingerprint.likeness(r["fingerprint"], print_))
+            # the untouched three quarters, but for the piece that the edit cuts
+            assert other is not edit or near >= (2 * (n - n // 4 - fingerprint.LONGEST - fingerprint.LONG) / max(1, 2 * n))
+    assert all(len(p) == 1 for p in prints.values()) and len({next(iter(p)) for p in prints.values()}) == len(prints)
+
+
+# --- operator 6: records that other readers resolve -----------------------------------------------
+
+
+def test_revisits_name_their_response_s_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "y" * (200 + i // 3)) for i in range(12)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    heads = []
+    for path, _ in warc.write_archives(pages, folder):
+        with warc.shared.filesystem(folder)[0].open_input_file(path) as source:
+            heads += list(warc.read_archive(source))
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == 12
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            first = ids[h["warc-refers-to"]]
+            assert first["warc-type"] == "response" and first["x-page-id"] == h["x-refers-to-page"] and first["warc-payload-digest"] == h["warc-payload-digest"]
+
+
+# --- operator 3: the query against plain walks and splits -------------------------------------------
+
+
+def test_quality_query_equals_plain_walks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(words, 60)) + ". " if i % 2 else "## " * int(rng.integers(3, 40)) + str(rng.choice(words))) for i in range(400)] + [(900, ""), (901, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 2 if rng.random() < 0.9 else 1 - i % 2)) for i in range(300)] + [(5, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_quality_trees"](spark, str(tmp_path)).collect()}
+    out_of_fit = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = sorted((i, q) for i, q in labels if q is not None and not out_of_fit(i))
+    x = np.array([quality.document_stats(dict(rows)[i]) for i, _ in known])
+    y = np.array([float(q) for _, q in known])
+    trees = quality.train(x, y)
+
+    def walk(stats):
+        total = trees.base
+        for feature, cut, value in zip(trees.feature, trees.cut, trees.value, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + int(stats[feature[at]] > cut[at])
+            total += value[at - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert len(got) == len(rows)
+    for i, text in rows:
+        r = got[i]
+        assert r["held_out"] == out_of_fit(i) and r["score"] == pytest.approx(walk(quality.document_stats(text))) and r["predicted"] == (r["score"] >= 0.5)
+    held = [i for i, q in labels if q is not None and out_of_fit(i)]
+    assert np.mean([got[i]["predicted"] == i % 2 for i in held]) > 0.9
+    # the first split is the best of all
+    p = y.mean() * 0 + 1 / (1 + math.exp(-trees.base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    every = np.ones(len(y), bool)
+    best = max(
+        gain(left) + gain(~left) - gain(every)
+        for k in range(x.shape[1])
+        for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower"))
+        for left in [x[:, k] <= c]
+        if min(left.sum(), (~left).sum()) >= quality.LEAST
+    )
+    left = x[:, trees.feature[0][0]] <= trees.cut[0][0]
+    assert gain(left) + gain(~left) - gain(every) == pytest.approx(best)
