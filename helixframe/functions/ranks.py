@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import stats
 from helixframe.functions.stats import settled
 
 #: Ranges into which a range that holds a rank is cut.
@@ -78,3 +80,33 @@ def exact_medians(df: DataFrame, values: list[Column]) -> list[float | None]:
     found = exact_quantiles(df.select(F.explode(items).alias("_")).select("_.*"), ["i"], "x", [0.5])
     known = {r["i"]: r["q"][0] for r in found.collect()}  # a row for each expression
     return [known.get(i) for i in range(len(values))]
+
+
+def histogram_breaks(long: DataFrame, feature: str, value: str, trim: float = 0.01, most: int = 40, least_count: int = 20, method: str = "width") -> DataFrame:
+    """(feature, k, edge): ``stats.histogram_breaks`` of each feature of a long table, by counts alone.
+
+    Features are few; their quantiles and bins meet on the driver, the values never do.
+    """
+    v = F.col(value).cast("double")
+    rows = long.select(F.col(feature).alias("f"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ends = exact_quantiles(rows, ["f"], "v", [trim, 1 - trim]).select("f", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    clipped = rows.join(F.broadcast(ends), "f").select("f", F.least(F.greatest("v", "lo"), "hi").alias("v"))  # a row for each feature
+    probs = np.linspace(0, 1, max(2, most) + 1).tolist() if method == "quantile" else [0.25, 0.75]
+    found = {r["f"]: r for r in exact_quantiles(clipped, ["f"], "v", probs).collect()}
+    breaks = {}
+    for r in ends.collect():
+        q = found[r["f"]]
+        br = np.array(q["q"]) if method == "quantile" else stats.even_breaks(r["lo"], r["hi"], *q["q"], q["n"], most)
+        breaks[r["f"]] = stats.checked_breaks(br, r["lo"], r["hi"])
+    spark, kind = long.sparkSession, dict(long.dtypes)[feature]
+    table = spark.createDataFrame([(f, br.astype(float).tolist()) for f, br in breaks.items()], f"f {kind}, br array<double>")
+    at = F.least(F.size(F.filter("br", lambda b: b <= F.col("v"))), F.size("br") - 1)  # the last bin holds its end
+    counted = clipped.join(F.broadcast(table), "f").groupBy("f", at.alias("b")).count().collect()
+    out = []
+    for f, br in breaks.items():
+        counts = np.zeros(len(br) - 1, np.int64)
+        for r in counted:
+            if r["f"] == f and r["b"] >= 1:
+                counts[r["b"] - 1] = r["count"]
+        out += [(f, k, float(e)) for k, e in enumerate(stats.dense_breaks(br, counts, least_count))]
+    return spark.createDataFrame(out, f"{feature} {kind}, k int, edge double")

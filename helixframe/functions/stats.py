@@ -319,12 +319,25 @@ def histogram_breaks(x: np.ndarray, trim: float = 0.01, most: int = 40, least_co
         return np.zeros(0)
     lo, hi = np.quantile(x, [trim, 1 - trim])
     x = np.clip(x, lo, hi)
-    q1, q3 = np.quantile(x, [0.25, 0.75])
-    width = 2 * (q3 - q1) / len(x) ** (1 / 3)
-    n = int(min(most, max(1, math.ceil((hi - lo) / width)))) if width > 0 else 1
-    br = np.unique(np.quantile(x, np.linspace(0, 1, max(2, most) + 1))) if method == "quantile" else pretty(lo, hi, n)
-    br = br if len(br) > 1 else np.array([lo, hi])
-    counts, kept, held = np.histogram(x, br)[0], [br[0]], 0
+    br = np.quantile(x, np.linspace(0, 1, max(2, most) + 1)) if method == "quantile" else even_breaks(lo, hi, *np.quantile(x, [0.25, 0.75]), len(x), most)
+    br = checked_breaks(br, lo, hi)
+    return dense_breaks(br, np.histogram(x, br)[0], least_count)
+
+
+def even_breaks(lo: float, hi: float, q1: float, q3: float, n: int, most: int) -> np.ndarray:
+    """Round breaks about as wide as the quartiles and the number of values ask for, ``most`` of them."""
+    width = 2 * (q3 - q1) / n ** (1 / 3)
+    return pretty(lo, hi, int(min(most, max(1, math.ceil((hi - lo) / width)))) if width > 0 else 1)
+
+
+def checked_breaks(br: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    br = np.unique(br)
+    return br if len(br) > 1 else np.array([lo, hi])
+
+
+def dense_breaks(br: np.ndarray, counts: np.ndarray, least_count: int) -> np.ndarray:
+    """Breaks whose bins hold ``least_count`` values, sparse ones merged with the next."""
+    kept, held = [br[0]], 0
     for c, edge in zip(counts, br[1:], strict=True):
         held += c
         if held >= least_count:

@@ -161,38 +161,51 @@ def split_breaks(nodes: DataFrame, most: int = 10, least_count: int = 50, trim:
     return out
 
 
-# --- small matrices: bounded by the number of samples, solved on the driver --------------------
-
-
-def adjusted_r2(y: np.ndarray, *factors: list) -> float:
-    """Adjusted R squared of the columns of y on dummy-coded factors."""
-    n = len(y)
-    x = [np.ones(n)]
-    for f in factors:
-        x += [np.array([v == k for v in f], float) for k in sorted(set(f))[1:]]
-    x = np.stack(x, axis=1)
-    y = y - y.mean(axis=0)
-    rank = np.linalg.matrix_rank(x) - 1
-    rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    r2 = 1 - (rest**2).sum() / (y**2).sum()
-    return 1 - (1 - r2) * (n - 1) / (n - rank - 1) if n > rank + 1 else math.nan
-
-
-def variance_parts(y: np.ndarray, region: list, library: list) -> dict[str, float]:
-    """Fractions of variance: region alone, library alone, shared, residual."""
-    both, r, b = adjusted_r2(y, region, library), adjusted_r2(y, region), adjusted_r2(y, library)
+# --- variance of groups, from sums; pairs of samples --------------------------------------------
+
+
+def cell_sums(rows: DataFrame, responses: list[str], factors: list[str]) -> list[tuple[tuple, int, np.ndarray, float]]:
+    """(levels, rows, sums of the responses, their sum of squares) of each combination of ``factors``: all that the models below need.
+
+    What reaches the driver has a row for each combination, whatever the rows.  Rows that lack a response or a factor don't count.
+    """
+    use = rows.select(*[F.col(f).cast("string").alias(f) for f in factors], *[F.col(r).cast("double").alias(r) for r in responses]).dropna()
+    square = sum((F.sum(F.col(r) * F.col(r)) for r in responses), F.lit(0.0))
+    got = use.groupBy(*factors).agg(F.count("*").alias("_n"), square.alias("_q"), *[F.sum(r).alias(f"_s{i}") for i, r in enumerate(responses)]).collect()
+    return [(tuple(r[f] for f in factors), r["_n"], np.array([r[f"_s{i}"] for i in range(len(responses))]), r["_q"]) for r in sorted(got)]
+
+
+def explained(cells: list, factors: list[int]) -> tuple[float, int]:
+    """Sum of squares that dummy-coded factors (by place) explain beyond the mean, and the columns' rank without it."""
+    levels = [sorted({c[0][f] for c in cells}) for f in factors]
+    x = np.array([[1.0, *[float(c[0][f] == v) for f, own in zip(factors, levels, strict=True) for v in own[1:]]] for c in cells])
+    n, s = np.array([float(c[1]) for c in cells]), np.stack([c[2] for c in cells])
+    gram, cross = x.T @ (n[:, None] * x), x.T @ s
+    fit = np.linalg.lstsq(gram, cross, rcond=None)[0]
+    mean = s.sum(axis=0)
+    return float((fit * cross).sum() - mean @ mean / n.sum()), int(np.linalg.matrix_rank(gram)) - 1
+
+
+def variance_parts(cells: list) -> dict[str, float]:
+    """Fractions of variance of ``cells`` with factors (region, library): region alone, library alone, shared, residual; by adjusted R squared."""
+    n, total = sum(c[1] for c in cells), _total(cells)
+
+    def adjusted(*factors: int) -> float:
+        ss, rank = explained(cells, list(factors))
+        return 1 - (1 - ss / total) * (n - 1) / (n - rank - 1) if n > rank + 1 and total > 0 else math.nan
+
+    both, r, b = adjusted(0, 1), adjusted(0), adjusted(1)
     return {"region": both - b, "library": both - r, "shared": r + b - both, "residual": 1 - both}
 
 
-def manova_shares(y: np.ndarray, library: list, region: list) -> dict[str, float]:
-    """Trace ratios of sequential sums of squares: library first, then region."""
-    y = y - y.mean(axis=0)
+def _total(cells: list) -> float:
+    s = np.sum([c[2] for c in cells], axis=0)
+    return float(sum(c[3] for c in cells) - s @ s / sum(c[1] for c in cells))
 
-    def explained(*factors):
-        x = np.stack([np.ones(len(y)), *[np.array([v == k for v in f], float) for f in factors for k in sorted(set(f))[1:]]], axis=1)
-        return ((x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
 
-    total, first, both = (y**2).sum(), explained(library), explained(library, region)
+def manova_shares(cells: list) -> dict[str, float]:
+    """Trace ratios of sequential sums of squares of ``cells`` with factors (library, region): library first, then region."""
+    total, first, both = _total(cells), explained(cells, [0])[0], explained(cells, [0, 1])[0]
     return {"library": first / total, "region": (both - first) / total}
 
 
@@ -212,20 +225,21 @@ def sample_pairs(samples: DataFrame, rows: int = 1024) -> DataFrame:
     return a.join(b, ["_s", "_t"]).where(F.col(f"{key}_1") < F.col(f"{key}_2")).drop("_s", "_t")
 
 
-def random_intercept_variance(y: np.ndarray, group: list) -> dict[str, float]:
-    """REML variance components of y ~ 1 + (1 | group), by search over their ratio; NaN if too few."""
-    y, names = np.asarray(y, float), sorted(set(group))
-    if len(y) < 2 or len(names) < 2 or len(names) == len(y):
+def random_intercept_variance(size: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> dict[str, float]:
+    """REML variance components of y ~ 1 + (1 | group), by search over their ratio; NaN if too few.
+
+    ``size``, ``sums`` and ``squares`` are of y in each group: the likelihood needs no more.
+    """
+    size, sums = np.asarray(size, float), np.asarray(sums, float)
+    n, square = size.sum(), float(np.sum(squares))
+    if n < 2 or len(size) < 2 or len(size) == n:
         return {"group": math.nan, "residual": math.nan}
-    at = np.array([names.index(g) for g in group])
-    n, size = len(y), np.bincount(at).astype(float)
-    sums = np.bincount(at, y)
 
     def parts(ratio):
         w = 1 / (1 + ratio * size)
         m = (w * sums).sum() / (w * size).sum()
-        d = np.bincount(at, y - m)
-        q = ((y - m) ** 2).sum() - (ratio * w * d**2).sum()
+        d = sums - size * m
+        q = square - 2 * m * sums.sum() + n * m * m - (ratio * w * d**2).sum()
         s2 = q / (n - 1)
         return (n - 1) * math.log(max(s2, 1e-300)) + np.log(1 + ratio * size).sum() + math.log((w * size).sum()), s2
 
@@ -240,6 +254,24 @@ def random_intercept_variance(y: np.ndarray, group: list) -> dict[str, float]:
     return {"group": r * s2, "residual": s2}
 
 
+def random_intercepts(rows: DataFrame, keys: list[str], y: str, group: str) -> DataFrame:
+    """(keys, var_group, var_residual): a random-intercept model for each key, from sums of each of its groups.
+
+    Values are centred on the table's mean first, so that squares don't swallow the variance.
+    """
+    centre = F.broadcast(rows.agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("_c")))  # one row
+    x = rows.join(centre).withColumn("_y", F.col(y) - F.col("_c")).where("_y is not null")
+    sums = x.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"))
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = random_intercept_variance(pdf["n"].to_numpy(), pdf["s"].to_numpy(), pdf["q"].to_numpy())
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "var_group": [v["group"]], "var_residual": [v["residual"]]})
+
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["var_group double", "var_residual double"])
+    return sums.groupBy(*keys).applyInPandas(run, schema)
+
+
 def selection_scan(z: DataFrame, cols: list[str]) -> DataFrame:
     """Adds d2 (robust squared distance), p (chi squared, one degree for each column) and q."""
     out = z.withColumn("d2", robust_distance(z, cols))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import keys, stats
+from helixframe.functions import keys, ranks, stats
 from helixframe.operators import genotype, gram, intervals, models, reads, rules, shape, site, summaries, sweep
 
 from . import tables as T
@@ -916,28 +916,17 @@ def pca_pcs(spark, d):
 
 @query()
 def varpart(spark, d):
-    import numpy as np
-
-    pcs = {r["sample"]: (r["pc1"], r["pc2"]) for r in pca_pcs(spark, d).collect()}
-    meta = {r["sample"]: r for r in T.meta(spark, d).collect()}  # samples
-    ids = sorted(pcs)
-    y = np.array([pcs[i] for i in ids])
-    parts = models.variance_parts(y, [meta[i]["library"] for i in ids], [str(i % 4) for i in ids])
-    shares = models.manova_shares(y, [str(i % 4) for i in ids], [meta[i]["library"] for i in ids])
+    """From sums over combinations of library and a made-up region; the tests compare with whole matrices."""
+    rows = pca_pcs(spark, d).join(T.meta(spark, d), "sample").withColumn("quarter", (F.col("sample") % 4).cast("string"))
+    parts = models.variance_parts(models.cell_sums(rows, ["pc1", "pc2"], ["library", "quarter"]))
+    shares = models.manova_shares(models.cell_sums(rows, ["pc1", "pc2"], ["quarter", "library"]))
     return spark.createDataFrame([(k, float(v)) for k, v in [*parts.items(), *((f"manova_{k}", v) for k, v in shares.items())]], "part string, fraction double")
 
 
 @query()
 def mixed_model_variance(spark, d):
-    import pandas as pd
-
     rows = _parsed(spark, d).join(T.meta(spark, d), "sample").groupBy("baq", "sample", "library").agg(F.avg("price").alias("y"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = models.random_intercept_variance(pdf["y"].to_numpy(), pdf["library"].tolist())
-        return pd.DataFrame({"baq": [pdf["baq"].iloc[0]], "var_library": [v["group"]], "var_residual": [v["residual"]]})
-
-    return rows.groupBy("baq").applyInPandas(run, "baq int, var_library double, var_residual double")
+    return models.random_intercepts(rows, ["baq"], "y", "library").withColumnsRenamed({"var_group": "var_library"})
 
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -960,15 +949,9 @@ def gbt_leaves(spark, d):
 
 @query()
 def histogram_breaks(spark, d):
-    import pandas as pd
-
+    """Equal to numpy's on whole columns in the tests."""
     long = T.read(spark, d, "lineitem").unpivot(["l_orderkey"], _FEATURES, "feature", "value")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        br = stats.histogram_breaks(pdf["value"].to_numpy())
-        return pd.DataFrame({"feature": pdf["feature"].iloc[0], "k": range(len(br)), "edge": br})
-
-    return long.groupBy("feature").applyInPandas(run, "feature string, k int, edge double")
+    return ranks.histogram_breaks(long, "feature", "value")
 
 
 @query()

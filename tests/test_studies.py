@@ -204,3 +204,41 @@ def test_nan_is_missing_in_adjustment_and_screening(spark):
     rows = spark.createDataFrame([(float(i), i > 4) for i in range(9)] + [(nan, True), (nan, False), (None, True)], "x double, good boolean")
     got = summaries.screen(rows, {"d": ("not good", "good"), "none": ("x > 99 and good is null", "good")}, ["x"]).collect()
     assert len(got) == 1 and got[0]["auc"] == 1 and got[0]["median_good"] == 6.5 and got[0]["median_bad"] == 2
+
+
+@pytest.mark.parametrize(("method", "trim", "least"), [("width", 0.01, 20), ("quantile", 0.05, 3), ("width", 0.0, 1)])
+def test_breaks_of_a_long_table_equal_those_of_arrays(spark, method, trim, least):
+    rng = np.random.default_rng(1)
+    columns = {"normal": rng.normal(size=500), "tied": rng.integers(0, 4, 300).astype(float), "tail": rng.exponential(size=200) ** 3, "same": np.full(30, 2.5), "three": np.array([1.0, 5.0, 6.0])}
+    rows = [(f, float(v)) for f, x in columns.items() for v in x] + [("normal", None), ("tail", math.inf), ("same", math.nan)]
+    got = {}
+    for r in ranks.histogram_breaks(spark.createDataFrame(rows, "feature string, value double"), "feature", "value", trim, 12, least, method).orderBy("feature", "k").collect():
+        got.setdefault(r["feature"], []).append(r["edge"])
+    for f, x in columns.items():
+        assert got[f] == pytest.approx(stats.histogram_breaks(x, trim, 12, least, method).tolist()), f
+
+
+def test_variance_of_groups_from_sums(spark):
+    rng = np.random.default_rng(2)
+    n = 90
+    region, library = rng.integers(0, 3, n), rng.integers(0, 4, n)
+    y = np.stack([region + rng.normal(size=n), 0.5 * library + rng.normal(size=n)], axis=1) + 100
+    df = spark.createDataFrame([(f"r{a}", f"l{b}", float(p), float(q)) for a, b, (p, q) in zip(region, library, y, strict=True)] + [("r0", None, 1.0, 1.0), ("r1", "l1", None, 2.0)], "region string, library string, a double, b double")
+
+    def plain(*factors):
+        x = np.stack([np.ones(n), *[(f == v).astype(float) for f in factors for v in np.unique(f)[1:]]], axis=1)
+        c = y - y.mean(axis=0)
+        fit = x @ np.linalg.lstsq(x, c, rcond=None)[0]
+        r2 = (fit**2).sum() / (c**2).sum()
+        return r2, 1 - (1 - r2) * (n - 1) / (n - x.shape[1])
+
+    both, r, b = (plain(*f)[1] for f in ((region, library), (region,), (library,)))
+    got = models.variance_parts(models.cell_sums(df, ["a", "b"], ["region", "library"]))
+    assert got == pytest.approx({"region": both - b, "library": both - r, "shared": r + b - both, "residual": 1 - both}, abs=1e-9)
+    shares = models.manova_shares(models.cell_sums(df, ["a", "b"], ["library", "region"]))
+    assert shares == pytest.approx({"library": plain(library)[0], "region": plain(library, region)[0] - plain(library)[0]}, abs=1e-9)
+    fits = models.random_intercepts(df.withColumn("k", F.lit(1)), ["k"], "a", "library").collect()
+    g = library
+    c = y[:, 0] - y[:, 0].mean()
+    want = models.random_intercept_variance(np.bincount(g), np.bincount(g, c), np.bincount(g, c * c))
+    assert len(fits) == 1 and fits[0]["var_residual"] == pytest.approx(want["residual"], rel=0.2)
