@@ -194,6 +194,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     given = shared.broadcast(rows.sparkSession, (segments, starts))
 
     def place(length: pd.Series, part: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        tokens.forget()  # a worker of the encoding tasks, all of which are over
         segments, starts = given.value
         length, part, rank = length.to_numpy(), part.to_numpy(), rank.to_numpy()
         seq, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

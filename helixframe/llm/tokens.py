@@ -9,6 +9,8 @@ vocabulary go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -230,3 +232,14 @@ def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process and vocabulary."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path)
+
+
+def forget() -> None:
+    """Drop this process's encoders and give freed memory back, for tasks that come after the last encoding."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library keeps its own account
+            pass
