@@ -510,11 +510,12 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS, contexts: int = FIT_CONTEXTS) ->
     return Tagger(pickle.loads(taken.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "net binary").first()["net"]))
 
 
-def detect(docs: DataFrame, net: Tagger) -> DataFrame:
+def detect(docs: DataFrame, net: Tagger, redacted: bool = False) -> DataFrame:
     """``docs`` with base and spans: arrays of (kind, start, end) in code points, end exclusive.
 
     Null and empty texts have none; repeated rows repeat; other columns stay, but for clashing
     ``base`` and ``spans``, which are replaced; the name ``_pii`` is kept for this function's use.
+    ``redacted`` adds a column of that name: the text as ``redact`` gives it, by the same workers.
     """
     shared.text_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net)
@@ -523,29 +524,35 @@ def detect(docs: DataFrame, net: Tagger) -> DataFrame:
     def spans(texts: pd.Series) -> pd.DataFrame:
         found = find_spans(model.value, texts.tolist())
         listed = lambda s: [{"kind": k, "start": a, "end": b} for k, a, b in s]
-        return pd.DataFrame({"base": [listed(a) for a, _ in found], "spans": [listed(b) for _, b in found]})
+        out = pd.DataFrame({"base": [listed(a) for a, _ in found], "spans": [listed(b) for _, b in found]})
+        if redacted:
+            out["redacted"] = pd.Series([replaced(t, [(a, e) for _, a, e in b]) for t, (_, b) in zip(texts, found, strict=True)], dtype=object)
+        return out
 
     spans.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    udf = F.pandas_udf(spans, f"base {kind}, spans {kind}")
-    return docs.drop("base", "spans").withColumn("_pii", udf(F.col("text").cast("string"))).select("*", "_pii.base", "_pii.spans").drop("_pii")
+    new = ["base", "spans", *["redacted"] * redacted]
+    udf = F.pandas_udf(spans, f"base {kind}, spans {kind}" + ", redacted string" * redacted)
+    return docs.drop(*new).withColumn("_pii", udf(F.col("text").cast("string"))).select("*", *[f"_pii.{c}" for c in new]).drop("_pii")
+
+
+def replaced(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text with each span, joined where they overlap, replaced by <PII>."""
+    if text is None or not spans:
+        return text
+    parts, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            parts += [text[at:a], "<PII>"]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
 
 
 def redact(text, spans):
     """Column: the text with each span (joined where they overlap) replaced by <PII>."""
 
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, found, strict=True):
-            if t is None or s is None or not len(s):
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for a, b in sorted((x["start"], x["end"]) for x in s):
-                if a >= at:
-                    parts += [t[at:a], "<PII>"]
-                at = max(at, b)
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
+        pairs = ([(x["start"], x["end"]) for x in s] if s is not None else [] for s in found)
+        return pd.Series([replaced(t, p) for t, p in zip(texts, pairs, strict=True)], dtype=object)
 
     run.__annotations__ = {"texts": pd.Series, "found": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(text, spans)

@@ -404,6 +404,9 @@ def test_pii_query_and_redaction(spark, tagger, monkeypatch):
     docs = spark.createDataFrame([(1, "a b@c.de, +1 (415) 555-7713!"), (2, None), (3, "")], "doc_id long, text string")
     out = {r.doc_id: r.t for r in pii.detect(docs, tagger).select("doc_id", pii.redact(docs.text, pii.F.col("spans")).alias("t")).collect()}
     assert out == {1: "a <PII>, <PII>!", 2: None, 3: ""}
+    both = pii.detect(docs.withColumn("redacted", docs.doc_id), tagger, redacted=True)
+    assert {r.doc_id: r.redacted for r in both.collect()} == out and both.columns == ["doc_id", "text", "base", "spans", "redacted"]
+    assert pii.replaced("abcdef", [(4, 6), (1, 3), (2, 3), (3, 4)]) == "a<PII><PII><PII>" and pii.replaced(None, [(0, 1)]) is None
 
 
 def test_warc(spark, tmp_path):
