@@ -50,8 +50,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def redact_personal_data(spark, docs, sf_dir):
     """Replace every span by a mark; n_chars follows the text.  Null texts stay null; rows repeat as they are."""
-    rows = pii.detect(docs.select(*COLUMNS), pii.fit(docs))
-    rows = rows.withColumn("text", pii.redact(F.col("text"), F.col("spans")))
+    rows = pii.detect(docs.select(*COLUMNS), pii.fit(docs), redacted=True).withColumn("text", F.col("redacted"))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
