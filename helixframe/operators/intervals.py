@@ -40,6 +40,8 @@ def merge(iv: DataFrame, pad: int = 0) -> DataFrame:
     x = x.withColumn("_new", (F.col("_m").isNull() | (F.col("start") > F.col("_m"))).cast("long")).drop("_before", "_m")
     begun = x.groupBy("chrom", "_part").agg(F.sum("_new").alias("_c")).select("chrom", "_part", F.coalesce(F.sum("_c").over(parts), F.lit(0)).alias("_before"))
     x = x.join(begun, ["chrom", "_part"])
+    # of equal intervals the one that begins an island comes first, however the join left them
+    within = Window.partitionBy("chrom", "_part").orderBy("start", "end", F.desc("_new"))
     x = x.withColumn("_k", F.col("_before") + F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy("chrom", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
 

@@ -43,6 +43,13 @@ def test_one_long_chromosome_is_cut_into_ranges(spark, rows):
     assert got == sorted(want)
 
 
+def test_equal_intervals_in_any_order_are_one_island(spark):
+    rows = [(c, 100 * k, 100 * k + 50) for c in range(40) for k in range(200) for _ in range(8)]
+    df = spark.createDataFrame(rows, "chrom long, start long, end long").repartition(16, F.rand(1))
+    got = sorted(map(tuple, intervals.merge(df).select("chrom", "start", "end").collect()))
+    assert got == sorted(set(rows))
+
+
 def test_islands_across_ranges(spark):
     rng = np.random.default_rng(4)
     pos = sorted({int(p) for p in rng.integers(1, 4000, 3000)})
