@@ -63,6 +63,16 @@ def test_exact_quantiles_equal_numpy(spark, held, cuts):
     assert got[None]["q"][0] == -math.inf and got[None]["q"][-1] == math.inf
 
 
+def test_quantiles_send_ranges_to_the_rows(spark, tmp_path):
+    """A small file's rows are estimated to be few; still the ranges' side alone may be sent, and no rows are sorted."""
+    spark.range(9000).selectExpr("cast(id % 3 as string) k", "cast(hash(id) % 5000 as double) v").write.parquet(str(tmp_path / "rows"))
+    got = ranks.exact_quantiles(spark.read.parquet(str(tmp_path / "rows")), ["k"], "v", [0.5])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("FileScan")
+    assert plan[:scan].rindex("BuildRight") > max(plan[:scan].rfind("BuildLeft"), plan[:scan].rfind("SortMergeJoin"))
+    assert "SortAggregate" not in plan
+
+
 def test_quantiles_of_a_whole_table_and_of_none(spark):
     rows = spark.range(1001).select((F.col("id") * 8 % 1001).cast("double").alias("v"))
     assert ranks.exact_medians(rows, [F.col("v"), F.abs(F.col("v") - 500)]) == [500.0, 250.0]
