@@ -45,7 +45,7 @@ def leaf_llr(counts: DataFrame) -> DataFrame:
 
 def row_similarity(leaves: DataFrame, llr: DataFrame, attributes: list[str] = ()) -> DataFrame:
     """Mean log likelihood ratio (and other leaf attributes) over the trees of each row."""
-    j = leaves.join(llr, ["tree", "leaf_id"], "left")
+    j = leaves.join(F.broadcast(llr), ["tree", "leaf_id"], "left")  # a row for each leaf of the model
     return j.groupBy("row").agg(F.avg("llr").alias("mean_llr"), *[F.avg(a).alias(f"mean_{a}") for a in attributes])
 
 

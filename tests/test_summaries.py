@@ -152,3 +152,11 @@ def test_sorted_export(spark, tmp_path):
     shape.sorted_export(df, str(tmp_path / "out"))
     lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().split("\n") if x]
     assert lines == ["B\t1", "a\t9", "a\t10", "b\t2"]
+
+
+def test_rows_stay_where_they_are_when_leaf_ratios_join(spark):
+    leaves = stats.settled(spark.createDataFrame([(r, t, r % 2) for r in range(50) for t in range(2)], "row long, tree int, leaf_id int"))
+    llr = stats.settled(spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 5.0)], "tree int, leaf_id int, llr double"))
+    got = rules.row_similarity(leaves, llr)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(r, 3.5 if r % 2 else 2.0) for r in range(50)}
