@@ -121,14 +121,15 @@ def harvest(leaves: DataFrame, rules: DataFrame, pooled: bool = True, min_suppor
 
     ``rules`` holds every leaf's text (``path_rules``), whatever its length.  Pooled: a rule's
     rows are the distinct rows of all leaves that share its text.  A cheap
-    first pass over leaf counts drops rules that can't reach the support.
+    first pass over leaf counts drops rules that can't reach the support.  Rules, a row for each
+    leaf of the model, go to the rows.
     """
     key = ["rule_str"] if pooled else ["rule_str", "tree", "leaf_id"]
     known = leaves.where("cls is not null")
     tot = known.select("row", "cls").distinct().agg(F.count_if(F.col("cls") == "extreme").alias("_N"), F.count_if(F.col("cls") == "background").alias("_B"))
     ledger = leaf_counts(known).join(rules, ["tree", "leaf_id"]).groupBy(*key).agg(F.sum(F.col("n_extreme") + F.col("n_bg")).alias("_s")).where(F.col("_s") >= min_support)
     kept = rules.join(ledger.select(*key), key, "left_semi")
-    rows = known.join(kept, ["tree", "leaf_id"]).select(*key, "rule_len", "row", "cls").distinct()
+    rows = known.join(F.broadcast(kept), ["tree", "leaf_id"]).select(*key, "rule_len", "row", "cls").distinct()
     g = rows.groupBy(*key).agg(F.max("rule_len").alias("rule_len"), F.count_if(F.col("cls") == "extreme").alias("n_extreme"), F.count_if(F.col("cls") == "background").alias("n_bg"))
     g = g.withColumn("support", F.col("n_extreme") + F.col("n_bg")).where(F.col("support") >= min_support).join(F.broadcast(tot))  # one row
     e, s = F.col("n_extreme"), F.col("support")

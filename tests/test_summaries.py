@@ -160,3 +160,14 @@ def test_rows_stay_where_they_are_when_leaf_ratios_join(spark):
     got = rules.row_similarity(leaves, llr)
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {(r, 3.5 if r % 2 else 2.0) for r in range(50)}
+
+
+def test_rows_stay_where_they_are_when_rules_join(spark, monkeypatch):
+    leaves = stats.settled(spark.createDataFrame([(r, 0, r % 2, "extreme" if r % 2 else "background") for r in range(50)], "row long, tree int, leaf_id int, cls string"))
+    text = stats.settled(spark.createDataFrame([(0, 0, "a", 1), (0, 1, "b", 1)], "tree int, leaf_id int, rule_str string, rule_len int"))
+    seen, real = [], stats.settled
+    monkeypatch.setattr(stats, "settled", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    got = {r["rule_str"]: (r["n_extreme"], r["n_bg"]) for r in rules.harvest(leaves, text).collect()}
+    assert got == {"a": (0, 25), "b": (25, 0)}
+    rows = [line for line in seen[0].splitlines() if "Join [tree#" in line]
+    assert any("BroadcastHashJoin" in line and "Inner, BuildRight" in line for line in rows)
