@@ -137,3 +137,18 @@ def test_hypergeometric_tails_equal_enumeration():
     # mean 49,950, deviation 218: the normal tail beyond 0.227 deviations is 0.410
     assert stats.hypergeom_tail(50_000, 10**6, 10**9, 5 * 10**7) == pytest.approx(0.410, abs=0.003)
     assert stats.hypergeom_tail(1000, 10**5, 10**5, 2000) == pytest.approx(0.5, abs=0.02)
+
+
+def test_tasks_that_gather_cells_grow_with_the_lines(spark, monkeypatch):
+    from helixframe.operators import genotype
+    from helixframe.plans import tables as T
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(T, "MOST_LINES", 500)
+    lines = T.read(spark, folder, "lineitem").count()
+    assert T.by_cell(spark, folder).rdd.getNumPartitions() >= lines // 500 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = genotype.split_cells(T.cells(spark, folder))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    joined = genotype.split_by_genotype(T.counts(spark, folder), T.gl(spark, folder))
+    assert split.exceptAll(joined).count() == 0 and split.count() == joined.count()
