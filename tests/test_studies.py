@@ -252,3 +252,22 @@ def test_variance_of_groups_from_sums(spark):
     c = y[:, 0] - y[:, 0].mean()
     want = models.random_intercept_variance(np.bincount(g), np.bincount(g, c), np.bincount(g, c * c))
     assert len(fits) == 1 and fits[0]["var_residual"] == pytest.approx(want["residual"], rel=0.2)
+
+
+def test_all_pairs_by_blocks_are_those_of_plain_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i == 7 else f"l{i % 3}", None if i == 11 else float(i % 5) * 9, float(i % 7) * 20, float(rng.normal()), None if i == 13 else float(rng.normal())) for i in range(90)]
+    df = spark.createDataFrame(rows, "sample long, library string, latitude double, longitude double, pc1 double, pc2 double")
+    whole = models.block_pairs
+    monkeypatch.setattr(models, "block_pairs", lambda samples, rows=1024, by=(): whole(samples, 20, by))
+    blocks = models.block_pairs(df.select("sample", "latitude", "longitude"), by=("latitude", "longitude"))
+    assert blocks.count() == 5 * 6 // 2  # not one for each order of two blocks
+    plain = distances.pc_distances(df, ["pc1", "pc2"])
+    assert plain.count() == 90 * 89 // 2
+    want = {tuple(r[:2]): r[2] for r in plain.select("sample_1", "sample_2", F.round("geo_km", 3)).collect()}
+    got = {tuple(r[:2]): r[2] for r in distances.geodesic_pairs(df, 3).collect()}
+    assert got == want and got[7, 11] is None
+    want = distances.two_predictors(plain, ["pc1_dist", "pc2_dist"], "geo_km", "diff_library").orderBy("response", "predictor").collect()
+    got = distances.pc_distance_predictors(df, ["pc1", "pc2"]).orderBy("pc", "predictor").collect()
+    assert [(r["response"][:3], r["predictor"], r["n"]) for r in want] == [tuple(r[:3]) for r in got]
+    np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
