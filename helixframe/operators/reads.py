@@ -20,28 +20,34 @@ def alignment_cost(sub_q: Column, mismatches: Column, matched: Column, clip_q: C
 CAPS = (0, 50, 60, 75, 100)
 
 
-def recap(reads: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:
+def recap(reads: DataFrame, caps: tuple[int, ...] = CAPS, digits: int | None = None) -> DataFrame:
     """(name, orig_mq, new_mq, sub_q, clip_q, c, t): a row for each mapped read and cap.
 
     ``reads`` (name, orig_mq, sub_q, mismatches, matched, clip_q and, if known, is_unmapped).  The new
-    quality is the one the cap allows, whatever the read's own; a cap of 0 leaves that.
+    quality is the one the cap allows, whatever the read's own; a cap of 0 leaves that.  A read's
+    cost is computed once for all caps; ``digits``: its doubles are rounded, also once.
     """
     reads = reads.where(~F.coalesce("is_unmapped", F.lit(False))) if "is_unmapped" in reads.columns else reads
-    walked = [F.col(c) for c in ("sub_q", "mismatches", "matched", "clip_q")]
-    one = lambda c: F.struct(F.lit(c).alias("c"), F.coalesce(mapq_cap(*walked, c), F.col("orig_mq")).cast("int").alias("new_mq"))
-    rows = reads.withColumn("t", alignment_cost(*walked)).withColumn("_c", F.explode(F.array(*[one(c) for c in caps])))
-    return rows.select("name", "orig_mq", "_c.new_mq", "sub_q", "clip_q", "_c.c", "t")
+    costs = reads.withColumn("t", alignment_cost(*[F.col(c) for c in ("sub_q", "mismatches", "matched", "clip_q")]))
+    one = lambda c: F.struct(F.lit(c).alias("c"), F.coalesce(cap_of(F.col("t"), c), F.col("orig_mq")).cast("int").alias("new_mq"))
+    shown = {c: F.col(c) if digits is None else F.round(c, digits) + F.lit(0.0) for c in ("sub_q", "clip_q", "t")}
+    rows = costs.select("name", "orig_mq", F.array(*[one(c) for c in caps]).alias("_caps"), *[e.alias(c) for c, e in shown.items()])
+    return rows.withColumn("_c", F.explode("_caps")).select("name", "orig_mq", "_c.new_mq", "sub_q", "clip_q", "_c.c", "t")
 
 
-def mapq_cap(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column, cap: float) -> Column:
-    """Cap of a read's mapping quality for coefficient ``cap``; 0 means no cap (null)."""
+def cap_of(t: Column, cap: float) -> Column:
+    """Cap of the mapping quality of a read of cost ``t`` for coefficient ``cap``; 0 means no cap (null)."""
     if cap == 0:
         return F.lit(None).cast("int")
-    t = alignment_cost(sub_q, mismatches, matched, clip_q)
     capped = F.floor(cap * F.sqrt((F.lit(float(cap)) - F.greatest(t, F.lit(0.0))) / cap) + 0.499)
     return F.when(t > cap, F.lit(0)).otherwise(capped.cast("int"))
 
 
+def mapq_cap(sub_q: Column, mismatches: Column, matched: Column, clip_q: Column, cap: float) -> Column:
+    """``cap_of`` of a read's alignment."""
+    return cap_of(alignment_cost(sub_q, mismatches, matched, clip_q), cap)
+
+
 #: (matched, mismatches, substitution quality, clip quality)
 WALK = "matched int, mismatches int, sub_q double, clip_q double"
 

@@ -152,3 +152,13 @@ def test_tasks_that_gather_cells_grow_with_the_lines(spark, monkeypatch):
     assert "Join" not in plan
     joined = genotype.split_by_genotype(T.counts(spark, folder), T.gl(spark, folder))
     assert split.exceptAll(joined).count() == 0 and split.count() == joined.count()
+
+
+def test_a_reads_cost_is_computed_once_for_all_caps(spark, monkeypatch):
+    walk, cost, asked = ("sub_q", "mismatches", "matched", "clip_q"), reads.alignment_cost, []
+    df = spark.createDataFrame([(1, 60, 30.0, 2, 100, 8.0), (2, 60, 0.0, None, 100, 0.0)], "name long, orig_mq int, sub_q double, mismatches int, matched int, clip_q double")
+    plain = {c: df.select("name", reads.mapq_cap(*map(F.col, walk), c).alias("m")).collect() for c in (50, 75)}
+    monkeypatch.setattr(reads, "alignment_cost", lambda *a: asked.append(a) or cost(*a))
+    got = {(r["name"], r["c"]): r["new_mq"] for r in reads.recap(df, (0, 50, 75)).collect()}
+    assert len(asked) == 1
+    assert got == {(r["name"], c): r["m"] for c, some in plain.items() for r in some} | {(1, 0): 60, (2, 0): 60}
