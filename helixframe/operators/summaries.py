@@ -109,7 +109,7 @@ def classified_leaves(rows: DataFrame, model, y: str, row: str, k: float, band:
     found = {r["cls"] for r in cls.select("cls").distinct().collect()} - {None}
     if len(found) < 2:
         raise ValueError(f"{y} has no {' and no '.join(sorted({'extreme', 'background'} - found))} rows")
-    return stats.settled(models.leaf_rows(model.transform(rows), row).join(cls.where("cls is not null"), "row"))
+    return stats.settled(models.leaf_rows(models.predicted(model, rows), row).join(cls.where("cls is not null"), "row"))
 
 
 def rule_texts(model, features: list[str], max_depth: int = 4, **binning) -> DataFrame:

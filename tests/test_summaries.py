@@ -128,6 +128,30 @@ def test_missing_features_have_predictions(spark, fitted):
     assert len(early.stages[-1].trees) < 30
 
 
+def test_rows_alike_are_fitted_and_predicted_once(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 7, 3000), rng.integers(0, 5, 3000)
+    y = a * b + rng.normal(size=3000)
+    df = spark.createDataFrame([(i, float(p) if p else None, float(q), float(v)) for i, (p, q, v) in enumerate(zip(a, b, y, strict=True))], "row int, a double, b double, y double")
+    seen, real = [], GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, rows: seen.append(rows.count()) or real(self, rows))
+    model = models.fit_trees(df, FEATURES, "y", trees=4, depth=3)
+    assert len(seen) == 1 and seen[0] <= 35
+    own = GBTRegressor(featuresCol="_x", labelCol="y", maxIter=4, maxDepth=3, seed=1).setLeafCol("leaf")
+    plain = real(own, model.stages[1].transform(model.stages[0].transform(df)))
+    plain = plain.transform(model.stages[1].transform(model.stages[0].transform(df)))
+    want = {r.row: (r.prediction, list(r.leaf)) for r in plain.select("row", "prediction", "leaf").collect()}
+    for most in (models.FEW, 0):  # with and without the table of distinct features
+        monkeypatch.setattr(models, "FEW", most)
+        got = {r.row: r for r in models.predicted(model, df).collect()}
+        assert len(got) == 3000
+        assert all(abs(got[k].prediction - p) < 1e-9 and got[k].leaf == leaf for k, (p, leaf) in want.items())
+    with pytest.raises(Exception, match="(?i)label"):
+        models.fit_trees(df.withColumn("y", F.expr("nullif(row, 7)").cast("double")), FEATURES, "y", trees=1)
+
+
 def test_quantile_breaks():
     x = np.arange(1000.0)
     got = stats.histogram_breaks(x, 0.0, 4, 20, "quantile")
