@@ -271,3 +271,20 @@ def test_all_pairs_by_blocks_are_those_of_plain_rows(spark, monkeypatch):
     got = distances.pc_distance_predictors(df, ["pc1", "pc2"]).orderBy("pc", "predictor").collect()
     assert [(r["response"][:3], r["predictor"], r["n"]) for r in want] == [tuple(r[:3]) for r in got]
     np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
+
+
+def test_depth_features_read_their_lines_once(spark, tmp_path, monkeypatch):
+    rows = [(s, g, i, float(i + s)) for s in range(4) for g in ("homRef", "het", "homAlt") for i in range(1, 8)]
+    spark.createDataFrame(rows, "site long, genotype string, sample long, depth double").write.parquet(str(tmp_path / "split"))
+    rated = spark.createDataFrame([(s, 0.2, 0.9) for s in range(4)], "site long, maf double, call_rate double")
+    plans, real = [], stats.settled
+
+    def settled(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(stats, "settled", settled)
+    got = features.depth_by_genotype(spark.read.parquet(str(tmp_path / "split")).repartition(3, "site"), rated)
+    assert got.count() == 4
+    assert len(plans) == 1 and "ReusedExchange" in plans[0] and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
