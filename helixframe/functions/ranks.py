@@ -41,32 +41,40 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     takes at most some thousand counters a pass.
     """
     v = F.col(value).cast("double")
-    key = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
-    rows = df.select(key.alias("_k"), v.alias("v"), *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).where(v.isNotNull() & ~F.isnan(v))
-    own = [f"_g{i}" for i in range(len(keys))]  # grouped by, as text in an aggregate would have all rows sorted
-    first = rows.groupBy("_k", *own, _magnitude(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    first = settled(first)
+    own = [f"_g{i}" for i in range(len(keys))]
+    rows = df.select(v.alias("v"), *[F.col(k).alias(g) for g, k in zip(own, keys, strict=True)]).where(v.isNotNull() & ~F.isnan(v))
+    # text of the keys only where rows are counted: rows themselves are grouped and joined by the keys
+    key = F.to_json(F.struct(*own)) if own else F.lit("")
+    first = rows.groupBy(*own, _magnitude(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    first = settled(first.select(key.alias("_k"), "*"))
+    names = settled(first.select("_k", *own).distinct())
     groups = first.groupBy("_k", *own).agg(F.sum("c").alias("n"))
     at = lambda p: (F.col("n") - 1) * F.lit(float(p))
     ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
     asked = settled(groups.select("_k", F.explode(ranks).alias("r")))
     counted = first.select("_k", "b", "c", "lo", "hi", F.lit(0).cast("long").alias("base"))
-    ends, rows = settled(_ranged(counted, asked, ["_k"])), rows.select("_k", "v")
+    ends = settled(_ranged(counted, asked, ["_k"]))
     few = asked.count() <= FEW
     # the ranges' side is named, so that never the rows are sent to all, nor those of a few groups to a few tasks
     near = lambda spans: F.broadcast(spans) if few else spans.hint("merge")
+
+    def within(spans: DataFrame) -> DataFrame:
+        spans = spans.join(names, "_k").select("_k", *[F.col(g).alias(f"_s{g}") for g in own], *[c for c in spans.columns if c != "_k"])
+        same = [F.col(g).eqNullSafe(F.col(f"_s{g}")) for g in own] or [F.lit(True)]
+        return rows.join(near(spans), same).where("v >= lo and v <= hi")
+
     while True:
         wide = (F.col("lo") < F.col("hi")) & (F.col("c") > held)
         todo = ends.where(wide)
         if not todo.limit(1).count():
             break
         spans = todo.select("_k", "lo", "hi", F.col("before").alias("base")).distinct()
-        inside = rows.join(near(spans), "_k").where("v >= lo and v <= hi")
+        inside = within(spans)
         b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cuts), F.lit(cuts - 1))
         counted = inside.groupBy("_k", "base", b.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         ends = settled(ends.where(~wide).union(_ranged(counted, todo.select("_k", "r"), ["_k", "base"])))
     spans = ends.where("lo < hi").select("_k", "lo", "hi", "before").distinct()
-    sorted_ = rows.join(near(spans), "_k").where("v >= lo and v <= hi").groupBy("_k", "before").agg(F.sort_array(F.collect_list("v")).alias("s"))
+    sorted_ = within(spans).groupBy("_k", "before").agg(F.sort_array(F.collect_list("v")).alias("s"))
     found = ends.join(sorted_, ["_k", "before"], "left")
     found = found.select("_k", "r", F.coalesce(F.get("s", (F.col("r") - F.col("before")).cast("int")), F.col("lo")).alias("x"))
     found = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m"))  # a few ranks

@@ -21,14 +21,20 @@ def stat_cube(df: DataFrame, keys: list[str], values: list[str], site: str = "si
 
     Quartiles are exact and by counts of value ranges: there are few groups, each of which may be large.
     """
-    long = df.unpivot([*keys, site], values, "statistic", "value")
+    df = stats.stored(df.select(*keys, site, *values))
+    long = df.select(*keys, *values).unpivot(keys, values, "statistic", "value")
     v = F.col("value")
-    g = long.groupBy("statistic", *keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("var"), F.count_distinct(F.when(v.isNotNull(), F.col(site))).alias("n_sites"))
+    g = long.groupBy("statistic", *keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("var"))
+    # one row for each group and site is shuffled, with a flag for each statistic
+    sites = df.where(F.col(site).isNotNull()).groupBy(*keys, site).agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in values])
+    sites = sites.groupBy(*keys).agg(*[F.count_if(c).alias(c) for c in values]).unpivot(keys, values, "statistic", "n_sites")
     by = ["statistic", *keys]
-    q = ranks.exact_quantiles(long, by, "value", [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("q").alias("_q"))
-    g = g.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
+    q = ranks.exact_quantiles(long, by, "value", [0.25, 0.5, 0.75])
+    for name, part in (("q", q.select(*by, F.col("q").alias("_q"))), ("n", sites)):
+        part = part.withColumnsRenamed({c: f"_{name}_{c}" for c in by})
+        g = g.join(part, [F.col(c).eqNullSafe(F.col(f"_{name}_{c}")) for c in by], "left")
     q1, q2, q3 = (F.get("_q", F.lit(i)) for i in range(3))
-    return g.select("statistic", *keys, "mean", q2.alias("median"), "sd", "var", (q3 - q1).alias("iqr"), F.try_divide("sd", F.abs("mean")).alias("cv"), q1.alias("q25"), q3.alias("q75"), F.try_divide(q3 - q1, q2).alias("rel_iqr"), "n_sites")
+    return g.select("statistic", *keys, "mean", q2.alias("median"), "sd", "var", (q3 - q1).alias("iqr"), F.try_divide("sd", F.abs("mean")).alias("cv"), q1.alias("q25"), q3.alias("q75"), F.try_divide(q3 - q1, q2).alias("rel_iqr"), F.coalesce("n_sites", F.lit(0)).alias("n_sites"))
 
 
 def het_summary(df: DataFrame, keys: list[str]) -> DataFrame:

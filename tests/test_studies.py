@@ -285,6 +285,24 @@ def test_depth_features_read_their_lines_once(spark, tmp_path, monkeypatch):
         return out
 
     monkeypatch.setattr(stats, "settled", settled)
-    got = features.depth_by_genotype(spark.read.parquet(str(tmp_path / "split")).repartition(3, "site"), rated)
+    dealt = spark.read.parquet(str(tmp_path / "split")).repartition(3, "site")
+    got = features.depth_by_genotype(dealt.groupBy("site", "genotype", "sample").agg(F.sum("depth").alias("depth")), rated)
     assert got.count() == 4
     assert len(plans) == 1 and "ReusedExchange" in plans[0] and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_join_rows_by_their_keys(spark, tmp_path, monkeypatch):
+    rows = [(k, n, float(i % 50)) for k in ("a", None) for n in (1.5, float("nan"), None) for i in range(200)]
+    spark.createDataFrame(rows, "k string, n double, v double").write.parquet(str(tmp_path / "rows"))
+    plans, real = [], ranks.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(ranks, "settled", settled)
+    got = ranks.exact_quantiles(spark.read.parquet(str(tmp_path / "rows")), ["k", "n"], "v", [0.5], 10, 8).collect()
+    assert len(got) == 6 and all(r["q"] == [24.5] for r in got)
+    below = plans[0].split("Aggregate")[1:]  # the text of the keys is made of counted groups, not of rows
+    assert "Relation" in below[-1] and "to_json" not in below[-1].split("Project", 1)[-1]
+    assert all("to_json" not in p for p in plans[1:])
