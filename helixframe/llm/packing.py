@@ -19,6 +19,8 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: A length's pieces are ranked in hash slices of about so many, so no length is one task's.
 SLICE_ROWS = 250_000
+#: If rows carry texts or ids, in slices of about so many tokens: a slice's rows are sorted and ranked in memory.
+SLICE_TOKENS = 4_000_000
 
 
 def tokenize_pieces(
@@ -166,15 +168,17 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` (any columns, with long ``length`` from 1 to ``capacity``) plus sequence_id and offset.
 
-    Ranks within a length are counted slice by slice; a length gets slices by its count, so one
-    that a third of all pieces share is spread over as many tasks as it needs.  Repeated rows
+    Ranks within a length are counted slice by slice; a length gets slices by its count, and by
+    its tokens where rows carry them, so one that a third of all pieces share is spread over as
+    many tasks as it needs.  Repeated rows
     each get a place of their own; an empty table gives none; clashing sequence_id or offset
     columns are replaced; names that begin with ``_pack_`` are kept for this function's use.
     """
     order_cols = [F.col(c) for c in order]
     rows = shared.stage(pieces.drop("sequence_id", "offset"), "pieces")
     total = dict(rows.groupBy("length").count().collect())  # at most capacity rows
-    slices = {k: -(-n // SLICE_ROWS) for k, n in total.items()}
+    carried = any(kind in ("binary", "string") for _, kind in rows.dtypes)
+    slices = {k: -(-n // (min(SLICE_ROWS, max(1, SLICE_TOKENS // k)) if carried else SLICE_ROWS)) for k, n in total.items()}
     by_length: dict[int, list] = {}
     for length, *rest in plan_packing(total, capacity):
         by_length.setdefault(length, []).append(rest)
@@ -185,7 +189,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     rows = rows.withColumn("_pack_slice", F.pmod(F.xxhash64(*order_cols), own).cast("int"))
     starts: dict[tuple[int, int], int] = {}
     if several:
-        # about one row for each SLICE_ROWS pieces of the frequent lengths
+        # about one row for each SLICE_ROWS pieces, or SLICE_TOKENS tokens, of the frequent lengths
         sizes = rows.where(own > 1).groupBy("length", "_pack_slice").count().collect()
         before: dict[int, int] = {}
         for r in sorted(sizes, key=lambda r: (r["length"], r["_pack_slice"])):

@@ -139,6 +139,17 @@ def test_packing_slices_of_a_frequent_length(spark, monkeypatch):
     assert len({r.sequence_id for r in out}) <= 135
 
 
+def test_packing_slices_of_heavy_rows(spark, monkeypatch):
+    given, broadcast = [], packing.shared.broadcast
+    monkeypatch.setattr(packing, "SLICE_TOKENS", 40 * 2048, raising=False)
+    monkeypatch.setattr(packing.shared, "broadcast", lambda spark, value: given.append(value) or broadcast(spark, value))
+    rows = spark.createDataFrame([(i // 2, 0, 2048 if i % 5 else 900, bytes(8)) for i in range(500)], "doc_id long, piece int, length long, ids binary")
+    out = packing.best_fit_pack(rows, order=("doc_id", "piece", "ids")).collect()
+    assert sum(k[0] == 2048 for k in given[0][1]) >= 5  # none before: one slice held all rows of a length
+    assert len({(r.sequence_id, r.offset) for r in out}) == 500 and max(r.offset + r.length for r in out) <= 2048
+    assert len({r.sequence_id for r in out}) == 450
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=60))
 def test_plan_places_every_piece_once(lengths):
