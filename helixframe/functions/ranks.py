@@ -31,21 +31,22 @@ def _ranged(counted: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
     return before.join(asked, "_k").where(holds).select("_k", "r", "lo", "hi", "c", "before")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], held: int = HELD, cuts: int = CUTS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], held: int = HELD, cuts: int = CUTS, weight: str | None = None) -> DataFrame:
     """(keys, n, q): q is an array, the quantiles ``probs`` of each group by linear interpolation.
 
     Null and NaN values don't count; null keys are a group; groups without a value give no row.
     A first aggregation counts values by sign and power of two.  Ranges that hold a wanted rank
     and more than ``held`` values are cut into ``cuts`` and counted again, then the few values
     left are put in order.  Rows are only counted, so a group may be the whole table; a group
-    takes at most some thousand counters a pass.
+    takes at most some thousand counters a pass.  A row stands for ``weight`` (a whole number) values.
     """
     v = F.col(value).cast("double")
     own = [f"_g{i}" for i in range(len(keys))]
-    rows = df.select(v.alias("v"), *[F.col(k).alias(g) for g, k in zip(own, keys, strict=True)]).where(v.isNotNull() & ~F.isnan(v))
+    size = F.sum("w") if weight else F.count("*")
+    rows = df.select(v.alias("v"), *([F.col(weight).cast("long").alias("w")] if weight else []), *[F.col(k).alias(g) for g, k in zip(own, keys, strict=True)]).where(v.isNotNull() & ~F.isnan(v))
     # text of the keys only where rows are counted: rows themselves are grouped and joined by the keys
     key = F.to_json(F.struct(*own)) if own else F.lit("")
-    first = rows.groupBy(*own, _magnitude(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    first = rows.groupBy(*own, _magnitude(F.col("v")).alias("b")).agg(size.alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     first = settled(first.select(key.alias("_k"), "*"))
     names = settled(first.select("_k", *own).distinct())
     groups = first.groupBy("_k", *own).agg(F.sum("c").alias("n"))
@@ -71,10 +72,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         spans = todo.select("_k", "lo", "hi", F.col("before").alias("base")).distinct()
         inside = within(spans)
         b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cuts), F.lit(cuts - 1))
-        counted = inside.groupBy("_k", "base", b.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = inside.groupBy("_k", "base", b.alias("b")).agg(size.alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         ends = settled(ends.where(~wide).union(_ranged(counted, todo.select("_k", "r"), ["_k", "base"])))
     spans = ends.where("lo < hi").select("_k", "lo", "hi", "before").distinct()
-    sorted_ = within(spans).groupBy("_k", "before").agg(F.sort_array(F.collect_list("v")).alias("s"))
+    values = F.flatten(F.collect_list(F.array_repeat("v", F.col("w").cast("int")))) if weight else F.collect_list("v")
+    sorted_ = within(spans).groupBy("_k", "before").agg(F.sort_array(values).alias("s"))
     found = ends.join(sorted_, ["_k", "before"], "left")
     found = found.select("_k", "r", F.coalesce(F.get("s", (F.col("r") - F.col("before")).cast("int")), F.col("lo")).alias("x"))
     found = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m"))  # a few ranks

@@ -20,6 +20,7 @@ def stat_cube(df: DataFrame, keys: list[str], values: list[str], site: str = "si
     """For each statistic and key: mean, median, sd, var, iqr, cv, q25, q75, rel_iqr and distinct sites with a value.
 
     Quartiles are exact and by counts of value ranges: there are few groups, each of which may be large.
+    Equal values are counted once, so the passes over ranges read distinct values.
     """
     df = stats.stored(df.select(*keys, site, *values))
     long = df.select(*keys, *values).unpivot(keys, values, "statistic", "value")
@@ -29,7 +30,8 @@ def stat_cube(df: DataFrame, keys: list[str], values: list[str], site: str = "si
     sites = df.where(F.col(site).isNotNull()).groupBy(*keys, site).agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in values])
     sites = sites.groupBy(*keys).agg(*[F.count_if(c).alias(c) for c in values]).unpivot(keys, values, "statistic", "n_sites")
     by = ["statistic", *keys]
-    q = ranks.exact_quantiles(long, by, "value", [0.25, 0.5, 0.75])
+    counted = stats.stored(long.where(v.isNotNull()).groupBy(*by, "value").agg(F.count("*").alias("_count")))
+    q = ranks.exact_quantiles(counted, by, "value", [0.25, 0.5, 0.75], weight="_count")
     for name, part in (("q", q.select(*by, F.col("q").alias("_q"))), ("n", sites)):
         part = part.withColumnsRenamed({c: f"_{name}_{c}" for c in by})
         g = g.join(part, [F.col(c).eqNullSafe(F.col(f"_{name}_{c}")) for c in by], "left")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from helixframe.functions import dips, ranks, stats
-from helixframe.operators import distances, features, models, summaries
+from helixframe.operators import distances, features, models, summaries, sweep
 from helixframe.sources import readers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,3 +306,25 @@ def test_quantiles_join_rows_by_their_keys(spark, tmp_path, monkeypatch):
     below = plans[0].split("Aggregate")[1:]  # the text of the keys is made of counted groups, not of rows
     assert "Relation" in below[-1] and "to_json" not in below[-1].split("Project", 1)[-1]
     assert all("to_json" not in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("held, cuts", [(10_000, 4096), (3, 4)])
+def test_weighted_quantiles_equal_those_of_repeated_values(spark, held, cuts):
+    values = [(k, v, n) for k in ("a", "b") for v, n in ((-3.5, 2), (0.0, 7), (0.1, 1), (0.11, 5), (2.0, 3), (1e6, 1))]
+    rows = spark.createDataFrame(values, "k string, v double, n long").where("k = 'a' or v > 0").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r["k"]: (r["n"], r["q"]) for r in ranks.exact_quantiles(rows, ["k"], "v", probs, held, cuts, weight="n").collect()}
+    for k in ("a", "b"):
+        plain = [v for g, v, n in values for _ in range(n) if g == k and (k == "a" or v > 0)]
+        assert got[k][0] == len(plain) and np.allclose(got[k][1], np.quantile(plain, probs))
+
+
+def test_cube_ranks_distinct_values(spark, monkeypatch):
+    seen, plain = [], ranks.exact_quantiles
+    monkeypatch.setattr(ranks, "exact_quantiles", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    rows = spark.range(900).selectExpr("id % 2 k", "id site", "if(id % 9 = 8, null, id % 3 / 10.0D) v")
+    out = {r["k"]: r for r in sweep.stat_cube(rows, ["k"], ["v"]).collect()}
+    assert seen == [6]  # 800 before
+    for k in (0, 1):
+        own = [i % 3 / 10 for i in range(900) if i % 2 == k and i % 9 != 8]
+        assert np.allclose([out[k]["q25"], out[k]["median"], out[k]["q75"]], np.quantile(own, [0.25, 0.5, 0.75])) and out[k]["n_sites"] == len(own)
