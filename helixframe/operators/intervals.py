@@ -56,7 +56,11 @@ def with_next_start(iv: DataFrame) -> DataFrame:
 
 
 def subtract(references: DataFrame, iv: DataFrame, pad: int = 500, least: int = 1000) -> DataFrame:
-    """What is left of [0, length) without the padded intervals, in pieces of at least ``least``."""
+    """What is left of [0, length) without the padded intervals, in pieces of at least ``least``.
+
+    A chromosome that ``references`` give repeatedly counts once, with its greatest length.
+    """
+    references = references.groupBy("chrom").agg(F.max("length").alias("length"))
     m = with_next_start(merge(iv, pad))
     j = references.join(m, "chrom", "left")
     first = j.groupBy("chrom").agg(F.lit(0).cast("long").alias("start"), F.least(F.coalesce(F.min("start"), F.max("length")), F.max("length")).alias("end"))

@@ -50,6 +50,13 @@ def test_equal_intervals_in_any_order_are_one_island(spark):
     assert got == sorted(set(rows))
 
 
+def test_references_given_twice_count_once_in_subtraction(spark):
+    df = spark.createDataFrame([("a", 10, 20), ("a", 40, 50), ("a", 40, 50), ("b", 0, 5)], "chrom string, start long, end long")
+    lengths = spark.createDataFrame([("a", 90), ("a", 90), ("a", 80), ("b", 30), ("b", 30), ("none", 7), ("none", 7), (None, 8), (None, 8)], "chrom string, length long")
+    got = [tuple(r) for r in intervals.subtract(lengths, df, 1, 3).select("chrom", "start", "end").collect()]
+    assert sorted(got, key=str) == sorted([("a", 0, 9), ("a", 21, 39), ("a", 51, 90), ("b", 6, 30), ("none", 0, 7), (None, 0, 8)], key=str)
+
+
 def test_islands_across_ranges(spark):
     rng = np.random.default_rng(4)
     pos = sorted({int(p) for p in rng.integers(1, 4000, 3000)})
