@@ -1,5 +1,6 @@
 import gzip
 import math
+import os
 
 import numpy as np
 import pytest
@@ -110,6 +111,19 @@ def test_sample_pairs_over_many_blocks(spark):
     assert tuple(many.agg(F.count("*"), F.countDistinct("sample_1"), F.sum(F.col("sample_2") - F.col("sample_1"))).first()) == (5000 * 4999 // 2, 4999, 5000 * (5000**2 - 1) // 6)
 
 
+def test_repeats_of_paired_samples_grow_with_their_number(spark):
+    """At most 32 blocks, so what is shuffled doesn't grow with the square; ranges and repeated keys as well."""
+    assert [models.block_rows(n) for n in (10, 36_000, 360_000, 10**8)] == [1024, 1125, 11_250, 1 << 16]
+    files = lambda: {f: os.path.getsize(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle" in f and os.path.exists(f)}
+    before = files()
+    got = models.sample_pairs(spark.range(6000).selectExpr("id * 7919 % 6007 AS sample", "concat('p', id) AS name"), 40)
+    assert got.count() == 6000 * 5999 // 2
+    assert sum(n for f, n in files().items() if f not in before) < 2.5e6
+    twice = spark.createDataFrame([(i // 2, i) for i in range(60)], "sample long, nth int")
+    found = sorted((r["nth_1"], r["nth_2"]) for r in models.sample_pairs(twice, 4).collect())
+    assert found == [(i, j) for i in range(60) for j in range(60) if i // 2 < j // 2]
+
+
 def test_ordinals_follow_paths_and_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"a{i}\n" for i in range(3)))
     (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(200)))
