@@ -273,6 +273,25 @@ def test_all_pairs_by_blocks_are_those_of_plain_rows(spark, monkeypatch):
     np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
 
 
+@pytest.mark.parametrize("held", [40, 1 << 18])
+def test_geodesic_pairs_are_made_outside_of_python(spark, monkeypatch, held):
+    """Of equal, different and missing places, in pieces too."""
+    monkeypatch.setattr(distances, "HELD", held)
+    whole = models.block_pairs
+    monkeypatch.setattr(models, "block_pairs", lambda samples, rows=1024, by=(): whole(samples, 25, by))
+    rng = np.random.default_rng(5)
+    place = [(1.0, 2.0)] * 40 + [(float(a), float(b)) for a, b in rng.uniform(-60, 60, (50, 2))] + [(None, 3.0)] * 3
+    df = spark.createDataFrame([(f"s{i:02d}", *p) for i, p in enumerate(place)], "sample string, latitude double, longitude double")
+    rows = distances.geodesic_pairs(df, 2)
+    assert "Generate inline" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["sample_1"], r["sample_2"]): r["km"] for r in rows.collect()}
+    i, j = np.triu_indices(len(place), 1)
+    at = np.array([[np.nan if c is None else c for c in p] for p in place])
+    km = stats.half_up(stats.vincenty(at[i, 0], at[i, 1], at[j, 0], at[j, 1]) / 1000, 2)
+    want = {(f"s{a:02d}", f"s{b:02d}"): None if d != d else d for a, b, d in zip(i, j, km.tolist(), strict=True)}
+    assert rows.count() == len(want) and got == want
+
+
 def test_depth_features_read_their_lines_once(spark, tmp_path, monkeypatch):
     rows = [(s, g, i, float(i + s)) for s in range(4) for g in ("homRef", "het", "homAlt") for i in range(1, 8)]
     spark.createDataFrame(rows, "site long, genotype string, sample long, depth double").write.parquet(str(tmp_path / "split"))
